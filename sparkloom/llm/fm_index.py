@@ -16,6 +16,8 @@ an empty benchmark leaves all documents clean. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -141,6 +143,12 @@ class Phrases:
         self.shortest = int(self.lengths.min(initial=window))
 
 
+@functools.lru_cache(maxsize=4)
+def phrases_of(items: tuple, window: int) -> Phrases:
+    """Kept for a worker's further tasks."""
+    return Phrases(list(items), window)
+
+
 def scan_shard(data: np.ndarray, offs: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, dict[int, tuple[list, set]]]:
     """Words in each document, and for those hit: merged spans of word positions, and items."""
     h, starts, ends, upto = V.word_hashes(data, offs, V.ALNUM)
@@ -213,11 +221,11 @@ def item_blocks(benchmark: DataFrame, block_words: int):
     for r in benchmark.select(F.col("item_id"), F.col("text")).toLocalIterator():
         size = len(r["text"] or "") // 2 + 1
         if block and n + size > block_words:
-            yield block
+            yield tuple(block)
             block, n = [], 0
         block.append((r["item_id"], r["text"]))
         n += size
-    yield block
+    yield tuple(block)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, carry: list[str] = ()) -> DataFrame:
@@ -229,15 +237,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
         schema = schema.add(name, kind)
 
     def shard(items):
-        phrases = []
-
         def run(batches):
-            if not phrases:
-                phrases.append(Phrases(items, window))
+            phrases = phrases_of(items, window)
             for batch in batches:
                 texts = batch.column("text")
                 for a, b, data, offs in V.chunks(texts, 8 << 20):
-                    counts, found = scan_shard(data, offs, phrases[0])
+                    counts, found = scan_shard(data, offs, phrases)
                     part = [found.get(i, ((), ())) for i in range(b - a)]
                     cols = [
                         *(batch.column(c).slice(a, b - a) for c in own),
