@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import facts
+
+MODULES = [facts]
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in MODULES for name, (run, _) in m.PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.PLANS.items() if sql}
