@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +49,19 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of scanned files for a task of spread().
+TASK_BYTES = 64 << 20
+
+
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, by the planner's statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals rows over tasks of about the advisory size. Parquet files with few large row groups otherwise
-    give as few tasks. Keys are hashed, so a retried task gets the same rows; a partition that is too large
-    is split at run time."""
-    return df.hint("rebalance", *[F.col(k) for k in keys])
+    """Deals rows over tasks by a hash of keys: spark.sql.shuffle.partitions of them, or more where TASK_BYTES
+    ask for more. Parquet files with few large row groups otherwise give as few tasks; and a retried task gets
+    the same rows."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-min(scanned_bytes(df), 1 << 60) // TASK_BYTES))
+    return df.repartition(n, *keys)
