@@ -139,4 +139,5 @@ SQL = {
 
 def with_adapters(body: str, *names: str) -> str:
     """A DuckDB statement over adapters."""
-    return f"WITH RECURSIVE {', '.join(SQL[n] for n in names)} {body}"
+    more = "" if body.lstrip().upper().startswith("SELECT") else ","
+    return f"WITH RECURSIVE {', '.join(SQL[n] for n in names)}{more} {body}"
