@@ -56,7 +56,7 @@ TASK_BYTES = 64 << 20
 def scanned_bytes(df: DataFrame) -> int:
     """Bytes of the tables that df reads, by the planner's statistics."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
