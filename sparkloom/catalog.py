@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import facts
+from .plans import facts, graphs, memory, texts
 
-MODULES = [facts]
+MODULES = [facts, graphs, memory, texts]
 
 
 def queries() -> dict:
