@@ -41,8 +41,10 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, size: int = DICTIONARY_B
     """A dictionary from the sample pages of smallest hash (bounded); plain content where too few are there."""
     import zstandard
 
-    rows = pages.where("html is not null").select("page_id", F.substring("html", 1, 1 << 16).alias("h")).orderBy(F.xxhash64("page_id"), "h").limit(sample).collect()
-    samples = [r["h"].encode() for r in rows if r["h"]]
+    mine = pages.where("page_id is not null and length(html) > 0")
+    ids = mine.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)  # ids first, so that no task sends pages in vain
+    rows = mine.join(F.broadcast(ids), "page_id", "left_semi").select("page_id", F.substring("html", 1, 1 << 16).alias("h")).orderBy("page_id", "h").limit(sample).collect()
+    samples = [r["h"].encode() for r in rows]
     try:
         return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -80,10 +82,14 @@ def write(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYT
     import zstandard
 
     raw = train(pages)
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("n", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1("html"))
-    same = p.where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha1", "first")
-    rows = p.join(same, "sha1", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("n") >= min_bytes))
-    rows = spread(rows.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "n", "sha1", F.when(F.col("revisit"), F.col("first")).alias("first")), "page_id")
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), key.alias("key")).withColumn("n", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1("html"))
+    # Who revisits whom, without payloads; these then move once, to the tasks that write them.
+    large = p.where(F.col("n") >= min_bytes).select("page_id", "key", "sha1")
+    same = large.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("sha1", "first")
+    later = large.join(same, "sha1").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("key", "sha1", "first").distinct()
+    rows = spread(p, "key", "sha1").join(later, ["key", "sha1"], "left")
+    rows = rows.select("page_id", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), "n", "sha1", "first")
 
     def run(batches):
         from pyspark import TaskContext
