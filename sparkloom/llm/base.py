@@ -49,6 +49,15 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bucketed(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """df in a table of the shared folder, bucketed by keys, so that joins on them don't move its rows again."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(scanned_bytes(df), 1 << 60) // TASK_BYTES))
+    name = f"{tag}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, *keys).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 #: Bytes of scanned files for a task of spread().
 TASK_BYTES = 64 << 20
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .base import discard, materialize, spread, table
+from .base import bucketed, discard, materialize, table
 from .components import connected_components
 
 K, TREES, DEPTH, BASE = 96, 32, 6, 3
@@ -42,8 +42,14 @@ _B = V.splitmix(6, K)
 _ORDERS = np.array([np.random.default_rng(t).permutation(K)[:DEPTH] for t in range(TREES)])
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """16 bits of a least hash. Different hashes agree by chance once in 65,536, which an estimate of K values
+    does not feel."""
+    return (V.mix(x.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest (of the set), sig (K values of 4 bytes)."""
+    """doc_id, n, digest (of the set), sig (K values of 2 bytes)."""
 
     def run(batches):
         for batch in batches:
@@ -52,13 +58,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = V.shingle_sets(data, offs, SHINGLE)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
-                sig = np.zeros((b - a, K), np.uint32)
+                sig = np.zeros((b - a, K), np.uint16)
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
                     cuts = np.cumsum(n[full]) - n[full]
                     with np.errstate(over="ignore"):
                         for k in range(K):
-                            sig[full, k] = np.minimum.reduceat(((flat * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), cuts)
+                            sig[full, k] = _fold(np.minimum.reduceat(((flat * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), cuts))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
@@ -78,59 +84,84 @@ def _matrix(column: pa.Array, width: int, dtype) -> np.ndarray:
 
 
 def labels(classes: DataFrame) -> DataFrame:
-    """A row for each class and tree: region keys of BASE to DEPTH values, and a sort key of the rest."""
+    """A row (key, rest, id) for each class and tree: the hash of tree and first BASE values, and the next three
+    values in order, by which rows are sorted within a key."""
 
     def run(batches):
         for batch in batches:
-            sig = _matrix(batch.column("sig"), K, np.uint32).astype(np.uint64)
+            sig = _matrix(batch.column("sig"), K, np.uint16).astype(np.uint64)
             ids = batch.column("id").to_numpy()
-            with np.errstate(over="ignore"):
-                for t in range(TREES):
-                    own = sig[:, _ORDERS[t]]
-                    key = V.mix(np.full(len(ids), t + 1, np.uint64))
-                    keys = []
-                    for d in range(DEPTH):
-                        key = V.mix(key * np.uint64(31) + own[:, d] + np.uint64(1))
-                        if d >= BASE - 1:
-                            keys.append(key.view(np.int64))
-                    rest = (own[:, BASE] << np.uint64(31)) | (own[:, BASE + 1] >> np.uint64(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, rest.view(np.int64), ids)], [*(f"k{d}" for d in range(BASE, DEPTH + 1)), "rest", "id"])
-
-    schema = ", ".join(f"k{d} long" for d in range(BASE, DEPTH + 1)) + ", rest long, id long"
-    return classes.select("id", "sig").mapInArrow(run, schema)
+            for t in range(TREES):
+                own = sig[:, _ORDERS[t]]
+                key = V.mix((own[:, 0] << np.uint64(32)) | (own[:, 1] << np.uint64(16)) | own[:, 2] | np.uint64((t + 1) << 48))
+                rest = (own[:, 3] << np.uint64(32)) | (own[:, 4] << np.uint64(16)) | own[:, 5]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(ids)], ["key", "rest", "id"])
+
+    return classes.select("id", "sig").mapInArrow(run, "key long, rest long, id long")
 
 
 def neighbours(forest: DataFrame) -> DataFrame:
-    """Pairs of a row with the WINDOW rows before it in its region and with the region's first row."""
-    ordered = forest.select("k3", "rest", "id").repartition("k3").sortWithinPartitions("k3", "rest", "id")
+    """One pass over the sorted forest, with the last WINDOW rows in mind. Rows (a, b): a row's pairs with the
+    WINDOW rows before it in its region and with the region's first row. Rows (a, key, rest), b null: the members
+    of regions wider than the window."""
+    ordered = forest.repartition("key").sortWithinPartitions("key", "rest", "id")
 
     def run(batches):
-        key, first, last = np.zeros(0, np.int64), None, np.zeros(0, np.int64)
+        empty = np.zeros(0, np.int64)
+        key, rest, ids = empty, empty, empty  # the last rows
+        leader, count = (0, 0), 0  # of the last row's region: first (id, rest) and rows so far
         for batch in batches:
-            k = np.concatenate((key, batch.column("k3").to_numpy()))
-            ids = np.concatenate((last, batch.column("id").to_numpy()))
-            kept, n = len(key), len(k)
-            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if n else np.zeros(0, np.int64)
-            region = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-            leader = ids[starts].copy() if n else ids
-            if kept and first is not None:
-                leader[region[kept - 1]] = first  # the region began in an earlier batch
+            kept = len(key)
+            key, rest, ids = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((key, "key"), (rest, "rest"), (ids, "id")))
+            n = len(key)
+            if n == kept:
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.append(starts, n))
+            region = np.repeat(np.arange(len(starts)), sizes)
+            first, first_rest = ids[starts].copy(), rest[starts].copy()
+            dropped = np.zeros(len(starts), np.int64)  # earlier rows of the region that are not in mind
+            was = 0
+            if kept:
+                r = region[kept - 1]
+                first[r], first_rest[r] = leader
+                dropped[r] = count - (kept - starts[r])
+                was = count
             pairs = []
             for w in range(1, WINDOW + 1):
                 i = np.arange(max(kept, w), n)
-                i = i[k[i] == k[i - w]]
+                i = i[key[i] == key[i - w]]
                 pairs.append((ids[i - w], ids[i]))
             i = np.arange(kept, n)
-            pairs.append((leader[region[i]], ids[i]))
-            if n:
-                first = leader[region[-1]]
-                key, last = k[-WINDOW:], ids[-WINDOW:]
-            a = np.concatenate([np.minimum(x, y) for x, y in pairs])
-            b = np.concatenate([np.maximum(x, y) for x, y in pairs])
-            got = np.unique(np.column_stack((a, b))[a != b], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
-
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+            pairs.append((first[region[i]], ids[i]))
+            a, b = (np.concatenate(x) for x in zip(*pairs))
+            got = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b)))[a != b], axis=0)
+            wide = sizes + dropped > WINDOW + 1
+            out = wide[region] & (np.arange(n) >= kept)
+            extra = []
+            if kept:
+                r = region[kept - 1]
+                if wide[r] and was <= WINDOW + 1:  # it has just become wide: its earlier rows too
+                    out[starts[r] : kept] = True
+                    if dropped[r]:
+                        extra.append(r)
+            m = np.flatnonzero(out)
+            x = np.array(extra, np.int64)
+            member = [np.concatenate((ids[m], first[x])), np.concatenate((key[m], key[starts[x]])), np.concatenate((rest[m], first_rest[x]))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((got[:, 0], member[0]))),
+                    pa.concat_arrays([pa.array(got[:, 1], pa.int64()), pa.nulls(len(member[0]), pa.int64())]),
+                    *(pa.concat_arrays([pa.nulls(len(got), pa.int64()), pa.array(c, pa.int64())]) for c in member[1:]),
+                ],
+                ["a", "b", "key", "rest"],
+            )
+            r = region[-1]
+            leader, count = (first[r], first_rest[r]), int(sizes[r] + dropped[r])
+            lo = max(starts[r], n - WINDOW)
+            key, rest, ids = key[lo:], rest[lo:], ids[lo:]
+
+    return ordered.mapInArrow(run, "a long, b long, key long, rest long")
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -144,7 +175,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            e = _agree(_matrix(batch.column("sa"), K, np.uint32), _matrix(batch.column("sb"), K, np.uint32))
+            e = _agree(_matrix(batch.column("sa"), K, np.uint16), _matrix(batch.column("sb"), K, np.uint16))
             keep = pa.array(e >= LEAST_ESTIMATE)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(e[e >= LEAST_ESTIMATE])], ["a", "b", "e"])
 
@@ -153,7 +184,8 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that are linked by their full sets."""
-    rows = pairs.join(docs.toDF("a", "ta"), "a").join(docs.toDF("b", "tb"), "b")
+    own = docs.where("text is not null")
+    rows = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b")
 
     def run(batches):
         for batch in batches:
@@ -170,37 +202,40 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def open_regions(forest: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (region, ka, kb, id, c) of regions wider than the window with several components: each region
-    as deep as needed for REGION rows, then in pairs of blocks; (ka, kb) is the pair a row takes part in."""
-    rows = forest.join(comps.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+def open_regions(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (region, ka, kb, own, id, c) of the wide regions that hold several components: each region as deep
+    as needed for REGION rows, then in pairs of blocks; (ka, kb) is the pair of blocks that a row takes part in.
+    members: id, key, rest."""
+    rows = members.join(comps.select("id", F.col("component").alias("c")), "id", "left").select("id", "key", "rest", F.coalesce("c", "id").alias("c"))
     out, depth = None, BASE
     while depth <= DEPTH:
-        k = f"k{depth}"
-        sizes = rows.groupBy(k).agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where(f"m > {WINDOW + 1} and c1 < c2")
-        found = rows.join(sizes.select(k, "m"), k)
+        if depth > BASE:
+            rows = rows.withColumn("key", F.xxhash64("key", F.shiftrightunsigned("rest", 16 * (DEPTH - depth)).bitwiseAND(F.lit(65535))))
+        sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 1 and c1 < c2").select("key", "m")
+        found = materialize(rows.join(sizes, "key"), "open")
         here = found if depth == DEPTH else found.where(f"m <= {REGION}")
         blocks = F.when(F.col("m") <= REGION, F.lit(1)).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
-        mine = F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
         part = (
             here.withColumn("n_blocks", blocks)
-            .withColumn("own", mine)
+            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-            .select(F.col(k).alias("region"), F.least("own", "other").alias("ka"), F.greatest("own", "other").alias("kb"), "own", "id", "c")
+            .select(F.col("key").alias("region"), F.least("own", "other").alias("ka"), F.greatest("own", "other").alias("kb"), "own", "id", "c")
         )
         out = part if out is None else out.unionAll(part)
         rows = found.where(f"m > {REGION}").drop("m")
+        if rows.isEmpty():
+            break
         depth += 1
     return out
 
 
-def rest_pairs(forest: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+def rest_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs across components in the open regions whose estimate is high enough."""
-    rows = open_regions(forest, comps).join(classes.select("id", "sig", "n"), "id")
+    rows = open_regions(members, comps).join(classes.select("id", "sig", "n"), "id")
 
     def run(key, t):
         ids, c, n, own = (t.column(x).to_numpy() for x in ("id", "c", "n", "own"))
-        sig = _matrix(t.column("sig"), K, np.uint32)
+        sig = _matrix(t.column("sig"), K, np.uint16)
         ka, kb = key[1].as_py(), key[2].as_py()
         left = np.flatnonzero(own == ka)
         right = np.flatnonzero(own == kb)
@@ -223,8 +258,8 @@ def rest_pairs(forest: DataFrame, comps: DataFrame, classes: DataFrame) -> DataF
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row; docs has doc_id and text."""
-    docs = docs.select("doc_id", "text")
-    sigs = materialize(signatures(spread(docs, "doc_id")), "sig")
+    texts = bucketed(docs.select("doc_id", "text"), ["doc_id"], "near")
+    sigs = materialize(signatures(texts), "sig")
     one = sigs.where("n > 0").groupBy("doc_id").agg(F.min("digest").alias("digest"))
     ids = materialize(one.join(one.groupBy("digest").agg(F.min("doc_id").alias("id")), "digest"), "ids")
     firsts = ids.where("doc_id = id").select("doc_id", "digest")
@@ -232,25 +267,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sigs.join(firsts, ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig")).select(F.col("doc_id").alias("id"), "n", "sig"),
         "class",
     )
-    forest = materialize(labels(classes), "forest")
-    candidates = materialize(estimated(neighbours(forest), classes), "cand")
+    swept = materialize(neighbours(labels(classes)), "sweep")
+    members = swept.where("b is null").select(F.col("a").alias("id"), "key", "rest")
+    candidates = materialize(estimated(swept.where("b is not null").select("a", "b").distinct(), classes), "cand")
     # Each row's best partner before it and after it; what else there is comes up only across components.
-    best = (
+    best = materialize(
         candidates.groupBy("b").agg(F.max_by("a", F.struct("e", F.col("a"))).alias("a")).select("a", "b")
         .unionAll(candidates.groupBy("a").agg(F.max_by("b", F.struct("e", F.col("b"))).alias("b")).select("a", "b"))
-        .distinct()
+        .distinct(), "best",
     )
-    texts = docs.where("text is not null")
     links = materialize(confirmed(best, texts), "link")
     comps = materialize(connected_components(links, "a", "b"), "comp")
     name = lambda side: comps.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-    across = candidates.select("a", "b").unionAll(rest_pairs(forest, comps, classes)).distinct()
+    across = candidates.select("a", "b").unionAll(rest_pairs(members, comps, classes)).distinct()
     across = across.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     across = across.join(best, ["a", "b"], "left_anti")
     more = materialize(confirmed(across, texts), "link")
     final = connected_components(links.unionAll(more), "a", "b")
     comp = ids.join(final.toDF("id", "component"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    for df in (forest, candidates):
+    for df in (swept, candidates, best):
         discard(df)
     return sigs.join(comp, "doc_id", "left").select(
         "doc_id",
