@@ -52,7 +52,7 @@ def discard(df: DataFrame) -> None:
 def bucketed(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """df in a table of the shared folder, bucketed by keys, so that joins on them don't move its rows again."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(scanned_bytes(df), 1 << 60) // TASK_BYTES))
+    n = task_count(df)
     name = f"{tag}_{uuid.uuid4().hex}"
     df.repartition(n, *keys).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, *keys).format("parquet").saveAsTable(name)
     return spark.table(name)
@@ -63,14 +63,18 @@ TASK_BYTES = 64 << 20
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Bytes of the tables that df reads, by the planner's statistics."""
+    """Bytes of the tables that df reads, by the planner's statistics; what it does not know counts as 0."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 55)
+
+
+def task_count(df: DataFrame) -> int:
+    """spark.sql.shuffle.partitions, or more where TASK_BYTES for each task ask for more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-scanned_bytes(df) // TASK_BYTES))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals rows over tasks by a hash of keys: spark.sql.shuffle.partitions of them, or more where TASK_BYTES
-    ask for more. Parquet files with few large row groups otherwise give as few tasks; and a retried task gets
-    the same rows."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-min(scanned_bytes(df), 1 << 60) // TASK_BYTES))
-    return df.repartition(n, *keys)
+    """Deals rows over task_count() tasks by a hash of keys. Parquet files with few large row groups otherwise
+    give as few tasks; and a retried task gets the same rows."""
+    return df.repartition(task_count(df), *keys)
