@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import facts, graphs, memory, texts
+from .plans import facts, graphs, memory, selection, texts
 
-MODULES = [facts, graphs, memory, texts]
+MODULES = [facts, graphs, memory, texts, selection]
 
 
 def queries() -> dict:
