@@ -7,7 +7,7 @@
    all their windows are repeated. Of the others one copy of each content, with its count, goes to a bucket.
 3. A bucket's segments are dealt into shards. Each shard's Burrows-Wheeler transform is built, and the
    transforms are merged by iterative refinement of their interleave: a round orders all suffixes by q more
-   bytes with one stable counting sort of the q-byte strings before them, without sorting suffixes again.
+   bytes by one stable sort of the interleave by the q-byte strings before them; suffixes are not sorted again.
    After LENGTH bytes, equal windows stand together; neighbours' common prefixes give the intervals, and an
    interval of count two or more is repeated.
 4. A minimizer with more than HOT different segments is too large for one task: its windows are counted one by
@@ -24,7 +24,6 @@ character; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .base import materialize, shared_dir, table
+from .base import bucketed, materialize, table
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # grams in a window
-SHARDS, BUCKET_BYTES, HOT = 4, 1 << 20, 20_000
+SHARDS, BUCKET_BYTES, HOT = 2, 1 << 20, 20_000
 
 
-def text_table(docs: DataFrame, *, name: str = "texts") -> DataFrame:
+def text_table(docs: DataFrame) -> DataFrame:
     """doc_id, row (a hash of id and text) and text, bucketed by both: joins on these don't move texts."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    made = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, "doc_id", "row").write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{made}").bucketBy(n, "doc_id", "row").format("parquet").saveAsTable(made)
-    return spark.table(made)
+    return bucketed(df, ["doc_id", "row"], "texts")
 
 
 def segments(texts: DataFrame) -> DataFrame:
@@ -56,7 +51,7 @@ def segments(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, rows = batch.column("doc_id"), batch.column("row")
-            for a, _, data, offs in V.chunks(batch.column("text")):
+            for a, _, data, offs in V.chunks(batch.column("text"), 1 << 20):
                 n = len(data) - GRAM + 1
                 if n < SPAN:
                     continue
@@ -91,23 +86,41 @@ def segments(texts: DataFrame) -> DataFrame:
 # --- transforms ------------------------------------------------------------------------------------------------
 
 
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of keys, and each key's rank among the different ones."""
+    order = np.argsort(keys)
+    got = keys[order]
+    rank = np.empty(len(keys), np.uint64)
+    rank[order] = np.cumsum(np.concatenate(([0], (got[1:] != got[:-1]).astype(np.int64)))).astype(np.uint64)
+    return order, rank
+
+
+def _grams(text: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes (8 at most) from each place of a text on, round its end, as one number."""
+    pad, key = np.resize(text, len(text) + q), np.zeros(len(text), np.uint64)
+    for j in range(q):
+        key = (key << np.uint64(8)) | pad[j : j + len(text)]
+    return key
+
+
 def rotations(text: np.ndarray, depth: int = 256) -> np.ndarray:
-    """Starts of the rotations of a text, ordered by their first depth bytes (prefix doubling from 8)."""
-    n = len(text)
-    pad = np.resize(text, n + 8) if n else text
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | pad[j : j + n]
-    order = np.argsort(key, kind="stable")
-    got = key[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], (got[1:] != got[:-1]).astype(np.int64))))
-    k = 8
+    """Starts of the rotations of a text, ordered by their first depth bytes (prefix doubling). Up to 2**20 bytes
+    two ranks and the place fit in one word, and sorting these is several times faster than an argsort."""
+    n, k = len(text), 5
+    bits = np.uint64(max(1, n.bit_length()))
+    small = n < 1 << 20
+    at = np.arange(n, dtype=np.uint64)
+    order, rank = _ranks(_grams(text, k))
     while k < depth and n and rank.max() < n - 1:
-        key = rank * n + np.roll(rank, -(k % n))
-        order = np.argsort(key)
-        got = key[order]
-        rank[order] = np.cumsum(np.concatenate(([0], (got[1:] != got[:-1]).astype(np.int64))))
+        ahead = np.roll(rank, -(k % n))
+        if small:
+            key = np.sort((((rank << bits) | ahead) << bits) | at)
+            order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            key >>= bits
+            rank = np.empty(n, np.uint64)
+            rank[order] = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64)))).astype(np.uint64)
+        else:
+            order, rank = _ranks((rank << bits) | ahead)
         k *= 2
     return order
 
@@ -117,36 +130,30 @@ def transform(text: np.ndarray, order: np.ndarray, codes: np.ndarray, q: int) ->
     return codes[(order - q) % len(text)]
 
 
-def gram_codes(texts: list[np.ndarray]) -> tuple[int, list[np.ndarray]]:
-    """The longest q for which the q-byte strings of all texts have 16-bit codes, and the codes in their order
-    at each place of each text."""
-    best = 1, [t.astype(np.uint16) for t in texts]
-    for q in range(2, 9):
-        keys = []
-        for t in texts:
-            pad, key = np.resize(t, len(t) + q), np.zeros(len(t), np.uint64)
-            for j in range(q):
-                key = (key << np.uint64(8)) | pad[j : j + len(t)]
-            keys.append(key)
-        values, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        if len(values) > 65536:
-            break
-        best = q, np.split(inverse.astype(np.uint16), np.cumsum([len(t) for t in texts])[:-1])
-    return best
+def gram_codes(texts: list[np.ndarray], q: int) -> list[np.ndarray]:
+    """Codes, in their order, of the q-byte strings (8 or 16) at each place of each text, the same for all texts."""
+    cuts = np.cumsum([len(t) for t in texts])[:-1]
+    codes = np.split(_ranks(np.concatenate([_grams(t, 8) for t in texts]))[1], cuts)
+    if q == 16:
+        pairs = [(c << np.uint64(32)) | np.roll(c, -(8 % len(c))) for c in codes]
+        codes = np.split(_ranks(np.concatenate(pairs))[1], cuts)
+    return codes
 
 
 def merge_transforms(transforms: list[np.ndarray], q: int, depth: int = LENGTH) -> np.ndarray:
-    """The interleave of transforms: which one each suffix comes from, in the order of first depth bytes.
+    """The interleave of at most 8 transforms: which one each suffix comes from, in the order of first depth bytes.
 
     Round k takes the symbols in the present interleave and sorts the interleave by them, stably: suffixes
     that were in order by k bytes are then in order by k + q. It ends early when a round changes nothing."""
-    z = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    symbols = np.concatenate(transforms)
-    merged = np.empty(len(z), np.uint16)
+    z = np.repeat(np.arange(len(transforms), dtype=np.uint64), [len(t) for t in transforms])
+    merged = np.empty(len(z), np.uint64)
+    place = np.arange(len(z), dtype=np.uint64) << np.uint64(3)
+    shift = np.uint64(max(1, len(z).bit_length()) + 3)
     k = 0
     while k < depth:
-        merged[np.argsort(z, kind="stable")] = symbols
-        new = z[np.argsort(merged, kind="stable")]
+        for s, symbols in enumerate(transforms):
+            merged[z == np.uint64(s)] = symbols
+        new = np.sort((merged << shift) | place | z) & np.uint64(7)
         k += q
         if np.array_equal(new, z):
             break
@@ -161,8 +168,8 @@ def repeated(parts: list[bytes], own: np.ndarray, weight: np.ndarray, shards: in
     deal = np.arange(len(parts)) % shards
     texts = [np.frombuffer(b"".join(parts[i] for i in np.flatnonzero(deal == s)), np.uint8) for s in range(shards)]
     orders = [rotations(t) for t in texts]
-    q, codes = gram_codes(texts)
-    z = merge_transforms([transform(t, o, c, q) for t, o, c in zip(texts, orders, codes)], q)
+    q = 16
+    z = merge_transforms([transform(t, o, c, q) for t, o, c in zip(texts, orders, gram_codes(texts, q))], q)
     # Windows in merged order: their segment, their place in it, and their hash.
     seg, place, hashes, real = [], [], [], []
     for s, (t, o) in enumerate(zip(texts, orders)):
@@ -177,7 +184,8 @@ def repeated(parts: list[bytes], own: np.ndarray, weight: np.ndarray, shards: in
         place.append(at)
         real.append(inside)
         hashes.append(V.span_hashes(sums, o, ends))
-    back = np.argsort(np.argsort(z, kind="stable"), kind="stable")
+    back = np.empty(len(z), np.int64)
+    back[np.argsort(z.astype(np.uint8), kind="stable")] = np.arange(len(z))
     seg, place, hashes, real = (np.concatenate(x)[back] for x in (seg, place, hashes, real))
     seg, place, hashes = seg[real], place[real], hashes[real]
     out = [np.zeros(n, bool) for n in own.tolist()]
@@ -239,7 +247,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     """Rows (doc_id, row, a, b): runs [a, b) of starts of repeated windows."""
     own = materialize(segments(texts), "segments")
     again = own.groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1").select("h", (F.col("s0") != F.col("s1")).alias("mixed"))
-    found = materialize(own.join(again, "h"), "again")
+    found = materialize(own.join(again.hint("shuffle_hash"), "h"), "again")
     whole = found.where("not mixed").select("doc_id", "row", F.col("p").alias("a"), (F.col("p") + F.col("own")).alias("b"))
     mixed = found.where("mixed")
     kinds = mixed.groupBy("h", "s").agg(F.min(F.struct("doc_id", "row", "p", "own")).alias("r"), F.count("*").alias("c")).select("h", "s", "c", "r.*")
