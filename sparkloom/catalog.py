@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import facts, graphs, memory, selection, texts
+from .plans import code, facts, graphs, memory, selection, texts
 
-MODULES = [facts, graphs, memory, texts, selection]
+MODULES = [facts, graphs, memory, texts, selection, code]
 
 
 def queries() -> dict:
