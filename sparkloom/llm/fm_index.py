@@ -241,7 +241,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
             phrases = phrases_of(items, window)
             for batch in batches:
                 texts = batch.column("text")
-                for a, b, data, offs in V.chunks(texts, 8 << 20):
+                for a, b, data, offs in V.chunks(texts, 4 << 20):
                     counts, found = scan_shard(data, offs, phrases)
                     part = [found.get(i, ((), ())) for i in range(b - a)]
                     cols = [

@@ -40,6 +40,8 @@ SPACE_PIECE = "▁".encode()
 LITERAL = bytes((0xF9, 0xFA, 0xFB))
 TOP = 2
 ALPHA = 1.0
+#: Bytes of text whose lattices are searched together.
+CHUNK = 3 << 19
 
 
 class Vocabulary:
@@ -74,7 +76,7 @@ class Vocabulary:
                 ends[node] = i
         for own, b in zip(LITERAL, SPACE_PIECE):
             self.byte_id[own] = self.byte_id[b]
-        self.next = np.zeros((len(step), 256), np.int32)
+        self.next = np.zeros((len(step), 256), np.uint16 if len(step) < 1 << 16 else np.int32)
         for node, x in enumerate(step):
             self.next[node, list(x)] = list(x.values())
         self.piece = np.full(len(step), -1, np.int32)
@@ -150,7 +152,7 @@ class Lattices:
         text = np.zeros(n, np.uint8)
         text[live] = data[starts[word[live]] + inside[live]]
         left = sizes[word] - inside  # bytes to the word's end
-        at, node, depth = np.flatnonzero(live), np.zeros(int(live.sum()), np.int32), 0
+        at, node, depth = np.flatnonzero(live), np.zeros(int(live.sum()), v.next.dtype), 0
         parts = []
         while len(at):
             node = v.next[node, text[at + depth]]
@@ -467,7 +469,7 @@ def encode(docs: DataFrame, k: int = TOP, model: str = MODEL, alpha: float = ALP
         v = vocabulary(model, alpha)
         for batch in batches:
             key = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            for a, b, data, offs in V.chunks(batch.column("text"), 3 << 20):
+            for a, b, data, offs in V.chunks(batch.column("text"), CHUNK):
                 got = sample_chunk(data, offs, row_keys(key[a:b], seed), v, k)
                 cols = [
                     batch.column("doc_id").slice(a, b - a),

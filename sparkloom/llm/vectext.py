@@ -6,6 +6,7 @@ All functions take whole texts; chunks end between texts, never inside one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,10 +72,21 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def trim() -> None:
+    """Gives what earlier batches freed back to the system, as workers live on for further tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about limit bytes: first row, row after the last, bytes, offsets."""
     data, offs = buffer_of(column)
     row, n = 0, len(offs) - 1
+    if n:
+        trim()
     while row < n:
         end = int(np.searchsorted(offs, offs[row] + limit, "right")) - 1
         end = min(n, max(end, row + 1))
