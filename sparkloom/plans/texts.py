@@ -9,7 +9,9 @@ from ..operators import search as se
 from ..operators import textfilter as tf
 from ..sources import tables as t
 
-PATHS = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.lit("././src\\")).otherwise(F.lit("src/")), F.replace("p_name", F.lit(" "), F.lit("_")), F.element_at(F.array(*[F.lit(x) for x in (".rs", ".ts", ".py", ".zz", "")]), (F.col("p_partkey") % 5 + 1).cast("int")))
+def paths():
+    return F.concat(F.when(F.col("p_partkey") % 2 == 0, F.lit("././src\\")).otherwise(F.lit("src/")), F.replace("p_name", F.lit(" "), F.lit("_")), F.element_at(F.array(*[F.lit(x) for x in (".rs", ".ts", ".py", ".zz", "")]), (F.col("p_partkey") % 5 + 1).cast("int")))
+
 PATHS_SQL = "(CASE WHEN p_partkey % 2 = 0 THEN '././src' || chr(92) ELSE 'src/' END || replace(p_name, ' ', '_') || ['.rs', '.ts', '.py', '.zz', ''][p_partkey % 5 + 1])"
 NORMAL = f"regexp_replace(replace({PATHS_SQL}, chr(92), '/'), '^(\\./)+', '')"
 
@@ -41,13 +43,13 @@ BM_SQL = (
 )
 
 PLANS = {
-    "sf1_paths": (lambda s, d: t.table(s, d, "part").select("p_partkey", fn.normalize_path(PATHS).alias("path"), fn.file_id(PATHS).alias("id")), f"SELECT p_partkey, {NORMAL} AS path, 'fsi::' || {NORMAL} AS id FROM part"),
+    "sf1_paths": (lambda s, d: t.table(s, d, "part").select("p_partkey", fn.normalize_path(paths()).alias("path"), fn.file_id(paths()).alias("id")), f"SELECT p_partkey, {NORMAL} AS path, 'fsi::' || {NORMAL} AS id FROM part"),
     "sf2_symbol_ids": (
         lambda s, d: t.table(s, d, "part").select("p_partkey", fn.symbol_id(F.lit("./src/a.rs"), F.concat("p_name", F.lit("::x y")), F.col("p_brand")).alias("id")),
         "SELECT p_partkey, 'fusi::src/a.rs::' || regexp_replace(replace(p_name || '::x y', '::', '_'), '\\s+', '_', 'g') || '::' || p_brand AS id FROM part",
     ),
     "sf3_languages": (
-        lambda s, d: t.table(s, d, "part").select("p_partkey", fn.language(PATHS).alias("language")),
+        lambda s, d: t.table(s, d, "part").select("p_partkey", fn.language(paths()).alias("language")),
         f"SELECT p_partkey, CASE regexp_extract({PATHS_SQL}, '\\.([A-Za-z0-9]+)$', 1) WHEN 'rs' THEN 'rust' WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' ELSE 'unknown' END AS language FROM part",
     ),
     "sf5_signature_heads": (lambda s, d: t.table(s, d, "documents").select("doc_id", fn.signature_head(F.col("text")).alias("head")), "SELECT doc_id, trim(string_split(trim(string_split(text, chr(10))[1]), '{')[1]) AS head FROM documents"),
