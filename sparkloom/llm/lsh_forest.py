@@ -5,18 +5,22 @@
 2. The forest has TREES sorted orders of signatures; the label in a tree is DEPTH signature values. Rows are
    sorted by label and neighbours by longest common prefix, at least BASE values, become candidates: each
    row with the WINDOW rows before it in its region and with the region's first row.
-3. Candidates of low estimated similarity are left out (the bound is over four standard errors below the
-   threshold), then each document's best partners are confirmed on full sets, and links joined to components.
-4. What is left is decided exactly: candidates across components are confirmed too, and a region that was
-   wider than the window and still holds several components compares all its pairs across components by
-   signature, in blocks. A region of over REGION rows first goes one value deeper, as often as the label
-   allows (adaptive depth), then is split into pairs of blocks. No group is dropped or capped.
-
-A pair of similarity 0.75 has a common prefix of 3 in at least one of 32 trees but for a chance of 2.4e-8.
+3. Candidates of low estimated similarity are left out (the bound is 4.5 standard errors below the threshold);
+   the others join documents to families.
+4. A region that was wider than the window and holds several families compares all its pairs across families
+   by signature, in blocks, and tells which families to join. A region of over REGION rows first goes one
+   value deeper, as often as the label allows (adaptive depth), then is split into pairs of blocks.
+5. Families are confirmed on full sets, a block of rows at a time: intersections of all its pairs are one matrix
+   product over the shingles that several rows share. Each block also holds the family's HUBS first rows, which
+   tie blocks of true copies together. Only families that still are in parts go through all pairs of blocks.
+
+Tasks return trees of links, never pairs of a group, and no group is dropped, capped or sampled. A pair of
+similarity 0.75 has a common prefix of 3 in at least one of 32 trees but for a chance of 2.4e-8.
 
 Defined cases: a null or empty text has no shingles, is linked with nothing and kept; fewer words than a
 shingle form one shingle; repeated rows of a doc_id are one document (of different texts, the one of the
-smaller digest gives its class), and each row is returned; an empty table gives an empty result; other columns are not read.
+smaller digest gives its class), and each row is returned; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from .components import connected_components
 K, TREES, DEPTH, BASE = 96, 32, 6, 3
 SHINGLE, PERCENT = 5, 75
 WINDOW, REGION, BLOCK = 4, 4096, 2048
+#: Rows and shingles of a block of a family, and rows of a family that all its blocks hold.
+ROWS, SHINGLES, HUBS = 1024, 600_000, 8
 #: Estimates below go no further: 0.75 less 4.5 standard errors of an estimate from K values.
 LEAST_ESTIMATE = 0.55
 _A = V.splitmix(5, K) | np.uint64(1)
@@ -182,24 +188,86 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, e double")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are linked by their full sets."""
-    own = docs.where("text is not null")
-    rows = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b")
-
-    def run(batches):
+def trees_of(ids: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
+    """Each id with the least id of its component, where the two differ. linked(labels) gives each row's least
+    label among its neighbours and itself."""
+    order = np.argsort(ids, kind="stable")
+    label = np.empty(len(ids), np.int64)
+    label[order] = np.arange(len(ids))
+    while True:
+        new = linked(label)
+        new = np.minimum(new, new[order][new])  # jump: the label of the row that the label names
+        if np.array_equal(new, label):
+            break
+        label = new
+    root = ids[order][label]
+    far = root != ids
+    return root[far], ids[far]
+
+
+def block_links(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Trees of the links among rows with shingle sets, by exact intersections."""
+    m = len(ids)
+    n = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(m), n)
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(counts > 1) - 1  # a shingle of one row is in no intersection
+    keep = counts[inverse] > 1
+    row, col = row[keep], shared[inverse[keep]]
+    both = np.zeros((m, m), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        a, b = np.searchsorted(col, (lo, lo + 4096))
+        part = np.zeros((m, min(4096, int(col[-1]) + 1 - lo)), np.float32)
+        part[row[a:b], col[a:b] - lo] = 1
+        both += part @ part.T
+    links = (both > 0) & (100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
+    np.fill_diagonal(links, True)
+    return trees_of(ids, lambda label: np.where(links, label[None, :], m).min(axis=1))
+
+
+def family_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Trees (a, b) of confirmed links. rows: id, family, part (a family's part that is confirmed alone); only
+    ids in rows are read from texts."""
+    own = rows.join(texts.where("text is not null").toDF("id", "text"), "id")
+
+    def sets(batches):
         for batch in batches:
-            ok = []
-            for i in range(0, batch.num_rows, 256):  # two texts a row
-                part = batch.slice(i, 256)
-                sets = [[s for _, _, d, o in V.chunks(part.column(c)) for s in V.shingle_sets(d, o, SHINGLE)] for c in ("ta", "tb")]
-                for x, y in zip(*sets):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+            for a, b, data, offs in V.chunks(batch.column("text")):
+                got = V.shingle_sets(data, offs, SHINGLE)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("id", "family", "parts")), pa.array([x.tobytes() for x in got], pa.binary())], ["id", "family", "parts", "s"])
+
+    grouped = own.groupBy("id").agg(F.first("family").alias("family"), F.collect_set("part").alias("parts"), F.first("text").alias("text"))
+    made = grouped.mapInArrow(sets, "id long, family long, parts array<string>, s binary")
+
+    def run(t):
+        t = t.sort_by("id")
+        a, b = block_links(t.column("id").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return made.select("id", "family", F.explode("parts").alias("part"), "s").groupBy("family", "part").applyInArrow(run, "a long, b long")
+
+
+def confirmed(families: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Trees of the links inside families (id, family) on full sets."""
+    sized = families.join(classes.select("id", "n"), "id")
+    totals = sized.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("total") / SHINGLES)).cast("int")
+    rows = materialize(sized.join(totals.select("family", blocks.alias("k")), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).select("id", "family", "k", "block"), "family")
+    wide = rows.where("k > 1")
+    # The first rows of a family by a hash, found by partial minima, stand in all its blocks.
+    hubs = wide.withColumn("slot", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(HUBS))).groupBy("family", "slot").agg(F.min("id").alias("id"), F.first("k").alias("k"))
+    hubs = hubs.select("id", "family", F.explode(F.sequence(F.lit(0), F.col("k") - 1).cast("array<string>")).alias("part"))
+    first = materialize(family_links(rows.select("id", "family", F.col("block").cast("string").alias("part")).unionByName(hubs), texts), "link")
+    if wide.isEmpty():
+        return first
+    comps = materialize(connected_components(first, "a", "b"), "comp")
+    named = wide.join(comps.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    parted = named.groupBy("family").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("family")
+    left = named.join(parted, "family", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("other <> block")
+    pairs = left.select("id", "family", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
+    return first.unionAll(materialize(family_links(pairs, texts), "link"))
 
 
 def open_regions(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -229,31 +297,37 @@ def open_regions(members: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
-def rest_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs across components in the open regions whose estimate is high enough."""
-    rows = open_regions(members, comps).join(classes.select("id", "sig", "n"), "id")
+def bridges(members: DataFrame, families: DataFrame, classes: DataFrame) -> DataFrame:
+    """Trees (a, b) of what joins families in the open regions: pairs whose estimate is high enough."""
+    rows = open_regions(members, families.select("id", F.col("family").alias("component"))).join(classes.select("id", "sig", "n"), "id")
 
     def run(key, t):
         ids, c, n, own = (t.column(x).to_numpy() for x in ("id", "c", "n", "own"))
         sig = _matrix(t.column("sig"), K, np.uint16)
         ka, kb = key[1].as_py(), key[2].as_py()
-        left = np.flatnonzero(own == ka)
-        right = np.flatnonzero(own == kb)
+        left, right = np.flatnonzero(own == ka), np.flatnonzero(own == kb)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
         a, b = [], []
         for i in left:
             j = right[(c[right] != c[i]) & (np.minimum(n[right], n[i]) * 100 >= PERCENT * np.maximum(n[right], n[i]))]
-            if ka == kb:
-                j = j[j > i]
             if len(j):
-                # The first values settle most pairs.
-                j = j[(sig[j, :32] == sig[i, :32]).sum(axis=1) >= 8]
+                j = j[(sig[j, :32] == sig[i, :32]).sum(axis=1) >= 8]  # the first values settle most pairs
                 j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_ESTIMATE * K]
-                a.append(np.minimum(ids[i], ids[j]))
-                b.append(np.maximum(ids[i], ids[j]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            for x in j.tolist():
+                p, q = find(int(c[i])), find(int(c[x]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    a.append(int(ids[i]))
+                    b.append(int(ids[x]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("region", "ka", "kb").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("region", "ka", "kb").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -270,22 +344,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     swept = materialize(neighbours(labels(classes)), "sweep")
     members = swept.where("b is null").select(F.col("a").alias("id"), "key", "rest")
     candidates = materialize(estimated(swept.where("b is not null").select("a", "b").distinct(), classes), "cand")
-    # Each row's best partner before it and after it; what else there is comes up only across components.
-    best = materialize(
-        candidates.groupBy("b").agg(F.max_by("a", F.struct("e", F.col("a"))).alias("a")).select("a", "b")
-        .unionAll(candidates.groupBy("a").agg(F.max_by("b", F.struct("e", F.col("b"))).alias("b")).select("a", "b"))
-        .distinct(), "best",
-    )
-    links = materialize(confirmed(best, texts), "link")
-    comps = materialize(connected_components(links, "a", "b"), "comp")
-    name = lambda side: comps.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-    across = candidates.select("a", "b").unionAll(rest_pairs(members, comps, classes)).distinct()
-    across = across.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    across = across.join(best, ["a", "b"], "left_anti")
-    more = materialize(confirmed(across, texts), "link")
-    final = connected_components(links.unionAll(more), "a", "b")
+    name = lambda df: df.select("id", F.col("component").alias("family"))
+    families = materialize(name(connected_components(candidates, "a", "b")), "fam")
+    found = materialize(bridges(members, families, classes), "bridge")
+    if not found.isEmpty():
+        families = materialize(name(connected_components(families.select(F.col("id").alias("a"), F.col("family").alias("b")).unionAll(found), "a", "b")), "fam")
+    final = connected_components(confirmed(families, classes, texts), "a", "b")
     comp = ids.join(final.toDF("id", "component"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    for df in (swept, candidates, best):
+    for df in (swept, candidates, found):
         discard(df)
     return sigs.join(comp, "doc_id", "left").select(
         "doc_id",
