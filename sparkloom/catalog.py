@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import code, facts, graphs, memory, selection, texts
+from .plans import code, facts, graphs, memory, reports, selection, texts
 
-MODULES = [facts, graphs, memory, texts, selection, code]
+MODULES = [facts, graphs, memory, texts, selection, code, reports]
 
 
 def queries() -> dict:
