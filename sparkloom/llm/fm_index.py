@@ -286,28 +286,25 @@ def _joined(own: list[str], n_blocks: int):
 
 
 def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, texts without the spans of test items and n_chars counted anew where one went."""
-    schema = docs.schema
+    """The rows of docs, texts without the spans of test items, and whether a row's text was_cut."""
+    schema = T.StructType([*docs.schema, T.StructField("was_cut", T.BooleanType())])
     found = find(docs, benchmark, window, carry=docs.columns)
 
     def run(batches):
-        at = schema.names.index("text")
+        at = docs_columns.index("text")
         for batch in batches:
-            hit = [i for i, n in enumerate(batch.column("starts").to_pylist()) if n]
-            part = batch.select(schema.names)
-            if hit:
-                texts, starts, ends = part.column(at).to_pylist(), batch.column("starts"), batch.column("ends")
-                counts = part.column("n_chars").to_pylist() if "n_chars" in schema.names else None
-                for i in hit:
-                    texts[i] = cut_words(texts[i], list(zip(starts[i].as_py(), ends[i].as_py())))
-                    if counts is not None:
-                        counts[i] = len(texts[i])
-                new = {"text": pa.array(texts, part.column(at).type)}
-                if counts is not None:
-                    new["n_chars"] = pa.array(counts, part.column("n_chars").type)
-                part = pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in schema.names], schema.names)
-            yield part
-
+            starts, ends = batch.column("starts"), batch.column("ends")
+            was = [bool(n) for n in starts.to_pylist()]
+            part = batch.select(docs_columns)
+            if any(was):
+                texts = part.column(at).to_pylist()
+                for i, hit in enumerate(was):
+                    if hit:
+                        texts[i] = cut_words(texts[i], list(zip(starts[i].as_py(), ends[i].as_py())))
+                part = part.set_column(at, docs_columns[at], pa.array(texts, part.column(at).type))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(was)], [*docs_columns, "was_cut"])
+
+    docs_columns = docs.columns
     return found.mapInArrow(run, schema)
 
 
