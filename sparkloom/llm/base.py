@@ -42,7 +42,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Removes a materialized table that nothing will read again."""
-    path = getattr(df, "scratch_path", None)
+    path, name = getattr(df, "scratch_path", None), getattr(df, "scratch_table", None)
+    if name:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,8 +56,11 @@ def bucketed(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
     spark = df.sparkSession
     n = task_count(df)
     name = f"{tag}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, *keys).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, *keys).write.option("compression", "zstd").option("path", path).bucketBy(n, *keys).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.scratch_path, out.scratch_table = path, name
+    return out
 
 
 #: Bytes of scanned files for a task of spread().

@@ -305,3 +305,17 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op9_bwt_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+#: The same by plain windows, over hexadecimal digits so that strings may begin inside a character.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT r, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+k AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+b AS (SELECT r, i FROM w SEMI JOIN k USING (s)),
+g AS (SELECT r, i, sum(CASE WHEN i > p + 200 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM b)),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY r, g),
+e AS (SELECT r, a, z, lead(a) OVER (PARTITION BY r ORDER BY a) AS nx FROM s),
+t AS (SELECT r, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, min(a) AS f, string_agg(substr(h, 2 * z + 1, 2 * (coalesce(nx, n) - z)), '' ORDER BY a) AS rest FROM e JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN f IS NULL THEN h ELSE left(h, 2 * f) || rest END)) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""

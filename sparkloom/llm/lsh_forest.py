@@ -349,9 +349,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = materialize(bridges(members, families, classes), "bridge")
     if not found.isEmpty():
         families = materialize(name(connected_components(families.select(F.col("id").alias("a"), F.col("family").alias("b")).unionAll(found), "a", "b")), "fam")
-    final = connected_components(confirmed(families, classes, texts), "a", "b")
+    links = confirmed(families, classes, texts)
+    final = connected_components(links, "a", "b")
     comp = ids.join(final.toDF("id", "component"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    for df in (swept, candidates, found):
+    for df in (texts, swept, candidates, found):
         discard(df)
     return sigs.join(comp, "doc_id", "left").select(
         "doc_id",

@@ -26,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.ORACLE_SQL,
         "op6_fm_index": fm_index.ORACLE_SQL,
         "op7_lsh_forest": lsh_forest.ORACLE_SQL,
+        "op9_bwt_dedup": bwt_dedup.ORACLE_SQL,
     }
