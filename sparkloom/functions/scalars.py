@@ -13,8 +13,19 @@ VERBS = (
     "render draw show hide toggle init setup configure register subscribe send emit dispatch trigger notify"
 ).split()
 
-#: Languages by file extension.
-LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "java": "java", "rb": "ruby", "c": "c", "cpp": "cpp", "cs": "csharp"}
+#: File extensions by language.
+EXTENSIONS = {
+    "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "rust": "rs", "python": "py", "go": "go", "java": "java", "cpp": "cpp cc cxx c h hpp", "csharp": "cs", "ruby": "rb", "swift": "swift", "kotlin": "kt kts", "php": "php",
+}
+LANGUAGES = {e: name for name, es in EXTENSIONS.items() for e in es.split()}
+
+#: Syntax node kinds by the kind of entity they stand for.
+NODE_KINDS = {
+    "function": "function_declaration method_definition function_item function_definition function_definition_item method_declaration arrow_function function_expression",
+    "class": "class_declaration class_definition class_specifier struct_item struct_specifier",
+    "interface": "interface_declaration trait_item",
+    "type": "enum_item type_spec impl_item",
+}
 
 #: Directories that hold generated files.
 GENERATED = ("node_modules/", "/target/", "/dist/", "/build/", "__pycache__/", ".git/", "/vendor/", "/coverage/")
@@ -42,6 +53,11 @@ def language(p: Column) -> Column:
     return F.coalesce(F.element_at(known, F.nullif(extension(p), F.lit(""))), F.lit("unknown"))
 
 
+def entity_kind(kind: Column) -> Column:
+    """The kind of entity of a syntax node, or the node's own."""
+    return reduce(lambda e, kv: F.when(kind.isin(*kv[1].split()), F.lit(kv[0])).otherwise(e), NODE_KINDS.items(), kind)
+
+
 def signature_head(body: Column) -> Column:
     return F.trim(F.get(F.split(F.trim(F.get(F.split(body, "\n"), F.lit(0))), r"\{"), F.lit(0)))
 

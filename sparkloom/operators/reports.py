@@ -64,6 +64,25 @@ def barrels(files: DataFrame, least: int = 3) -> DataFrame:
     return n.where(F.col("occurrences") >= least).select(F.lit("barrel-exports").alias("id"), F.lit(0.95).alias("confidence"), "occurrences")
 
 
+#: Patterns that go with a dependency, as (id, dependency, path expression, flag of the file, confidence).
+FRAMEWORKS = (
+    ("nextjs-app-router", "next", r"(^|/)app/", None, 0.95),
+    ("nextjs-pages-router", "next", r"(^|/)pages/", None, 0.95),
+    ("server-components", "next", r"(^|/)app/.*\.(tsx|jsx)$", "jsx", 0.90),
+    ("server-actions", "next", r".", "use-server", 0.90),
+)
+
+
+def framework_patterns(files: DataFrame, dependencies: DataFrame, rules=FRAMEWORKS) -> DataFrame:
+    """(id, confidence, occurrences) of the rules whose dependency is there and that some file meets.
+    files: file, flags (array). dependencies: name."""
+    names = dependencies.agg(F.collect_set(F.when(F.col("name").isin(*{d for _, d, _, _, _ in rules}), F.col("name"))).alias("names"))  # at most the rules' names
+    met = lambda path, flag: F.col("file").rlike(path) & (F.array_contains("flags", flag) if flag else F.lit(True))
+    counts = files.agg(*[F.count_if(met(p, f)).alias(f"c{i}") for i, (_, _, p, f, _) in enumerate(rules)])
+    rows = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(c).alias("confidence"), F.col(f"c{n}").alias("occurrences"), F.array_contains("names", d).alias("ok")) for n, (i, d, _, _, c) in enumerate(rules)])
+    return counts.join(F.broadcast(names)).select(F.explode(rows).alias("x")).select("x.*").where("ok and occurrences > 0").drop("ok")
+
+
 def agent_reports(changes: DataFrame) -> DataFrame:
     """(file, agent, severity) of a batch of saved files. changes: file, added, removed, modified, breaking,
     complexity, findings, tests, confidence, exported."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import entity_kind
 from ..operators import reports as rp
 from ..sources import tables as t
 from ..sources.tables import with_adapters as sql
@@ -51,6 +52,17 @@ def _values(s, d):
 
 PLANS = {
     "cl7_known_patterns": (lambda s, d: rp.known_patterns(_functions(s, d)), KNOWN),
+    "cl8_framework_patterns": (
+        lambda s, d: rp.framework_patterns(
+            t.table(s, d, "part").select(F.concat(F.when(F.col("p_partkey") % 3 == 0, "src/app/").otherwise("src/x/"), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, ".tsx").otherwise(".ts")).alias("file"), F.when(F.col("p_partkey") % 5 == 0, F.array(F.lit("jsx"))).otherwise(F.array().cast("array<string>")).alias("flags")),
+            t.table(s, d, "region").select(F.when(F.col("r_regionkey") == 1, "next").otherwise(F.col("r_name")).alias("name")),
+        ),
+        """SELECT id, c::DOUBLE AS confidence, n AS occurrences FROM (SELECT 'nextjs-app-router' AS id, 0.95 AS c, count(*) FILTER (p_partkey % 3 = 0) AS n FROM part UNION ALL SELECT 'server-components', 0.90, count(*) FILTER (p_partkey % 30 = 0) FROM part) WHERE n > 0""",
+    ),
+    "sf4_entity_kinds": (
+        lambda s, d: t.table(s, d, "part").select("p_partkey", entity_kind(F.element_at(F.array(*[F.lit(x) for x in ("function_item", "struct_item", "trait_item", "impl_item", "odd")]), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("kind")),
+        "SELECT p_partkey, ['function', 'class', 'interface', 'type', 'odd'][p_partkey % 5 + 1] AS kind FROM part",
+    ),
     "cl15_agent_reports": (
         lambda s, d: rp.agent_reports(_changes(s, d)),
         f"""WITH {CH} SELECT file, 'observer' AS agent, CASE WHEN e % 5 = 0 THEN 'warning' ELSE 'info' END AS severity FROM ch UNION ALL SELECT file, 'intent', CASE WHEN e % 10 >= 8 THEN 'info' ELSE 'warning' END FROM ch
