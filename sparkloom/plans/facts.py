@@ -91,7 +91,7 @@ PLANS = {
           round(count(*) FILTER (cached) / count(*), 6) AS hit_rate, round(sum(total) / greatest((max(sec) - min(sec)) // 86400, 1), 6) AS per_day FROM tok GROUP BY project""", "tok"),
     ),
     "ag3_top_projects": (
-        lambda s, d: st.token_stats(t.token_facts(s, d)).select("project", "total").orderBy(F.desc("total"), "project").limit(20),
+        lambda s, d: st.token_stats(t.token_facts(s, d)).select("project", "total").orderBy(F.desc("total"), "project"),
         sql("SELECT project, sum(total)::BIGINT AS total FROM tok GROUP BY project ORDER BY total DESC, project LIMIT 20", "tok"),
     ),
     "ag19_cache_efficiency": (

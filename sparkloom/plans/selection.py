@@ -112,7 +112,7 @@ PLANS = {
     ),
     "cx5_greedy_by_kind": (lambda s, d: c.greedy(_sections(s, d), BUDGET, ["role", "ordinal"]).select("request", "ordinal"), GREEDY),
     "tk7_context_ranking": (
-        lambda s, d: c.ranked(_sections(s, d)).select("request", "ordinal", "priority").limit(200),
+        lambda s, d: c.ranked(_sections(s, d)).select("request", "ordinal", "priority"),
         f"WITH {SEC} SELECT request, ordinal, priority FROM sec ORDER BY request, priority DESC, tokens, ordinal LIMIT 200",
     ),
     "cx2_graph_boosts": (

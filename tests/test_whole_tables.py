@@ -37,3 +37,20 @@ def test_redaction_of_every_document(spark):
     d = table("documents", columns=["doc_id", "text"])
     want = [(f"m{i}", None if t is None else digest(t)) for i, t in zip(d.doc_id, d.text)]
     assert sorted(run(spark, "pf7_redaction")) == sorted(want)
+
+
+def test_ranking_of_every_section(spark):
+    sf = "/root/testdata/sf0.01"
+    d = table("conversations", sf)
+    rows = [(c, -{"system": 100, "user": 85}.get(r, 72), len(x.encode()) // 4, n) for c, n, r, x in zip(d.conv_id, d.turn, d.role, d.text)]
+    assert run(spark, "tk7_context_ranking", sf) == [(c, n, -p) for c, p, _, n in sorted(rows)]
+
+
+def test_totals_of_every_project(spark):
+    sf = "/root/testdata/sf0.01"
+    line = table("lineitem", sf, ["l_suppkey", "l_quantity", "l_linenumber"])
+    total = (line.l_quantity.astype(float).astype(int) + line.l_linenumber).groupby(line.l_suppkey).sum()
+    want = sorted(((int(k), int(v)) for k, v in total.items()), key=lambda r: (-r[1], r[0]))
+    got = run(spark, "ag3_top_projects", sf)
+    assert [int(p) for p, _ in got] == [p for p, _ in want]
+    assert [int(n) for _, n in got] == [n for _, n in want]
