@@ -82,7 +82,7 @@ PLANS = {
         "SELECT p_partkey AS signal, 'steel' AS rule, 'Use ' || p_type AS title FROM part WHERE p_type LIKE '%STEEL' UNION ALL SELECT p_partkey, 'any', 'Added ' || p_type FROM part",
     ),
     "jn6_resolved_calls": (
-        lambda s, d: ex.resolve_calls(t.table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("caller_file"), F.col("l_linenumber").alias("caller"), F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey")).alias("callee_file"), (F.col("l_partkey") % 50).alias("callee")), t.table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), (F.col("s_suppkey") % 50).alias("name"))),
+        lambda s, d: ex.resolve_calls(t.table(s, d, "lineitem").select(F.col("l_orderkey").alias("caller_file"), F.col("l_linenumber").alias("caller"), F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey")).alias("callee_file"), (F.col("l_partkey") % 50).alias("callee")), t.table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), (F.col("s_suppkey") % 50).alias("name"))),
         """WITH c AS (SELECT l_orderkey AS caller_file, l_linenumber AS caller, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END AS cf, l_partkey % 50 AS callee FROM lineitem WHERE l_linenumber = 1), d AS (SELECT s_suppkey AS file, s_suppkey % 50 AS name FROM supplier)
           SELECT caller_file, caller, callee, cf AS callee_file FROM c WHERE EXISTS (SELECT 1 FROM d WHERE file = cf AND name = callee)
           UNION ALL SELECT caller_file, caller, callee, file FROM c JOIN d ON name = callee WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.file = cf AND e.name = callee)""",

@@ -54,3 +54,38 @@ def test_totals_of_every_project(spark):
     got = run(spark, "ag3_top_projects", sf)
     assert [int(p) for p, _ in got] == [p for p, _ in want]
     assert [int(n) for _, n in got] == [n for _, n in want]
+
+
+def test_calls_of_every_line(spark):
+    line = table("lineitem", columns=["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"])
+    files: dict = {}
+    for k in table("supplier", columns=["s_suppkey"]).s_suppkey:
+        files.setdefault(int(k) % 50, set()).add(int(k))
+    want = []
+    for o, n, s, p in line.itertuples(index=False):
+        there = files.get(p % 50, set())
+        want += [(o, n, p % 50, f) for f in ([s] if s % 2 == 0 and s in there else there)]
+    assert sorted(tuple(map(int, r)) for r in run(spark, "jn6_resolved_calls")) == sorted(tuple(map(int, r)) for r in want)
+
+
+def test_verdicts_over_every_section(spark):
+    orders, line = table("orders"), table("lineitem")
+    task = dict(zip(*[table("customer")[c] for c in ("c_custkey", "c_mktsegment")]))
+    runs = {o: (task[c], s == "F") for o, c, s in zip(orders.o_orderkey, orders.o_custkey, orders.o_orderstatus) if c in task}
+    good = {t: sum(ok for x, ok in runs.values() if x == t) for t in set(task.values())}
+    seen: dict = {}
+    for o, a, b, n in zip(line.l_orderkey, line.l_returnflag, line.l_linestatus, line.l_linenumber):
+        if o in runs:
+            seen.setdefault((runs[o][0], f"{a}{b}{n % 2}"), [0, 0])[not runs[o][1]] += 1
+    want = [(t, s, "always" if good[t] and ok == good[t] else "only_failures") for (t, s), (ok, bad) in seen.items() if (good[t] and ok == good[t]) or (not ok and bad)]
+    assert sorted(run(spark, "ag8_prompt_suggestion")) == sorted(want)
+
+
+def test_suggestion_reads_lines_of_any_number(spark, tmp_path):
+    for name, rows in {
+        "customer": {"c_custkey": [1], "c_mktsegment": ["A"]},
+        "orders": {"o_orderkey": [1, 2], "o_custkey": [1, 1], "o_orderstatus": ["F", "O"], "o_orderpriority": ["1", "1"], "o_totalprice": [1.0, 1.0]},
+        "lineitem": {"l_orderkey": [1, 2], "l_linenumber": [5, 6], "l_returnflag": ["N", "R"], "l_linestatus": ["O", "F"]},
+    }.items():
+        pd.DataFrame(rows).to_parquet(tmp_path / f"{name}.parquet")
+    assert sorted(run(spark, "ag8_prompt_suggestion", str(tmp_path))) == [("A", "NO1", "always"), ("A", "RF0", "only_failures")]
