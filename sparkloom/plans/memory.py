@@ -78,7 +78,7 @@ PLANS = {
         "SELECT page_id, regexp_matches(regexp_replace(url, 'https?://', ''), '^[A-Za-z0-9_.-]{1,100}$') AS valid FROM pages",
     ),
     "pf10_security_findings": (
-        lambda s, d: m.findings(t.memory_rows(s, d), m.SECURITY[:2]).groupBy("id", "rule", "severity").agg(F.count("*").alias("n"), F.min("snippet").alias("first")),
+        lambda s, d: m.findings(t.memory_rows(s, d), m.SECURITY).groupBy("id", "rule", "severity").agg(F.count("*").alias("n"), F.min("snippet").alias("first")),
         sql("SELECT id, rule, severity, count(*) AS n, min(snippet) AS first FROM (" + " UNION ALL ".join(f"SELECT id, '{i}' AS rule, '{v}' AS severity, unnest(regexp_extract_all(content, '" + p.replace("'", "''") + "')) AS snippet FROM mem" for i, p, v in m.SECURITY[:2]) + ") GROUP BY ALL", "mem"),
     ),
     "pf16_command_classes": (lambda s, d: _commands(s, d).select("n", *[c.alias(a) for c, a in zip(tf.classified(F.col("command")), ("class", "category"))]), CLASSIFY),

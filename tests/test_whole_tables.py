@@ -89,3 +89,11 @@ def test_suggestion_reads_lines_of_any_number(spark, tmp_path):
     }.items():
         pd.DataFrame(rows).to_parquet(tmp_path / f"{name}.parquet")
     assert sorted(run(spark, "ag8_prompt_suggestion", str(tmp_path))) == [("A", "NO1", "always"), ("A", "RF0", "only_failures")]
+
+
+def test_findings_of_every_rule(spark, tmp_path):
+    texts = ['api_key = "abcdefgh1"', "eval (x)", "select a \\\\ b", "process.env.HOME std::env::var(x", "nothing"]
+    pd.DataFrame({"doc_id": range(5), "text": texts, "lang": "en", "source": "s"}).to_parquet(tmp_path / "documents.parquet")
+    want = [(f"m{i}", rule, severity, len(g), min(g)) for i, x in enumerate(texts) for rule, p, severity in m.SECURITY if (g := [f.group() for f in re.finditer(p, x)])]
+    assert {r[1] for r in want} == {r[0] for r in m.SECURITY}
+    assert sorted(run(spark, "pf10_security_findings", str(tmp_path))) == sorted(want)
