@@ -16,7 +16,7 @@
 
 Texts lie in a table in the shared folder, bucketed by key, so that the later joins don't ship them again.
 
-Defined cases: a null text is empty; a text shorter than LENGTH loses nothing; equal rows are documents of
+Defined cases: a null text is empty; rows of a null doc_id are documents like others; a text shorter than LENGTH loses nothing; equal rows are documents of
 their own, so all their windows are repeated; spans that touch are one; a removed span may begin or end inside a
 character; an empty table gives an empty result; other columns are not read.
 """
@@ -39,8 +39,9 @@ SHARDS, BUCKET_BYTES, HOT = 2, 1 << 20, 20_000
 
 
 def text_table(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of id and text) and text, bucketed by both: joins on these don't move texts."""
-    df = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, row (a hash of id and text), text and no_id, bucketed by the first two: joins on these don't move texts.
+    A null doc_id is 0 here, as joins need a value; its row tells it from that of a document 0."""
+    df = docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.isnull("doc_id").alias("no_id"))
     return bucketed(df, ["doc_id", "row"], "texts")
 
 
@@ -279,7 +280,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row; on request the kept bytes."""
     texts = text_table(docs)
     spans = repeated_windows(texts).groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("w"))
-    rows = texts.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
+    rows = texts.join(spans, ["doc_id", "row"], "left").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
 
     def run(batches):
         for batch in batches:

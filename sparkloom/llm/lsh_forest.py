@@ -19,7 +19,8 @@ similarity 0.75 has a common prefix of 3 in at least one of 32 trees but for a c
 
 Defined cases: a null or empty text has no shingles, is linked with nothing and kept; fewer words than a
 shingle form one shingle; repeated rows of a doc_id are one document (of different texts, the one of the
-smaller digest gives its class), and each row is returned; an empty table gives an empty result; other columns
+smaller digest gives its class), and each row is returned; rows of a null doc_id are all kept, with a null
+component_id; an empty table gives an empty result; other columns
 are not read.
 """
 
@@ -358,7 +359,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
     )
 
 
