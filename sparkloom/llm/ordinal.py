@@ -10,9 +10,13 @@ documents have it and it goes with some grade by LEAST_Z standard errors.
 
 The fit takes a bounded sample: the SAMPLE labelled documents of smallest hash. Scoring reads every document.
 
+Features and score of a row come from that row alone, whatever stands beside it in a batch.
+
 Defined cases: a null text is empty and gets the bucket features only; a null label is ignored; of several
-labels of a document the lowest grade counts; repeated documents give repeated rows; without labels, or with
-labels of one grade only, the model is that grade's constant; an empty table gives an empty result.
+labels of a document the lowest grade counts; rows of a null doc_id are scored like others and never sampled;
+repeated documents give repeated rows; a tail probability of TAIL exactly is kept; without labels, or with
+labels of one grade only, the model is that grade's constant; a very long text is scored in one piece, at some
+60 bytes of memory a byte; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,8 +59,9 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     distinct = np.bincount(keys >> BITS, minlength=rows) / np.maximum(n, 1)
     bar = np.zeros(256, bool)
     bar[124] = True
-    pairs = V.run_hashes(h, 2)  # those across rows do little harm
-    inner = np.unique((doc[: len(pairs)] << 40) | (pairs >> np.uint64(24)).astype(np.int64))
+    pairs = V.run_hashes(h, 2)
+    own = doc[: len(pairs)] == doc[1 : len(pairs) + 1]  # a pair over the end of a row is of neither row
+    inner = np.unique((doc[: len(pairs)][own] << 40) | (pairs[own] >> np.uint64(24)).astype(np.int64))
     fresh = np.bincount(inner >> 40, minlength=rows) / np.maximum(n, 1)
     parts = [
         np.ceil(np.log2(1 + 500 * share(_SYMBOL))),
@@ -75,6 +80,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def loss_and_gradient(p: np.ndarray, doc: np.ndarray, col: np.ndarray, grade: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with its penalty, and the gradient. p: weights, the first threshold, and the
+    logarithm of what the second is above it; (doc, col) are the features that are present."""
+    n, own = len(grade), np.arange(len(grade))
+    s = np.bincount(doc, p[col], minlength=n)
+    cut = np.array([p[-2], p[-2] + np.exp(p[-1])])
+    c = _sigmoid(cut[None, :] - s[:, None])
+    prob = np.diff(np.column_stack((np.zeros(n), c, np.ones(n))), axis=1)
+    inv = np.zeros_like(prob)
+    inv[own, grade] = 1 / np.maximum(prob[own, grade], 1e-12)
+    up = (inv[:, :-1] - inv[:, 1:]) * (c * (1 - c))  # of the log likelihood by each threshold
+    g = np.empty_like(p)
+    g[:-2] = np.bincount(col, up.sum(axis=1)[doc], minlength=len(p) - 2) / n + l2 * p[:-2]
+    g[-2] = -up.sum() / n
+    g[-1] = -up[:, 1].sum() / n * np.exp(p[-1])
+    return float(-np.log(np.maximum(prob[own, grade], 1e-12)).mean() + l2 / 2 * (p[:-2] ** 2).sum()), g
+
+
 def fit(index: np.ndarray, begins: np.ndarray, grade: np.ndarray, rounds: int = ROUNDS, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by Adam on the mean negative log likelihood. Deterministic."""
     n = len(grade)
@@ -103,19 +126,8 @@ def fit(index: np.ndarray, begins: np.ndarray, grade: np.ndarray, rounds: int =
     p = np.zeros(len(live) + 2)
     p[-2:] = raw
     m, v = np.zeros_like(p), np.zeros_like(p)
-    one = (np.arange(GRADES)[None, :] == grade[:, None]).astype(float)
     for t in range(1, rounds + 1):
-        score = np.bincount(doc, p[col], minlength=n)
-        cut = np.array([p[-2], p[-2] + np.exp(p[-1])])
-        c = _sigmoid(cut[None, :] - score[:, None])
-        prob = np.diff(np.column_stack((np.zeros(n), c, np.ones(n))), axis=1)
-        d = c * (1 - c)
-        inv = one / np.maximum(prob, 1e-12)
-        up = (inv[:, :-1] - inv[:, 1:]) * d  # of the log likelihood by each threshold
-        g = np.empty_like(p)
-        g[:-2] = np.bincount(col, up.sum(axis=1)[doc], minlength=len(live)) / n + l2 * p[:-2]
-        g[-2] = -up.sum() / n
-        g[-1] = -up[:, 1].sum() / n * np.exp(p[-1])
+        _, g = loss_and_gradient(p, doc, col, grade, l2)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         p = p - 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -158,8 +170,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], tail: float = T
         for batch in batches:
             for a, b, data, offs in V.chunks(batch.column("text")):
                 index, begins = features(data, offs)
-                total = np.concatenate(([0.0], np.cumsum(w[index], dtype=np.float64)))
-                s = total[begins[1:]] - total[begins[:-1]]
+                s = np.bincount(np.repeat(np.arange(b - a), np.diff(begins)), w[index], minlength=b - a)  # a row's own sum, in order
                 c = _sigmoid(cut[None, :] - s[:, None])
                 good = np.round(1 - c[:, -1], 6)
                 yield pa.RecordBatch.from_arrays(
