@@ -1,22 +1,26 @@
 """Benchmark decontamination by an FM-index for each training shard.
 
-A shard is a run of whole documents (some megabytes). Its text is turned into word ids: words that no test
+A shard is a run of whole documents (some megabytes). Its text is turned into word ids. Words that no test
 item has can't be inside an occurrence, so they end a run, and runs shorter than the shortest phrase are
-left out. The rest is indexed whole: suffix array, Burrows-Wheeler transform, wavelet tree for ranks, and
-sampled suffix positions. All test phrases search backward at once; occurrences are located by walking to a
-sampled suffix, compared with the phrase byte by byte, and their spans merged.
+left out: an exact prefilter, after which most shards have little to index. The rest is indexed whole: suffix
+array, Burrows-Wheeler transform, wavelet tree for ranks, and sampled suffix positions. All test phrases search
+backward at once; occurrences are located by walking to a sampled suffix, compared with the phrase byte by byte,
+and their spans merged.
 
-Phrases are the windows of the test items. They are read in blocks of at most block_words words, so what is
-sent to the tasks has a proven bound; every block searches all documents.
+Phrases are the windows of the test items. Items are read in blocks of at most block_words words (or one item),
+and each block is broadcast on its own, so that bounds what is sent at once. A task searches each of its shards
+for all blocks in turn, so documents are read and moved once, however many items there are.
 
 Defined cases: a null or empty text or item has no words; an item of fewer words than a window is one window;
-items of equal text each count; an item id on several rows counts once; repeated documents give repeated rows;
-an empty benchmark leaves all documents clean. Other columns are not read.
+items of equal text each count; an item id on several rows counts once; the windows of a null item id are hit and
+cut like others but named in no list; rows of a null doc_id are searched like others; repeated documents give
+repeated rows; a very long text is a shard of its own, at some 100 bytes of memory for each of its words that items
+have; an empty benchmark leaves all documents clean; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from . import vectext as V
 from .base import spread, table
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 SAMPLE_EVERY = 8
 
 
@@ -133,7 +137,9 @@ class Phrases:
             size = min(window, b - a)
             for i in range(a, b - size + 1) if size else ():
                 key = (tuple(ids[i : i + size].tolist()), b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + size)))
-                seen.setdefault(key, set()).add(item)
+                names = seen.setdefault(key, set())
+                if item is not None:
+                    names.add(item)
         self.words = [w for _, w in seen]
         self.items = [sorted(x) for x in seen.values()]
         self.lengths = np.array([len(p) for p, _ in seen], np.int64)
@@ -143,10 +149,17 @@ class Phrases:
         self.shortest = int(self.lengths.min(initial=window))
 
 
-@functools.lru_cache(maxsize=4)
-def phrases_of(items: tuple, window: int) -> Phrases:
-    """Kept for a worker's further tasks."""
-    return Phrases(list(items), window)
+_KEPT: dict[tuple, Phrases] = {}
+
+
+def phrases_of(block, window: int) -> Phrases:
+    """The phrases of a broadcast block; those of the last few blocks are kept for a worker's further shards."""
+    key = (block[0], window)
+    if key not in _KEPT:
+        while len(_KEPT) >= 4:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = Phrases(list(block[1].value), window)
+    return _KEPT[key]
 
 
 def scan_shard(data: np.ndarray, offs: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, dict[int, tuple[list, set]]]:
@@ -228,84 +241,58 @@ def item_blocks(benchmark: DataFrame, block_words: int):
     yield tuple(block)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, carry: list[str] = ()) -> DataFrame:
-    """For each document its count of words, the spans of hit words and the items with windows in it. carry
-    names columns to keep."""
-    own = list(dict.fromkeys(["doc_id", *carry]))
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, own: list[str], more: dict, made) -> DataFrame:
+    """own columns of docs and further ones (more: their types), which made() gives for the rows of a shard from their
+    batch, counts of words, merged spans and items."""
     schema = T.StructType([docs.schema[c] for c in own])
-    for name, kind in (("n_words", T.LongType()), ("starts", T.ArrayType(T.LongType())), ("ends", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType()))):
+    for name, kind in more.items():
         schema = schema.add(name, kind)
-
-    def shard(items):
-        def run(batches):
-            phrases = phrases_of(items, window)
-            for batch in batches:
-                texts = batch.column("text")
-                for a, b, data, offs in V.chunks(texts, 4 << 20):
-                    counts, found = scan_shard(data, offs, phrases)
-                    part = [found.get(i, ((), ())) for i in range(b - a)]
-                    cols = [
-                        *(batch.column(c).slice(a, b - a) for c in own),
-                        pa.array(counts, pa.int64()),
-                        pa.array([[x for x, _ in s] for s, _ in part], pa.list_(pa.int64())),
-                        pa.array([[y for _, y in s] for s, _ in part], pa.list_(pa.int64())),
-                        pa.array([sorted(map(str, i)) for _, i in part], pa.list_(pa.string())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(cols, [*own, "n_words", "starts", "ends", "items"])
-
-        return run
-
-    dealt = spread(docs.select(*dict.fromkeys([*own, "text"])), "doc_id")
-    blocks = list(item_blocks(benchmark, block_words))
-    if len(blocks) == 1:
-        return dealt.mapInArrow(shard(blocks[0]), schema)
-    parts = None
-    for block in blocks:
-        part = dealt.mapInArrow(shard(block), schema)
-        parts = part if parts is None else parts.unionAll(part)
-    lists = [F.collect_list(F.col(c)).alias(c) for c in ("starts", "ends", "items")]
-    return parts.groupBy(*own, "n_words").agg(*lists).mapInArrow(_joined(own, len(blocks)), schema)
-
-
-def _joined(own: list[str], n_blocks: int):
-    """Joins the spans and items that blocks of test items gave one document (or equal rows of one)."""
+    context = docs.sparkSession.sparkContext
+    blocks = [(uuid.uuid4().hex, context.broadcast(items)) for items in item_blocks(benchmark, block_words)]
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            cols: dict[str, list] = {c: [] for c in (*own, "n_words", "starts", "ends", "items")}
-            for r in rows:
-                spans = merge([s for a, b in zip(r["starts"], r["ends"]) for s in zip(a, b)])
-                done = {**r, "starts": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted({i for x in r["items"] for i in x})}
-                for _ in range(len(r["starts"]) // n_blocks):  # as many rows as came in
-                    for c in cols:
-                        cols[c].append(done[c])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[c], batch.schema.field(c).type if c in own else None) if c in own else pa.array(cols[c], {"n_words": pa.int64(), "items": pa.list_(pa.string())}.get(c, pa.list_(pa.int64()))) for c in cols], list(cols))
+            for a, b, data, offs in V.chunks(batch.column("text"), 4 << 20):
+                counts, spans, items = None, [[] for _ in range(b - a)], [set() for _ in range(b - a)]
+                for block in blocks:
+                    counts, found = scan_shard(data, offs, phrases_of(block, window))
+                    for i, (s, names) in found.items():
+                        spans[i] = merge(spans[i] + s)
+                        items[i] |= names
+                part = batch.slice(a, b - a)
+                given = made(part, counts, spans, items)
+                yield pa.RecordBatch.from_arrays([given.get(c) if c in given else part.column(c) for c in schema.names], schema.names)
 
-    return run
+    return spread(docs.select(*dict.fromkeys([*own, "text"])), "doc_id").mapInArrow(run, schema)
 
 
-def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, carry: list[str] = ()) -> DataFrame:
+    """For each document its count of words, the spans of hit words and the items with windows in it. carry
+    names columns to keep."""
+
+    def made(part, counts, spans, items):
+        return {
+            "n_words": pa.array(counts, pa.int64()),
+            "starts": pa.array([[x for x, _ in s] for s in spans], pa.list_(pa.int64())),
+            "ends": pa.array([[y for _, y in s] for s in spans], pa.list_(pa.int64())),
+            "items": pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string())),
+        }
+
+    kinds = {"n_words": T.LongType(), "starts": T.ArrayType(T.LongType()), "ends": T.ArrayType(T.LongType()), "items": T.ArrayType(T.StringType())}
+    return _searched(docs, benchmark, window, block_words, list(dict.fromkeys(["doc_id", *carry])), kinds, made)
+
+
+def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, texts without the spans of test items, and whether a row's text was_cut."""
-    schema = T.StructType([*docs.schema, T.StructField("was_cut", T.BooleanType())])
-    found = find(docs, benchmark, window, carry=docs.columns)
 
-    def run(batches):
-        at = docs_columns.index("text")
-        for batch in batches:
-            starts, ends = batch.column("starts"), batch.column("ends")
-            was = [bool(n) for n in starts.to_pylist()]
-            part = batch.select(docs_columns)
-            if any(was):
-                texts = part.column(at).to_pylist()
-                for i, hit in enumerate(was):
-                    if hit:
-                        texts[i] = cut_words(texts[i], list(zip(starts[i].as_py(), ends[i].as_py())))
-                part = part.set_column(at, docs_columns[at], pa.array(texts, part.column(at).type))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(was)], [*docs_columns, "was_cut"])
+    def made(part, counts, spans, items):
+        was = [bool(s) for s in spans]
+        texts = part.column("text")
+        if any(was):
+            texts = pa.array([cut_words(t, s) if s else t for t, s in zip(texts.to_pylist(), spans)], texts.type)
+        return {"text": texts, "was_cut": pa.array(was)}
 
-    docs_columns = docs.columns
-    return found.mapInArrow(run, schema)
+    return _searched(docs, benchmark, window, block_words, docs.columns, {"was_cut": T.BooleanType()}, made)
 
 
 def op6_fm_index(spark, sf_dir: str) -> DataFrame:
@@ -317,7 +304,7 @@ def op6_fm_index(spark, sf_dir: str) -> DataFrame:
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (F.size("starts") > 0).alias("contaminated"),
     )
 
 
