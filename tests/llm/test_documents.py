@@ -212,36 +212,6 @@ def test_pii(docs, empty):
     assert next(x for x in got if x["doc_id"] == 6)["redacted_text"] is None
 
 
-def test_tagger_on_held_out_windows():
-    p = pii.trained()
-    x, y = pii.labelled(200, 12345)
-    tags, _ = pii.viterbi(pii.emissions(x, p), p["A"])
-    assert (tags == y).mean() > 0.94 and (tags == y)[y > 0].mean() > 0.8
-
-
-def test_tagger_adds_what_the_patterns_drop():
-    text = "Des +1 (826) 555-4081 190.137.223.20 and call (555) 123-4567 now, page 12 of 2024."
-    found = pii.reconcile(text, pii.base_spans(text), pii.tag_texts([text], pii.trained())[0])
-    assert ("ip", 22, 36) in found or any(k == "phone" for k, _, _ in found)
-    assert not any(text[a:b].startswith("2024") for _, a, b in found)
-
-
-def test_lstm_gradients():
-    rng = np.random.default_rng(0)
-    p = {"E": rng.normal(size=(pii.CLASSES, pii.EMBED)), "O": rng.normal(size=(2 * pii.HIDDEN, pii.TAGS)), "o": rng.normal(size=pii.TAGS), "A": rng.normal(size=(pii.TAGS, pii.TAGS))}
-    for d in "fr":
-        p |= {"W" + d: rng.normal(size=(pii.EMBED, 4 * pii.HIDDEN)), "U" + d: rng.normal(size=(pii.HIDDEN, 4 * pii.HIDDEN)), "b" + d: rng.normal(size=4 * pii.HIDDEN)}
-    x, y = rng.integers(0, pii.CLASSES, (3, 7)), np.array([[0, 1, 2, 0, 3, 4, 0]] * 3)
-    _, g = pii._step(x, y, p)
-    for k in ("Uf", "Wr", "A", "E", "O", "bf"):
-        i = np.unravel_index(int(np.abs(g[k]).argmax()), g[k].shape)
-        up, down = ({**p, k: p[k].copy()} for _ in range(2))
-        up[k][i] += 1e-5
-        down[k][i] -= 1e-5
-        want = (pii._step(x, y, up)[0] - pii._step(x, y, down)[0]) / 2e-5
-        assert math.isclose(want, g[k][i], rel_tol=1e-3, abs_tol=1e-6), k
-
-
 def test_ordinal(spark, docs, empty):
     rng = random.Random(5)
     good = ["the", "of", "and", "in", "to", "was", "that"]
