@@ -53,13 +53,18 @@ def discard(df: DataFrame) -> None:
 
 def bucketed(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """df in a table of the shared folder, bucketed by keys, so that joins on them don't move its rows again."""
-    spark = df.sparkSession
     n = task_count(df)
+    return save_bucketed(df.repartition(n, *keys), n, keys, tag)
+
+
+def save_bucketed(df: DataFrame, n: int, keys: list[str], tag: str) -> DataFrame:
+    """The same for rows that are dealt over n tasks by a hash of keys already."""
+    spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    df.repartition(n, *keys).write.option("compression", "zstd").option("path", path).bucketBy(n, *keys).format("parquet").saveAsTable(name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, *keys).format("parquet").saveAsTable(name)
     out = spark.table(name)
-    out.scratch_path, out.scratch_table = path, name
+    out.scratch_path, out.scratch_table, out.n_buckets = path, name, n
     return out
 
 
