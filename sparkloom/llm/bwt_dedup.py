@@ -3,22 +3,25 @@
 1. Every window of LENGTH bytes has a minimizer: its GRAM-byte string of least hash, the leftmost of equals. The
    windows in a row with one minimizer form a segment. Equal windows have equal minimizers, so a minimizer that
    occurs once has no repeated window, and only segments of one minimizer need to be compared.
-2. Segments of equal content are counted before they are shipped. Where all segments of a minimizer are equal,
-   all their windows are repeated. Of the others one copy of each content, with its count, goes to a bucket.
-3. A bucket's segments are dealt into shards. Each shard's Burrows-Wheeler transform is built, and the
+2. Of segments of equal content (by 128 bits of hash, minimizer and length) one copy, with their count, goes to a bucket of
+   some BUCKET_BYTES.
+3. A minimizer whose contents exceed MOST_BYTES is split, so that no task gets more: its contents are cut into segments
+   again, by minimizers of another hash function, twice if need be, and then into single windows. Equal windows stay together
+   in each cut.
+4. A bucket's segments are dealt into shards. Each shard's Burrows-Wheeler transform is built, and the
    transforms are merged by iterative refinement of their interleave: a round orders all suffixes by q more
    bytes by one stable sort of the interleave by the q-byte strings before them; suffixes are not sorted again.
-   After LENGTH bytes, equal windows stand together; neighbours' common prefixes give the intervals, and an
-   interval of count two or more is repeated.
-4. A minimizer with more than HOT different segments is too large for one task: its windows are counted one by
-   one instead, by their hash, which any number of tasks share.
+   A round also tells which neighbours differ in these bytes or did before, so after rounds of LENGTH bytes in all the
+   intervals of common prefixes of LENGTH bytes are known, and one that counts two windows or more is repeated. Bytes
+   are compared by their order throughout, never by hash.
 5. The repeated windows of each text are joined to spans, and what is left of the text is hashed.
 
 Texts lie in a table in the shared folder, bucketed by key, so that the later joins don't ship them again.
 
 Defined cases: a null text is empty; rows of a null doc_id are documents like others; a text shorter than LENGTH loses nothing; equal rows are documents of
 their own, so all their windows are repeated; spans that touch are one; a removed span may begin or end inside a
-character; an empty table gives an empty result; other columns are not read.
+character; a very long text takes some 100 bytes of memory a byte while it is cut into segments; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .base import bucketed, materialize, table
+from .base import bucketed, discard, materialize, table
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # grams in a window
-SHARDS, BUCKET_BYTES, HOT = 2, 1 << 20, 20_000
+BUCKET_BYTES, MOST_BYTES, SHARD_BYTES, MOST_SHARDS = 1 << 20, 1 << 20, 1 << 18, 8
+#: Bytes by which each round of the refinement goes on; LENGTH in all.
+ROUNDS = (8, 32, 32, 32, 32, 32, 32)
+#: Cuts by further minimizers before single windows.
+CUTS = 2
 
 
 def text_table(docs: DataFrame) -> DataFrame:
@@ -45,43 +52,74 @@ def text_table(docs: DataFrame) -> DataFrame:
     return bucketed(df, ["doc_id", "row"], "texts")
 
 
+_OTHER = V.splitmix(99, 256)
+_BASE = 0xC2B2AE3D27D4EB4F | 1
+
+
+def _other_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of a second polynomial, one more than bytes."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_OTHER[data] * V.powers(_BASE, len(data)), out=out[1:])
+    return out
+
+
+def _other_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return V.mix((sums[ends] - sums[starts]) * V.powers(pow(_BASE, -1, 1 << 64), len(sums))[starts])
+
+
+def cut(data: np.ndarray, offs: np.ndarray, level: int = 0) -> tuple[np.ndarray, ...]:
+    """Segments of the rows of data: row, minimizer, two hashes of content and place, first window in its row, and
+    number of windows. Each level has its own minimizers; beyond CUTS a segment is one window."""
+    none = (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3, *[np.zeros(0, np.int64)] * 2)
+    n = len(data) - GRAM + 1
+    if n < SPAN:
+        return none
+    sums = V.prefix_sums(data)
+    last = np.repeat(offs[1:], np.diff(offs))[: n - SPAN + 1] - LENGTH
+    p = np.flatnonzero(np.arange(len(last)) <= last)
+    if not len(p):
+        return none
+    if level > CUTS:
+        first, own = p, np.ones(len(p), np.int64)
+        m, least = first, V.span_hashes(sums, first, first + LENGTH)
+    else:
+        at = np.arange(n)
+        h = V.span_hashes(sums, at, at + GRAM)
+        key = ((V.mix(h + np.uint64(level)) if level else h) & np.uint64(0xFFFFFFFF << 32)) | at.astype(np.uint64)
+        size = 1
+        while size < SPAN:
+            step = min(size, SPAN - size)
+            key = np.minimum(key[:-step], key[step:])
+            size += step
+        m = (key[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1))))
+        first, m = p[edge], m[edge]
+        own = p[np.append(edge[1:], len(p)) - 1] - first + 1
+        least = h[m]
+    place = V.mix(((m - first) * 1000 + own).astype(np.uint64))
+    end = first + own - 1 + LENGTH
+    s, t = V.mix(V.span_hashes(sums, first, end) ^ place), V.mix(_other_hashes(_other_sums(data), first, end) + place)
+    row = np.searchsorted(offs, first, "right") - 1
+    return row, least, s, t, first - offs[row], own
+
+
 def segments(texts: DataFrame) -> DataFrame:
-    """Rows (doc_id, row, h, s, p, own): minimizer, content and place hashes of each segment, its first window
-    and its number of windows."""
+    """Rows (doc_id, row, h, s, t, p, own): minimizer, hashes of content and place, first window and number of windows."""
 
     def run(batches):
         for batch in batches:
             ids, rows = batch.column("doc_id"), batch.column("row")
             for a, _, data, offs in V.chunks(batch.column("text"), 1 << 20):
-                n = len(data) - GRAM + 1
-                if n < SPAN:
-                    continue
-                sums = V.prefix_sums(data)
-                at = np.arange(n)
-                h = V.span_hashes(sums, at, at + GRAM)
-                key = (h & np.uint64(0xFFFFFFFF << 32)) | at.astype(np.uint64)
-                size = 1
-                while size < SPAN:
-                    step = min(size, SPAN - size)
-                    key = np.minimum(key[:-step], key[step:])
-                    size += step
-                last = np.repeat(offs[1:], np.diff(offs))[: len(key)] - LENGTH
-                p = np.flatnonzero(np.arange(len(key)) <= last)
-                if not len(p):
-                    continue
-                m = (key[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                cut = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1))))
-                first, m = p[cut], m[cut]
-                own = p[np.append(cut[1:], len(p)) - 1] - first + 1
-                s = V.mix(V.span_hashes(sums, first, first + own - 1 + LENGTH) ^ V.mix(((m - first) * 1000 + own).astype(np.uint64)))
-                doc = np.searchsorted(offs, first, "right") - 1
-                take = pa.array(doc + a)
+                row, h, s, t, p, own = cut(data, offs)
+                take = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), rows.take(take), pa.array(h[m].view(np.int64)), pa.array(s.view(np.int64)), pa.array((first - offs[doc]).astype(np.int32)), pa.array(own.astype(np.int32))],
-                    ["doc_id", "row", "h", "s", "p", "own"],
+                    [ids.take(take), rows.take(take), *(pa.array(x.view(np.int64)) for x in (h, s, t)), pa.array(p.astype(np.int32)), pa.array(own.astype(np.int32))],
+                    ["doc_id", "row", "h", "s", "t", "p", "own"],
                 )
 
-    return texts.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, h long, s long, p int, own int")
+    return texts.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, h long, s long, t long, p int, own int")
 
 
 # --- transforms ------------------------------------------------------------------------------------------------
@@ -131,75 +169,73 @@ def transform(text: np.ndarray, order: np.ndarray, codes: np.ndarray, q: int) ->
     return codes[(order - q) % len(text)]
 
 
-def gram_codes(texts: list[np.ndarray], q: int) -> list[np.ndarray]:
-    """Codes, in their order, of the q-byte strings (8 or 16) at each place of each text, the same for all texts."""
+def gram_codes(texts: list[np.ndarray], sizes: set[int]) -> dict[int, list[np.ndarray]]:
+    """Codes, in their order, of the strings of 8, 16 or 32 bytes at each place of each text, the same for all texts."""
     cuts = np.cumsum([len(t) for t in texts])[:-1]
     codes = np.split(_ranks(np.concatenate([_grams(t, 8) for t in texts]))[1], cuts)
-    if q == 16:
-        pairs = [(c << np.uint64(32)) | np.roll(c, -(8 % len(c))) for c in codes]
+    out, q = {8: codes}, 8
+    while q < max(sizes):
+        pairs = [(c << np.uint64(32)) | np.roll(c, -(q % len(c))) for c in codes]
         codes = np.split(_ranks(np.concatenate(pairs))[1], cuts)
-    return codes
+        q *= 2
+        out[q] = codes
+    return out
 
 
-def merge_transforms(transforms: list[np.ndarray], q: int, depth: int = LENGTH) -> np.ndarray:
-    """The interleave of at most 8 transforms: which one each suffix comes from, in the order of first depth bytes.
+def merge_transforms(transforms: dict[int, list[np.ndarray]], rounds: tuple = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of at most 8 transforms: which one each suffix comes from, in the order of the first bytes, as many
+    as the rounds have in all; and the number of the interval of suffixes that share all these bytes. transforms: by each q.
 
-    Round k takes the symbols in the present interleave and sorts the interleave by them, stably: suffixes
-    that were in order by k bytes are then in order by k + q. It ends early when a round changes nothing."""
-    z = np.repeat(np.arange(len(transforms), dtype=np.uint64), [len(t) for t in transforms])
-    merged = np.empty(len(z), np.uint64)
+    A round takes the symbols in the present interleave and sorts the interleave by them, stably: suffixes
+    that were in order by k bytes are then in order by k + q. Two neighbours share k + q bytes if they have one symbol
+    and what follows it was in one interval."""
+    sizes = [len(t) for t in next(iter(transforms.values()))]
+    z = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    merged, interval = np.empty(len(z), np.uint64), np.zeros(len(z), np.int64)
     place = np.arange(len(z), dtype=np.uint64) << np.uint64(3)
-    shift = np.uint64(max(1, len(z).bit_length()) + 3)
-    k = 0
-    while k < depth:
-        for s, symbols in enumerate(transforms):
+    bits = np.uint64(max(1, len(z).bit_length()))
+    shift = bits + np.uint64(3)
+    for q in rounds:
+        for s, symbols in enumerate(transforms[q]):
             merged[z == np.uint64(s)] = symbols
-        new = np.sort((merged << shift) | place | z) & np.uint64(7)
-        k += q
-        if np.array_equal(new, z):
-            break
-        z = new
-    return z
+        key = np.sort((merged << shift) | place | z)
+        z = key & np.uint64(7)
+        key >>= np.uint64(3)
+        was = interval[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+        key >>= bits
+        interval = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (was[1:] != was[:-1]))))
+    return z, interval
 
 
-def repeated(parts: list[bytes], own: np.ndarray, weight: np.ndarray, shards: int = SHARDS) -> list[np.ndarray]:
+def repeated(parts: list[bytes], own: np.ndarray, weight: np.ndarray, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each segment, marks of its windows that occur twice or more, a segment counting weight times."""
     sizes = np.array([len(x) for x in parts])
-    shards = max(1, min(shards, len(parts)))
+    shards = max(1, min(MOST_SHARDS, len(parts), -(-int(sizes.sum()) // shard_bytes)))
     deal = np.arange(len(parts)) % shards
     texts = [np.frombuffer(b"".join(parts[i] for i in np.flatnonzero(deal == s)), np.uint8) for s in range(shards)]
     orders = [rotations(t) for t in texts]
-    q = 16
-    z = merge_transforms([transform(t, o, c, q) for t, o, c in zip(texts, orders, gram_codes(texts, q))], q)
-    # Windows in merged order: their segment, their place in it, and their hash.
-    seg, place, hashes, real = [], [], [], []
-    for s, (t, o) in enumerate(zip(texts, orders)):
+    transforms = {q: [transform(t, o, c, q) for t, o, c in zip(texts, orders, codes)] for q, codes in gram_codes(texts, set(ROUNDS)).items() if q in ROUNDS}
+    z, interval = merge_transforms(transforms)
+    # Suffixes in merged order: their segment and their place in it; those that don't begin a window go.
+    seg, place = [], []
+    for s, o in enumerate(orders):
         mine = np.flatnonzero(deal == s)
         begin = np.cumsum(sizes[mine]) - sizes[mine]
         owner = np.repeat(np.arange(len(mine)), sizes[mine])[o]
-        at = o - begin[owner]
-        inside = at < own[mine[owner]]
-        sums = V.prefix_sums(t)
-        ends = np.minimum(o + LENGTH, len(t))
         seg.append(mine[owner])
-        place.append(at)
-        real.append(inside)
-        hashes.append(V.span_hashes(sums, o, ends))
+        place.append(o - begin[owner])
     back = np.empty(len(z), np.int64)
     back[np.argsort(z.astype(np.uint8), kind="stable")] = np.arange(len(z))
-    seg, place, hashes, real = (np.concatenate(x)[back] for x in (seg, place, hashes, real))
-    seg, place, hashes = seg[real], place[real], hashes[real]
-    out = [np.zeros(n, bool) for n in own.tolist()]
-    if len(hashes):
-        edge = np.concatenate(([True], hashes[1:] != hashes[:-1]))  # where the common prefix is shorter than a window
-        starts = np.flatnonzero(edge)
+    seg, place = np.concatenate(seg)[back], np.concatenate(place)[back]
+    real = place < own[seg]
+    seg, place, interval = seg[real], place[real], interval[real]
+    flat = np.zeros(int(own.sum()), bool)
+    if len(seg):
+        starts = np.flatnonzero(np.concatenate(([True], interval[1:] != interval[:-1])))
         total = np.add.reduceat(weight[seg], starts)
-        hit = np.flatnonzero(np.repeat(total > 1, np.diff(np.append(starts, len(hashes)))))
-        flat = np.zeros(int(own.sum()), bool)
-        base = np.cumsum(own) - own
-        flat[base[seg[hit]] + place[hit]] = True
-        out = np.split(flat, np.cumsum(own)[:-1])
-    return out
+        hit = np.flatnonzero(np.repeat(total > 1, np.diff(np.append(starts, len(seg)))))
+        flat[(np.cumsum(own) - own)[seg[hit]] + place[hit]] = True
+    return np.split(flat, np.cumsum(own)[:-1])
 
 
 def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,62 +243,79 @@ def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def compared(contents: DataFrame, n_bytes: int) -> DataFrame:
-    """Rows (h, s, a, b): the runs [a, b) of repeated windows of each segment's content."""
+MARKS = "h long, s long, t long, a int, b int"
+
+
+def compared(contents: DataFrame) -> DataFrame:
+    """Rows (h, s, t, a, b): the runs [a, b) of repeated windows of each segment's content."""
+    n_bytes = contents.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     buckets = max(1, -(-n_bytes // BUCKET_BYTES))
 
     def run(t):
-        t = t.sort_by([("h", "ascending"), ("s", "ascending")])
-        own = t.column("own").to_numpy()
-        marks = repeated(t.column("content").to_pylist(), own, t.column("c").to_numpy())
-        h, s = t.column("h").to_numpy(), t.column("s").to_numpy()
-        out = [[], [], [], []]
-        for i, m in enumerate(marks):
-            a, b = runs(m)
-            for o, v in zip(out, (np.full(len(a), h[i]), np.full(len(a), s[i]), a, b)):
-                o.append(v)
-        cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int64, np.int32, np.int32))], names=["h", "s", "a", "b"])
+        t = t.sort_by([("h", "ascending"), ("s", "ascending"), ("t", "ascending")])
+        marks = repeated(t.column("content").to_pylist(), t.column("own").to_numpy(), t.column("c").to_numpy())
+        found = [runs(m) for m in marks]
+        n = [len(a) for a, _ in found]
+        names = [np.repeat(t.column(c).to_numpy(), n) for c in ("h", "s", "t")]
+        ends = [np.concatenate(x).astype(np.int32) for x in zip(*found)]
+        return pa.table([pa.array(x) for x in (*names, *ends)], names=["h", "s", "t", "a", "b"])
 
     dealt = contents.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(run, "h long, s long, a int, b int")
+    return dealt.groupBy("bucket").applyInArrow(run, MARKS)
+
 
+def marked(contents: DataFrame, level: int = 0) -> DataFrame:
+    """The same; contents has a row (h, s, t, c, own, content) for each different segment. Minimizers of too many bytes are
+    cut into segments of the next level."""
+    large = materialize(contents.groupBy("h").agg(F.sum(F.octet_length("content")).alias("n")).where(f"n > {MOST_BYTES}").select("h"), "large")
+    if level > CUTS or large.isEmpty():
+        return compared(contents)
+    near = materialize(contents.join(large, "h", "left_anti"), "contents")
+    parts = materialize(recut(contents.join(large, "h", "left_semi"), level + 1), "parts")
+    total = parts.groupBy("h2").agg(F.sum("c").alias("n")).where("n > 1").select("h2")
+    some = parts.join(materialize(total, "again"), "h2")
+    kinds = some.groupBy(F.col("h2").alias("h"), F.col("s2").alias("s"), F.col("t2").alias("t")).agg(F.sum("c").alias("c"), F.first("own").alias("own"), F.first("content").alias("content"))
+    inner = materialize(marked(materialize(kinds, "contents"), level + 1), "marks").toDF("h2", "s2", "t2", "a", "b")
+    back = parts.drop("content").join(inner, ["h2", "s2", "t2"]).select("h", "s", "t", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
+    return compared(near).unionAll(back)
 
-def counted(contents: DataFrame) -> DataFrame:
-    """The same for hot minimizers, window by window: rows (h, s, a, b) of single windows."""
+
+def recut(contents: DataFrame, level: int) -> DataFrame:
+    """Segments of a level, with their content, of contents: (h2, s2, t2) of window p on of (h, s, t)."""
 
     def run(batches):
         for batch in batches:
-            for h, s, c, own, content in zip(*(batch.column(x) for x in ("h", "s", "c", "own", "content"))):
-                data, k = np.frombuffer(content.as_buffer(), np.uint8), own.as_py()
-                at = np.arange(k)
-                w = V.span_hashes(V.prefix_sums(data), at, at + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, h.as_py())), pa.array(np.full(k, s.as_py())), pa.array(np.full(k, c.as_py())), pa.array(at.astype(np.int32)), pa.array(w.view(np.int64))], ["h", "s", "c", "a", "w"])
+            for lo, hi, data, offs in V.chunks(batch.column("content"), 1 << 20):
+                part = batch.slice(lo, hi - lo)
+                row, h, s, t, p, own = cut(data, offs, level)
+                take, first = pa.array(row), offs[row] + p
+                raw = data.tobytes()
+                content = [raw[x : x + n + LENGTH - 1] for x, n in zip(first.tolist(), own.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(c).take(take) for c in ("h", "s", "t", "c")),
+                        *(pa.array(x.view(np.int64)) for x in (h, s, t)), pa.array(p.astype(np.int32)), pa.array(own.astype(np.int32)), pa.array(content, pa.binary()),
+                    ],
+                    ["h", "s", "t", "c", "h2", "s2", "t2", "p", "own", "content"],
+                )
 
-    windows = contents.select("h", "s", "c", "own", "content").mapInArrow(run, "h long, s long, c long, a int, w long")
-    often = windows.groupBy("h", "w").agg(F.sum("c").alias("n")).where("n > 1").select("h", "w")
-    return windows.join(often, ["h", "w"], "left_semi").select("h", "s", "a", (F.col("a") + 1).alias("b"))
+    return contents.select("h", "s", "t", "c", "content").mapInArrow(run, "h long, s long, t long, c long, h2 long, s2 long, t2 long, p int, own int, content binary")
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """Rows (doc_id, row, a, b): runs [a, b) of starts of repeated windows."""
     own = materialize(segments(texts), "segments")
-    again = own.groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1").select("h", (F.col("s0") != F.col("s1")).alias("mixed"))
-    found = materialize(own.join(again.hint("shuffle_hash"), "h"), "again")
-    whole = found.where("not mixed").select("doc_id", "row", F.col("p").alias("a"), (F.col("p") + F.col("own")).alias("b"))
-    mixed = found.where("mixed")
-    kinds = mixed.groupBy("h", "s").agg(F.min(F.struct("doc_id", "row", "p", "own")).alias("r"), F.count("*").alias("c")).select("h", "s", "c", "r.*")
+    # Read again, so that a hot minimizer's segments are split over tasks.
+    again = materialize(own.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
+    found = materialize(own.join(again, "h"), "again")
+    for df in (own, again):
+        discard(df)
+    kinds = found.groupBy("h", "s", "t").agg(F.min(F.struct("doc_id", "row", "p", "own")).alias("r"), F.count("*").alias("c")).select("h", "s", "t", "c", "r.*")
     content = F.substring(F.col("text").cast("binary"), F.col("p") + 1, F.col("own") + (LENGTH - 1))
-    contents = materialize(kinds.join(texts, ["doc_id", "row"]).groupBy("h", "s").agg(F.first("c").alias("c"), F.first("own").alias("own"), F.first(content).alias("content")), "contents")
-    sizes = contents.groupBy("h").agg(F.count("*").alias("k"))
-    hot = sizes.where(f"k > {HOT}").select("h")
-    n_bytes = contents.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    if hot.isEmpty():
-        marks = compared(contents, n_bytes)
-    else:
-        marks = compared(contents.join(hot, "h", "left_anti"), n_bytes).unionAll(counted(contents.join(hot, "h", "left_semi")))
-    part = mixed.join(marks, ["h", "s"]).select("doc_id", "row", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
-    return whole.unionAll(part)
+    # Equal rows of one document give the same content several times.
+    contents = materialize(kinds.join(texts, ["doc_id", "row"]).select("h", "s", "t", "c", "own", content.alias("content")).dropDuplicates(["h", "s", "t"]), "contents")
+    marks = materialize(marked(contents), "marks")
+    return found.join(marks, ["h", "s", "t"]).select("doc_id", "row", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
 
 
 def merged_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -279,7 +332,7 @@ def merged_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row; on request the kept bytes."""
     texts = text_table(docs)
-    spans = repeated_windows(texts).groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("w"))
+    spans = repeated_windows(texts).groupBy("doc_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("w"))  # equal rows have the same
     rows = texts.join(spans, ["doc_id", "row"], "left").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
 
     def run(batches):

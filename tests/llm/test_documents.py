@@ -154,9 +154,9 @@ def brute_removal(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_bwt_dedup(docs, empty, hot, monkeypatch):
-    monkeypatch.setattr(bwt_dedup, "HOT", hot)
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_bwt_dedup(docs, empty, most, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "MOST_BYTES", most)  # 1: every minimizer is cut again, down to single windows
     got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in bwt_dedup.dedup(docs).collect())
     assert got == sorted((i, *x) for (i, *_), x in zip(rows(), brute_removal([t for _, t, *_ in rows()])))
     assert bwt_dedup.dedup(empty).count() == 0
@@ -167,7 +167,7 @@ def test_merged_transforms_sort_all_windows():
     parts = ["".join(rng.choice("ab") for _ in range(rng.randrange(210, 420))).encode() for _ in range(9)]
     parts.append(parts[0][5:230])
     own = np.array([len(p) - 199 for p in parts])
-    got = bwt_dedup.repeated(parts, own, np.ones(len(parts), int))
+    got = bwt_dedup.repeated(parts, own, np.ones(len(parts), int), 700)
     c = Counter(p[i : i + 200] for p, n in zip(parts, own) for i in range(n))
     assert [m.tolist() for m in got] == [[c[p[i : i + 200]] > 1 for i in range(n)] for p, n in zip(parts, own)]
 

@@ -17,9 +17,9 @@ def say(seed: int, n: int) -> str:
     return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_windows_of_rows_without_id(spark, hot, monkeypatch):
-    monkeypatch.setattr(bwt_dedup, "HOT", hot)
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_windows_of_rows_without_id(spark, most, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "MOST_BYTES", most)  # 1: every minimizer is cut again, down to single windows
     core = say(1, 60)
     docs = [(None, say(2, 20) + core + say(3, 9)), (5, say(4, 11) + core + say(5, 30)), (0, say(6, 25) + core), (None, say(7, 80)), (8, None), (None, None), (None, core + say(9, 40))]
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in bwt_dedup.dedup(spark.createDataFrame(docs, SCHEMA)).collect()]
