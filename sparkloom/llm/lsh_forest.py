@@ -7,15 +7,19 @@
    row with the WINDOW rows before it in its region and with the region's first row.
 3. Candidates of low estimated similarity are left out (the bound is 4.5 standard errors below the threshold);
    the others join documents to families.
-4. A region that was wider than the window and holds several families compares all its pairs across families
-   by signature, in blocks, and tells which families to join. A region of over REGION rows first goes one
-   value deeper, as often as the label allows (adaptive depth), then is split into pairs of blocks.
+4. A region that was wider than the window and holds several families is split until no part has more than REGION
+   rows: it goes one value deeper as often as the label allows (adaptive depth), then into FURTHER trees of its own,
+   STEP values deeper each time, until all K values agree. A part compares all its pairs across families by signature
+   and tells which families to join; rows that agree in all values are joined to their first one.
 5. Families are confirmed on full sets, a block of rows at a time: intersections of all its pairs are one matrix
    product over the shingles that several rows share. Each block also holds the family's HUBS first rows, which
-   tie blocks of true copies together. Only families that still are in parts go through all pairs of blocks.
+   tie blocks of true copies together. Of a family that is still in parts, the forest's regions that hold several
+   parts are split in the same way, to ROWS rows, and confirmed, so a row is in some tens of blocks however large
+   its family is.
 
 Tasks return trees of links, never pairs of a group, and no group is dropped, capped or sampled. A pair of
-similarity 0.75 has a common prefix of 3 in at least one of 32 trees but for a chance of 2.4e-8.
+similarity 0.75 has a common prefix of 3 in at least one of 32 trees but for a chance of 2.4e-8, and where a region
+is split by further trees keeps a common part but for 1.6e-4 a step.
 
 Defined cases: a null or empty text has no shingles, is linked with nothing and kept; fewer words than a
 shingle form one shingle; repeated rows of a doc_id are one document (of different texts, the one of the
@@ -39,13 +43,16 @@ from .components import connected_components
 
 K, TREES, DEPTH, BASE = 96, 32, 6, 3
 SHINGLE, PERCENT = 5, 75
-WINDOW, REGION, BLOCK = 4, 4096, 2048
+WINDOW, REGION = 4, 4096
+#: Trees of a region that is still too large at full depth, and values by which these go deeper.
+FURTHER, STEP = 16, 3
 #: Rows and shingles of a block of a family, and rows of a family that all its blocks hold.
 ROWS, SHINGLES, HUBS = 1024, 600_000, 8
 #: Estimates below go no further: 0.75 less 4.5 standard errors of an estimate from K values.
 LEAST_ESTIMATE = 0.55
 _A = V.splitmix(5, K) | np.uint64(1)
 _B = V.splitmix(6, K)
+_FURTHER = np.array([np.random.default_rng(1000 + t).permutation(K) for t in range(FURTHER)])
 _ORDERS = np.array([np.random.default_rng(t).permutation(K)[:DEPTH] for t in range(TREES)])
 
 
@@ -255,7 +262,7 @@ def confirmed(families: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
     sized = families.join(classes.select("id", "n"), "id")
     totals = sized.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("total") / SHINGLES)).cast("int")
-    rows = materialize(sized.join(totals.select("family", blocks.alias("k")), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).select("id", "family", "k", "block"), "family")
+    rows = materialize(sized.join(totals.select("family", blocks.alias("k")), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).select("id", "family", "n", "k", "block"), "family")
     wide = rows.where("k > 1")
     # The first rows of a family by a hash, found by partial minima, stand in all its blocks.
     hubs = wide.withColumn("slot", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(HUBS))).groupBy("family", "slot").agg(F.min("id").alias("id"), F.first("k").alias("k"))
@@ -264,49 +271,77 @@ def confirmed(families: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
     if wide.isEmpty():
         return first
     comps = materialize(connected_components(first, "a", "b"), "comp")
-    named = wide.join(comps.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    named = wide.join(comps.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")).select("id", "family", "c", "n")
     parted = named.groupBy("family").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("family")
-    left = named.join(parted, "family", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("other <> block")
-    pairs = left.select("id", "family", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
-    return first.unionAll(materialize(family_links(pairs, texts), "link"))
-
-
-def open_regions(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (region, ka, kb, own, id, c) of the wide regions that hold several components: each region as deep
-    as needed for REGION rows, then in pairs of blocks; (ka, kb) is the pair of blocks that a row takes part in.
-    members: id, key, rest."""
-    rows = members.join(comps.select("id", F.col("component").alias("c")), "id", "left").select("id", "key", "rest", F.coalesce("c", "id").alias("c"))
-    out, depth = None, BASE
-    while depth <= DEPTH:
-        if depth > BASE:
+    left = materialize(named.join(parted, "family", "left_semi"), "parted")
+    if left.isEmpty():
+        return first
+    trees = labels(classes.join(left.select("id"), "id", "left_semi")).join(left, "id").withColumn("key", F.xxhash64("key", "family"))
+    small, same = split(trees, classes, ROWS, SHINGLES)
+    parts = small.select("id", "family", F.col("key").cast("string").alias("part"))
+    # Rows of one signature, too many for a block: blocks with the same first rows again.
+    m = same.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("k"))
+    same = same.join(m, "key")
+    part = F.concat_ws("-", "key", F.pmod(F.xxhash64("id"), F.col("k")))
+    hubs = same.withColumn("slot", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(HUBS))).groupBy("key", "slot").agg(F.min("id").alias("id"), F.first("family").alias("family"), F.first("k").alias("k"))
+    hubs = hubs.select("id", "family", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "key").select("id", "family", F.concat_ws("-", "key", "i").alias("part"))
+    return first.unionAll(materialize(family_links(parts.unionAll(same.select("id", "family", part.alias("part"))).unionAll(hubs), texts), "link"))
+
+
+def split(rows: DataFrame, classes: DataFrame, most: int, shingles: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The regions of rows (id, key, rest, c, n and others) that hold several c, in parts (by key) of at most `most` rows and
+    so many shingles, or of HUBS rows; and those too large parts whose rows agree in all K values."""
+    fits = f"m <= {most}" + ("" if shingles is None else f" and (m <= {HUBS} or total <= {shingles})")
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.sum("n").alias("total")).where("m > 1 and c1 < c2")
+        found = materialize(rows.join(materialize(sizes.select("key", "m", "total"), "sizes"), "key"), "open")
+        return found.where(fits).drop("m", "total"), found.where(f"not ({fits})").drop("m", "total")
+
+    small, rows = parted(rows)
+    depth, step = BASE, 0
+    while not rows.isEmpty() and step < K:
+        if depth < DEPTH:
+            depth += 1
             rows = rows.withColumn("key", F.xxhash64("key", F.shiftrightunsigned("rest", 16 * (DEPTH - depth)).bitwiseAND(F.lit(65535))))
-        sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 1 and c1 < c2").select("key", "m")
-        found = materialize(rows.join(sizes, "key"), "open")
-        here = found if depth == DEPTH else found.where(f"m <= {REGION}")
-        blocks = F.when(F.col("m") <= REGION, F.lit(1)).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
-        part = (
-            here.withColumn("n_blocks", blocks)
-            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-            .select(F.col("key").alias("region"), F.least("own", "other").alias("ka"), F.greatest("own", "other").alias("kb"), "own", "id", "c")
-        )
-        out = part if out is None else out.unionAll(part)
-        rows = found.where(f"m > {REGION}").drop("m")
-        if rows.isEmpty():
-            break
-        depth += 1
-    return out
+        else:
+            rows = deeper(rows, classes, step)
+            step += STEP
+        here, rows = parted(rows)
+        small = small.unionByName(here)
+    return small, rows
+
+
+def deeper(rows: DataFrame, classes: DataFrame, step: int) -> DataFrame:
+    """The rows with keys of STEP values more; at first, of each further tree. rest then is the tree's number."""
+    own = [c for c in rows.columns if c not in ("key", "rest")]
+
+    def run(batches):
+        for batch in batches:
+            sig = _matrix(batch.column("sig"), K, np.uint16).astype(np.uint64)
+            key, at = batch.column("key").to_numpy().view(np.uint64), np.arange(batch.num_rows)
+            trees = range(FURTHER) if step == 0 else [batch.column("rest").to_numpy()]
+            for t in trees:
+                with np.errstate(over="ignore"):
+                    new = key + np.uint64(t + 1) if step == 0 else key
+                    for i in range(step, step + STEP):
+                        new = V.mix(new * np.uint64(V.R) + sig[at, _FURTHER[t, i]])
+                rest = np.full(len(at), t) if step == 0 else t
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(new.view(np.int64)), pa.array(rest)], [*own, "key", "rest"])
+
+    kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes if c in own) + ", key long, rest long"
+    return rows.join(classes.select("id", "sig"), "id").select(*own, "key", "rest", "sig").mapInArrow(run, kinds)
 
 
 def bridges(members: DataFrame, families: DataFrame, classes: DataFrame) -> DataFrame:
-    """Trees (a, b) of what joins families in the open regions: pairs whose estimate is high enough."""
-    rows = open_regions(members, families.select("id", F.col("family").alias("component"))).join(classes.select("id", "sig", "n"), "id")
+    """Trees (a, b) of what joins families in the wide regions: pairs whose estimate is high enough. members: id, key, rest."""
+    named = members.join(families, "id", "left").select("id", "key", "rest", F.coalesce("family", "id").alias("c"), F.lit(1).alias("n"))
+    small, same = split(named, classes, REGION)
+    rows = small.select("key", "id", "c").join(classes.select("id", "sig", "n"), "id")
 
-    def run(key, t):
-        ids, c, n, own = (t.column(x).to_numpy() for x in ("id", "c", "n", "own"))
+    def run(t):
+        ids, c, n = (t.column(x).to_numpy() for x in ("id", "c", "n"))
         sig = _matrix(t.column("sig"), K, np.uint16)
-        ka, kb = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(own == ka), np.flatnonzero(own == kb)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -315,8 +350,8 @@ def bridges(members: DataFrame, families: DataFrame, classes: DataFrame) -> Data
             return x
 
         a, b = [], []
-        for i in left:
-            j = right[(c[right] != c[i]) & (np.minimum(n[right], n[i]) * 100 >= PERCENT * np.maximum(n[right], n[i]))]
+        for i in range(len(ids)):
+            j = i + 1 + np.flatnonzero((c[i + 1 :] != c[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= PERCENT * np.maximum(n[i + 1 :], n[i])))
             if len(j):
                 j = j[(sig[j, :32] == sig[i, :32]).sum(axis=1) >= 8]  # the first values settle most pairs
                 j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_ESTIMATE * K]
@@ -328,7 +363,8 @@ def bridges(members: DataFrame, families: DataFrame, classes: DataFrame) -> Data
                     b.append(int(ids[x]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("region", "ka", "kb").applyInArrow(run, "a long, b long")
+    alike = same.join(materialize(same.groupBy("key").agg(F.min("id").alias("a")), "alike"), "key").where("id <> a").select("a", F.col("id").alias("b"))
+    return rows.groupBy("key").applyInArrow(run, "a long, b long").unionAll(alike)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def shingles(t):
 @pytest.mark.parametrize("region", [4096, 2])
 def test_near_duplicates(docs, empty, region, monkeypatch):
     monkeypatch.setattr(lsh_forest, "REGION", region)
-    monkeypatch.setattr(lsh_forest, "BLOCK", 2)
+    monkeypatch.setattr(lsh_forest, "ROWS", 3)
     sets = {i: shingles(t) for i, t, *_ in rows()}
     comp = {i: i for i in sets}
     for _ in range(len(sets)):
