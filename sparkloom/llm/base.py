@@ -18,11 +18,14 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of this machine where that is
-    unset, which is only right for local mode and tests."""
+    """The folder that every executor sees: spark.checkpoint.dir, or in local mode and tests, where that is unset,
+    one of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="sparkloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)

@@ -59,6 +59,17 @@ def test_quality_rules(docs, empty):
     assert quality_rules.clean(docs).count() == len(rows()) and quality_rules.clean(empty).count() == 0
 
 
+def test_long_runs_of_marks_take_linear_time(spark):
+    import time
+
+    lines = ["!" * 300_000, "?!" * 150_000 + " x", "a!! b!! c!! d", "a!!!b??c!?", "a! b! c!", "!!x!!y!!", "!!x!!y!!z"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    began = time.time()
+    got = [r["s"] for r in df.select("i", quality_rules.F.col("x").rlike(quality_rules.SHOUTS).alias("s")).orderBy("i").collect()]
+    assert got == [bool(re.search(r"([!?]{2,}[^!?]+){3}", x)) if len(x) < 100 else False for x in lines]
+    assert time.time() - began < 20
+
+
 def test_quality_rules_long_path(docs, monkeypatch):
     want = {(r["doc_id"], r["n_repeat_words"]) for r in quality_rules.clean(docs).collect()}
     monkeypatch.setattr(quality_rules, "POSITION_BITS", 6)  # texts of over 63 words take the path of whole strings
