@@ -71,6 +71,11 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.octet_length(text) / 4).cast("long")
 
 
+def token_ratio(text: Column, tokens: Column) -> Column:
+    """Bytes for each token; 0 without tokens."""
+    return F.when(tokens > 0, F.octet_length(text) / tokens).otherwise(F.lit(0.0))
+
+
 def verb(name: Column) -> Column:
     """The leading verb of a name, or its first word."""
     low = F.lower(name)

@@ -9,13 +9,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's pattern splits text before pairs are merged.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @functools.lru_cache(maxsize=2)
-def encoding(path: str = RANKS):
+def encoding(path: str):
     import tiktoken
 
     with open(path, "rb") as f:
@@ -23,7 +22,7 @@ def encoding(path: str = RANKS):
     return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: Column, path: str = RANKS) -> Column:
+def count_tokens(text: Column, path: str) -> Column:
     @F.pandas_udf("long")
     def run(t: pd.Series) -> pd.Series:
         e = encoding(path)
@@ -32,7 +31,7 @@ def count_tokens(text: Column, path: str = RANKS) -> Column:
     return run(text)
 
 
-def truncate_tokens(text: Column, budget: int, path: str = RANKS) -> Column:
+def truncate_tokens(text: Column, budget: int, path: str) -> Column:
     @F.pandas_udf("string")
     def run(t: pd.Series) -> pd.Series:
         e = encoding(path)

@@ -19,6 +19,17 @@ def boosted(base: Column, betweenness: Column, pagerank: Column) -> Column:
     return F.when(boost > 0, F.least(base + boost, F.lit(100))).otherwise(base)
 
 
+#: Priority of a section by its kind.
+BASES = {"active-context": 100, "causal-chain": 95, "code-skeleton": 72, "skeleton-fsi": 85, "skeleton-fusi": 78, "history": 70, "rules": 55}
+ACTIVE_CODE = 95
+
+
+def base_priority(kind: Column, active: Column) -> Column:
+    """Priority of a kind of section; code of the active file is above other code."""
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in BASES.items() for x in kv]), kind)
+    return F.when((kind == "code-skeleton") & active, F.lit(ACTIVE_CODE)).otherwise(base)
+
+
 def ranked(sections: DataFrame) -> DataFrame:
     """Sections in order: priority falling, tokens rising, then ordinal."""
     return sections.orderBy("request", F.desc("priority"), "tokens", "ordinal")
@@ -73,6 +84,50 @@ def greedy(sections: DataFrame, budget: int, order: list[str], distinct: str | N
     return sections.groupBy("request").applyInPandas(fill, sections.schema)
 
 
+#: Headings of an assembled prompt, in order, and the kinds of section below each.
+HEADINGS = (
+    ("Active Context", ("active-context",)),
+    ("Call Graph (Causal Chain)", ("causal-chain",)),
+    ("Code Structure", ("code-skeleton", "skeleton-fsi", "skeleton-fusi")),
+    ("Recent Development Activity", ("history",)),
+    ("Project Rules & Conventions", ("rules",)),
+)
+
+
+def assembled(sections: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(request, text): by request a heading for each group of kinds that has sections, these in order of priority, and the
+    prompt last. sections: request, ordinal, kind, priority, content. prompts: request, prompt."""
+    place = {k: i for i, (_, kinds) in enumerate(HEADINGS) for k in kinds}
+    at = F.element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), F.col("kind"))
+    own = sections.withColumn("_o", at).where("_o is not null")
+    blocks = own.groupBy("request", "_o").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "ordinal", "content"))).alias("s"), F.count("*").alias("n"))
+    title = F.get(F.array(*[F.lit(h) for h, _ in HEADINGS]), F.col("_o"))
+    block = F.concat(F.lit("### "), title, F.lit("\n"), F.array_join(F.transform("s", lambda x: x["content"]), "\n"))
+    text = blocks.groupBy("request").agg(F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("b"))
+    head = F.concat(F.lit("STRUCTURAL CONTEXT: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" sections"), F.coalesce(F.concat(F.lit("\n\n"), "b"), F.lit("")))
+    return prompts.join(text, "request", "left").select("request", F.concat(head, F.lit("\n\n### Request\n"), "prompt").alias("text"))
+
+
+#: The keys of each pack.
+PACKS = {
+    "small": ("identity", "session_state", "patterns", "intent"),
+    "standard": ("identity", "session_state", "patterns", "decisions", "known_issues", "tasks", "file_map", "intent", "dna", "changes"),
+    "deep": ("identity", "session_state", "patterns", "decisions", "known_issues", "tasks", "file_map", "session_log", "intent", "dna", "changes", "git"),
+}
+
+
+def prompt_packs(values: DataFrame, packs: dict = PACKS) -> DataFrame:
+    """(request, variant, text, included, missing) for each request and variant: what the request has of the variant's keys, in
+    their order. values: request, key, value."""
+    rows = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(i).alias("o"), F.lit(k).alias("key")) for v, ks in packs.items() for i, k in enumerate(ks)])
+    one = values.groupBy("request", "key").agg(F.min("value").alias("value"))
+    asked = one.select("request").distinct().select("request", F.explode(rows).alias("w")).select("request", "w.*")
+    got = asked.join(one, ["request", "key"], "left").groupBy("request", "variant").agg(F.array_sort(F.collect_list(F.struct("o", "key", "value"))).alias("s"))
+    have, lack = F.filter("s", lambda x: x["value"].isNotNull()), F.filter("s", lambda x: x["value"].isNull())
+    text = F.array_join(F.transform(have, lambda x: F.concat(F.lit("## "), x["key"], F.lit("\n\n"), x["value"])), "\n\n")
+    return got.select("request", "variant", text.alias("text"), F.size(have).cast("long").alias("included"), F.array_join(F.transform(lack, lambda x: x["key"]), ",").alias("missing"))
+
+
 def char_budget(parts: list[str], budget: int, dots: str = "...") -> list[str]:
     """Sections within a budget of characters: the first that does not fit is cut, later ones that do not are left out."""
     out, left, cut = [], budget, False

@@ -13,11 +13,14 @@ _LOCAL: list[str] = []
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir and read again. Where that is unset (local mode, tests) a folder of
-    this machine is used and removed at exit."""
+    """df written under spark.checkpoint.dir and read again. Where that is unset, local mode uses a folder of this machine, which
+    is removed at exit; a cluster must set it."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="sparkloom-cut-"))
             atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,24 +85,103 @@ def framework_patterns(files: DataFrame, dependencies: DataFrame, rules=FRAMEWOR
 
 
 def agent_reports(changes: DataFrame) -> DataFrame:
-    """(file, agent, severity) of a batch of saved files. changes: file, added, removed, modified, breaking,
-    complexity, findings, tests, confidence, exported."""
-    n = F.col("added") + F.col("removed") + F.col("modified")
+    """(file, agent, severity) of a batch of saved files, by the eight kinds of agent; one of another name reports as generic.
+    changes: file, modified, breaking, complexity, findings, tests, confidence."""
     report = lambda name, severity, when=F.lit(True): F.when(when, F.struct(F.lit(name).alias("agent"), severity.alias("severity")))
     all_ = F.array(
-        report("observer", F.when(F.col("breaking") > 0, "warning").otherwise("info"), n >= 0),
+        report("observer", F.when(F.col("breaking") > 0, "warning").otherwise("info")),
         report("intent", F.when(F.col("confidence") >= 0.8, "info").otherwise("warning")),
         report("security", F.lit("critical"), F.col("findings") > 0),
         report("complexity", F.lit("warning"), F.col("complexity") > 10),
-        report("tests", F.lit("warning"), F.col("tests") > 0),
-        report("documentation", F.lit("info"), (F.col("exported") > 0) & (n > 0)),
+        report("tests", F.lit("warning"), (F.col("tests") > 0) & ((F.col("breaking") > 0) | (F.col("modified") > 0))),
+        report("patterns", F.lit("info")),
+        report("documentation", F.lit("warning"), F.col("breaking") > 0),
+        report("generic", F.lit("info")),
     )
     return changes.select("file", F.explode(F.array_compact(all_)).alias("r")).select("file", "r.agent", "r.severity")
 
 
+def is_test_path(path: Column) -> Column:
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).rlike(r"/test|/spec|\.test\.|\.spec\.")
+
+
 def test_impact(edges: DataFrame, file: str) -> DataFrame:
     """Direct dependents of a file that look like tests."""
-    return edges.where(F.col("dst") == file).select("src").distinct().where(F.lower("src").rlike(r"(^|/)(tests?|spec)(/|$)|\.(test|spec)\.|_test\.|^n[0-9]*[05]$"))
+    return edges.where(F.col("dst") == file).select("src").distinct().where(is_test_path(F.col("src")))
+
+
+#: Names that one automaton holds; more are searched for in further passes.
+NAMES = 200_000
+
+
+def coverage(skeletons: DataFrame, memory: DataFrame, enough: int = 3) -> DataFrame:
+    """(file, hits, covered): in how many memory rows (content) a skeleton's path stands, and each of its exports; covered
+    means that the skeleton may be cut short. skeletons: file, exports.
+
+    A memory row is read once for NAMES names, by an automaton of them all, and counts by name are summed before they are
+    shuffled, so no row meets each skeleton."""
+    import ahocorasick
+
+    of = skeletons.select("file", F.explode(F.concat(F.array("file"), "exports")).alias("name")).where("name <> ''")
+    spark, found, block = skeletons.sparkSession, None, []
+
+    def counts(names: tuple):
+        shared = spark.sparkContext.broadcast(names)
+
+        def run(parts):
+            automaton = ahocorasick.Automaton()
+            for n in shared.value:
+                automaton.add_word(n, n)
+            automaton.make_automaton()
+            for batch in parts:
+                hits: dict[str, int] = {}
+                for text in batch.column("content").drop_null().to_pylist():
+                    for n in {n for _, n in automaton.iter(text)}:
+                        hits[n] = hits.get(n, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.string()), pa.array(list(hits.values()), pa.int64())], ["name", "n"])
+
+        return memory.select("content").mapInArrow(run, "name string, n long")
+
+    for r in of.select("name").distinct().toLocalIterator():
+        block.append(r["name"])
+        if len(block) == NAMES:
+            found, block = counts(tuple(block)) if found is None else found.unionAll(counts(tuple(block))), []
+    if block:
+        found = counts(tuple(block)) if found is None else found.unionAll(counts(tuple(block)))
+    zero = F.lit(0).cast("long")
+    if found is None:
+        return skeletons.select("file").distinct().select("file", zero.alias("hits"), F.lit(False).alias("covered"))
+    per_file = of.join(found.groupBy("name").agg(F.sum("n").alias("n")), "name").groupBy("file").agg(F.sum("n").alias("hits"))
+    return skeletons.select("file").distinct().join(per_file, "file", "left").select("file", F.coalesce("hits", zero).alias("hits"), (F.coalesce("hits", zero) >= enough).alias("covered"))
+
+
+def file_map(symbols: DataFrame, edges: DataFrame, files: int = 50, names: int = 20) -> DataFrame:
+    """The first files by path with the names of their first symbols and how many files they use and are used by."""
+    own = symbols.groupBy("file").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("start", "name"))), 1, names), lambda x: x["name"]), ",").alias("names"))
+    few = own.orderBy("file").limit(files)  # the report is of so many files
+    outs = edges.groupBy(F.col("src").alias("file")).agg(F.count_distinct("dst").alias("outs"))
+    ins = edges.groupBy(F.col("dst").alias("file")).agg(F.count_distinct("src").alias("ins"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return few.join(outs, "file", "left").join(ins, "file", "left").select("file", "names", zero("outs"), zero("ins"))
+
+
+def skeletons(symbols: DataFrame, edges: DataFrame, types: int = 30, functions: int = 50, links: int = 20) -> DataFrame:
+    """By file: its language, its first types and functions by place, exports, files it uses and is used by, the average
+    complexity of the functions named, and how many symbols it has."""
+    ordered = F.array_sort(F.collect_list(F.struct("start", "kind", "name", "complexity", "exported", "language")))
+    of = symbols.groupBy("file").agg(ordered.alias("s"))
+    pick = lambda kind, n: F.slice(F.filter("s", lambda x: x["kind"] == kind), 1, n)
+    names = lambda xs: F.array_join(F.transform(xs, lambda x: x["name"]), ",")
+    kept = pick("function", functions)
+    total = F.aggregate(kept, F.lit(0), lambda a, x: a + x["complexity"])
+    own = of.select(
+        "file", F.get("s", F.lit(0))["language"].alias("language"), names(pick("class", types)).alias("types"), names(kept).alias("functions"), names(F.filter("s", lambda x: x["exported"])).alias("exports"),
+        F.when(F.size(kept) > 0, F.round(total / F.size(kept), 6)).alias("avg_complexity"), F.size("s").cast("long").alias("symbols"),
+    )
+    near = lambda a, b, name: edges.groupBy(F.col(a).alias("file")).agg(F.array_join(F.slice(F.array_sort(F.collect_set(b)), 1, links), ",").alias(name))
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    joined = own.join(near("src", "dst", "uses"), "file", "left").join(near("dst", "src", "used_by"), "file", "left")
+    return joined.select("file", "language", "types", "functions", "exports", "avg_complexity", "symbols", empty("uses"), empty("used_by"))
 
 
 def causal_context(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, keyword_score
+from .cut import cut_lineage
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -50,6 +51,7 @@ def bm25(rows: DataFrame, query: str, k: int, k1: float = 1.2, b: float = 0.75)
     terms = sorted(set(re.findall(WORD, query.lower())))
     words = F.regexp_extract_all(F.lower("content"), F.lit(WORD), F.lit(0))
     own = rows.select("id", words.alias("w")).select("id", F.size("w").alias("len"), *[F.size(F.filter("w", _equals(t))).alias(f"t{i}") for i, t in enumerate(terms)])
+    own = cut_lineage(own)  # counts only, so that texts are read and cut into words once
     stats = own.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])  # one row
     all_ = own.join(F.broadcast(stats))
     score = F.lit(0.0)
@@ -60,6 +62,44 @@ def bm25(rows: DataFrame, query: str, k: int, k1: float = 1.2, b: float = 0.75)
     return all_.select("id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
+_CLAUSE = re.compile(r'([+-]?)(?:"([^"]*)"|(\S+))')
+
+
+def parsed(query: str) -> list[tuple[str, list[str]]]:
+    """Clauses (must, not or should; words) of a query: words and "phrases" with + or - before them, AND and OR between, NOT
+    before. AND makes both its neighbours needed."""
+    out: list[list] = []
+    both = negate = False
+    for sign, phrase, word in _CLAUSE.findall(query):
+        if not sign and word in ("AND", "OR", "NOT"):
+            both, negate = both or word == "AND", negate or word == "NOT"
+            if word == "AND" and out and out[-1][0] == "should":
+                out[-1][0] = "must"
+            continue
+        words = re.findall(WORD, (phrase or word).lower())
+        if words:
+            out.append(["not" if sign == "-" or negate else "must" if sign == "+" or both else "should", words])
+        both = negate = False
+    return [(k, w) for k, w in out]
+
+
+def matching(rows: DataFrame, query: str) -> DataFrame:
+    """Rows (id, content) that a query allows: all that is needed, nothing that is excluded, and of the rest one word or
+    phrase at least where nothing is needed."""
+    text = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(WORD), F.lit(0)), " "), F.lit(" "))
+    clauses = [(k, F.col("_t").contains(f" {' '.join(w)} ")) for k, w in parsed(query)]
+    must, should = [c for k, c in clauses if k == "must"], [c for k, c in clauses if k == "should"]
+    ok = F.lit(bool(must or should))
+    for k, c in clauses:
+        ok = ok & c if k == "must" else ok & ~c if k == "not" else ok
+    if not must and should:
+        one = F.lit(False)
+        for c in should:
+            one = one | c
+        ok = ok & one
+    return rows.withColumn("_t", text).where(ok).drop("_t")
+
+
 def nearest_by_group(rows: DataFrame, group: str, k: int) -> DataFrame:
     r = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", r).where(F.col("rank") <= k)

@@ -76,6 +76,13 @@ def prompt_suggestion(runs: DataFrame, sections: DataFrame) -> DataFrame:
     return g.withColumn("verdict", verdict).where("verdict is not null").select("task", "section", "verdict")
 
 
+def recommended_budget(runs: DataFrame) -> DataFrame:
+    """By task the mean tokens of its successful runs, in whole tokens; 0 without one."""
+    ok = F.col("outcome") == "accepted"
+    g = runs.groupBy("task").agg(F.sum(F.when(ok, F.col("tokens"))).alias("s"), F.count_if(ok).alias("n"))
+    return g.select("task", F.when(F.col("n") > 0, F.floor(F.col("s") / F.col("n"))).otherwise(0).cast("long").alias("budget"))
+
+
 def shared_items(items: DataFrame, share: float) -> DataFrame:
     """Items that at least a share of projects has. items: project, item."""
     own = items.distinct()

@@ -10,6 +10,8 @@ from ..operators import extraction as ex
 from ..operators import rules as r
 from ..sources import tables as t
 
+#: Where this machine has the vocabulary that queries count tokens by.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DIRS = ("src/api/", "src/services/", "lib/", "src/components/", "tests/", "src/actions/", "core/", "./src/middleware/", "src/repository/")
 
 
@@ -69,10 +71,6 @@ PLANS = {
         lambda s, d: r.architecture(r.categorized(_files(s, d)), 3, True),
         f"WITH {SYM}, c AS (SELECT {CATEGORY} AS category FROM g) SELECT CASE WHEN count(DISTINCT category) FILTER (category IN ('api-surface', 'server-actions', 'ui-components', 'domain-services')) = 4 THEN 'server-first/modular-monolith' ELSE 'modular-monolith' END AS architecture FROM c",
     ),
-    "ag27_file_skeletons": (
-        lambda s, d: symbols(s, d).groupBy("file").agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "class").alias("types"), F.round(F.avg(F.when(F.col("kind") == "function", F.col("complexity"))), 6).alias("avg_complexity")),
-        f"WITH {SYM} SELECT file, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'class') AS types, round(avg(complexity) FILTER (kind = 'function'), 6) AS avg_complexity FROM sym GROUP BY file",
-    ),
     "pf15_commit_decisions": (
         lambda s, d: r.commit_decisions(t.table(s, d, "part").select(F.col("p_partkey").alias("commit"), F.concat(F.element_at(F.array(*[F.lit(x) for x in ("use ", "adopt ", "migrate to ", "fix ", "switch to ")]), (F.col("p_partkey") % 5 + 1).cast("int")), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" for "), F.col("p_type")).alias("message"))),
         "SELECT p_partkey AS commit, replace(p_name, ' ', '_') AS tool, CASE WHEN p_partkey % 5 = 2 THEN 'for ' ELSE '' END || p_type AS purpose FROM part WHERE p_partkey % 5 <> 3",
@@ -83,11 +81,11 @@ PLANS = {
     ),
     "jn6_resolved_calls": (
         lambda s, d: ex.resolve_calls(t.table(s, d, "lineitem").select(F.col("l_orderkey").alias("caller_file"), F.col("l_linenumber").alias("caller"), F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey")).alias("callee_file"), (F.col("l_partkey") % 50).alias("callee")), t.table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), (F.col("s_suppkey") % 50).alias("name"))),
-        """WITH c AS (SELECT l_orderkey AS caller_file, l_linenumber AS caller, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END AS cf, l_partkey % 50 AS callee FROM lineitem WHERE l_linenumber = 1), d AS (SELECT s_suppkey AS file, s_suppkey % 50 AS name FROM supplier)
+        """WITH c AS (SELECT l_orderkey AS caller_file, l_linenumber AS caller, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END AS cf, l_partkey % 50 AS callee FROM lineitem), d AS (SELECT s_suppkey AS file, s_suppkey % 50 AS name FROM supplier)
           SELECT caller_file, caller, callee, cf AS callee_file FROM c WHERE EXISTS (SELECT 1 FROM d WHERE file = cf AND name = callee)
           UNION ALL SELECT caller_file, caller, callee, file FROM c JOIN d ON name = callee WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.file = cf AND e.name = callee)""",
     ),
-    "sf10_token_counts": (lambda s, d: t.table(s, d, "documents").select("doc_id", tk.count_tokens(F.col("text")).alias("tokens")), None),
+    "sf10_token_counts": (lambda s, d: t.table(s, d, "documents").select("doc_id", tk.count_tokens(F.col("text"), VOCABULARY).alias("tokens")), None),
     "tf4_without_comments": (lambda s, d: _sample_code(s, d).select("page_id", F.md5(cf.applied(F.col("text"), F.lit("typescript"))).alias("digest")), None),
     "tf6_smart_truncation": (lambda s, d: _sample_code(s, d).select("page_id", F.md5(cf.applied(F.col("text"), F.lit("typescript"), _short)).alias("digest")), None),
     "sc14_symbols": (lambda s, d: ex.extract(_sample_code(s, d).select(F.concat(F.lit("p"), F.col("page_id"), F.lit(".ts")).alias("file"), F.regexp_replace("text", "<script>", "<script>\nfunction page() {").alias("text"))).select("file", "name", "kind", "start", "complexity"), None),

@@ -18,12 +18,12 @@ def sections(active: str, edges: DataFrame, symbols: DataFrame, memory: DataFram
     spark = edges.sparkSession
     near = graph.reach(edges, spark.createDataFrame([(active,)], "node string"), depth, undirected=True).select(F.col("node").alias("file"))
     text = reports.skeleton_text(symbols.join(near, "file", "left_semi"))
-    named = memory.join(text.select("file"), F.col("content").contains(F.col("file"))).groupBy("file").agg(F.count("*").alias("hits"))  # files are few: those near the active one
+    named = reports.coverage(text.select("file", F.array().cast("array<string>").alias("exports")), memory).select("file", "hits")
     short = F.array_join(F.slice(F.split("text", "\n"), 1, 4), "\n")
     code = text.join(named, "file", "left").join(scores, F.col("file") == F.col("node"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     content = F.when(F.coalesce("hits", F.lit(0)) >= 3, short).otherwise(F.col("text"))
-    base = F.when(F.col("file") == active, F.lit(95)).otherwise(F.lit(72))
+    base = context.base_priority(F.lit("code-skeleton"), F.col("file") == active)
     priority = context.boosted(base, zero("betweenness"), zero("pagerank")) + query_boost(query, content)
     code = code.select(F.concat(F.lit("code:"), "file").alias("id"), F.lit("code-skeleton").alias("kind"), priority.alias("priority"), content.alias("content"))
     history = events.compaction(log).select(

@@ -20,8 +20,11 @@ def _prompt_runs(spark, sf):
 
 
 def _prompt_sections(spark, sf):
-    line = t.table(spark, sf, "lineitem")
-    return line.join(_prompt_runs(spark, sf), F.col("l_orderkey") == F.col("run")).select("task", "outcome", F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber") % 2).alias("section"))
+    """Sections of a run: of each line its flags; of the first line a goal too; of the second of a run that failed a retry."""
+    line, runs = t.table(spark, sf, "lineitem"), _prompt_runs(spark, sf)
+    flags = F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber") % 2)
+    more = F.when(F.col("l_linenumber") == 1, "goal").when((F.col("l_linenumber") == 2) & (F.col("outcome") != "accepted"), "retry")
+    return line.join(runs, F.col("l_orderkey") == F.col("run")).select("task", "outcome", F.explode(F.array_compact(F.array(flags, more))).alias("section"))
 
 
 RUNS = """runs AS (SELECT o_orderkey AS run, o_orderpriority AS model, c_mktsegment AS task, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' ELSE 'clarified' END AS outcome,
@@ -92,7 +95,7 @@ PLANS = {
     ),
     "ag3_top_projects": (
         lambda s, d: st.token_stats(t.token_facts(s, d)).select("project", "total").orderBy(F.desc("total"), "project"),
-        sql("SELECT project, sum(total)::BIGINT AS total FROM tok GROUP BY project ORDER BY total DESC, project LIMIT 20", "tok"),
+        sql("SELECT project, sum(total)::BIGINT AS total FROM tok GROUP BY project ORDER BY total DESC, project", "tok"),
     ),
     "ag19_cache_efficiency": (
         lambda s, d: st.cache_efficiency(t.token_facts(s, d)),
@@ -129,11 +132,15 @@ PLANS = {
     ),
     "ag8_prompt_suggestion": (
         lambda s, d: st.prompt_suggestion(_prompt_runs(s, d), _prompt_sections(s, d)),
-        f"""WITH {RUNS}, sec AS (SELECT task, outcome, l_returnflag || l_linestatus || (l_linenumber % 2) AS section FROM lineitem JOIN runs ON l_orderkey = run WHERE l_linenumber <= 4),
+        f"""WITH {RUNS}, ln AS (SELECT * FROM lineitem JOIN runs ON l_orderkey = run), sec AS (SELECT task, outcome, l_returnflag || l_linestatus || (l_linenumber % 2) AS section FROM ln UNION ALL SELECT task, outcome, 'goal' FROM ln WHERE l_linenumber = 1 UNION ALL SELECT task, outcome, 'retry' FROM ln WHERE l_linenumber = 2 AND outcome <> 'accepted'),
           k AS (SELECT task, count(*) FILTER (outcome = 'accepted') AS successes FROM runs GROUP BY task),
           g AS (SELECT task, section, count(*) FILTER (outcome = 'accepted') AS ok, count(*) FILTER (outcome <> 'accepted') AS bad FROM sec GROUP BY task, section)
           SELECT * FROM (SELECT task, section, CASE WHEN successes > 0 AND ok = successes THEN 'always' WHEN ok = 0 AND bad > 0 THEN 'only_failures' END AS verdict FROM g JOIN k USING (task)) WHERE verdict IS NOT NULL""",
     ),
+    "ag8_recommended_budgets": (
+        lambda s, d: st.recommended_budget(_prompt_runs(s, d)),
+        f"WITH {RUNS} SELECT task, coalesce(sum(tokens) FILTER (outcome = 'accepted') // nullif(count(*) FILTER (outcome = 'accepted'), 0), 0)::BIGINT AS budget FROM runs GROUP BY task",
+    ),
     "ag9_developer_profile": (
         lambda s, d: st.shared_items(_items(s, d), 0.6),
         """WITH i AS (SELECT DISTINCT s_nationkey AS project, p_brand || '/' || p_type AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)

@@ -27,13 +27,18 @@ HOT = """SELECT file, 10 * changes + fan_in + fan_out + least(cx, 25) AS score F
   LEFT JOIN (SELECT format('n{:02d}', user_id % 25) AS file, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) c ON c.file = f.file)"""
 
 
-PAGERANK = (
-    "nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), dg AS (SELECT src, count(*) AS d FROM edges GROUP BY src), k AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS r FROM nodes, k)"
-    + "".join(
-        f", r{i} AS (SELECT node, 0.15 / n + 0.85 * coalesce(g, 0) AS r FROM k, nodes LEFT JOIN (SELECT dst, sum(r / d) AS g FROM r{i - 1} JOIN edges ON src = node JOIN dg USING (src) GROUP BY dst) ON dst = node)" for i in range(1, 21)
-    )
-    + " SELECT node, round(r / max(r) OVER (), 6) AS pagerank FROM r20"
+NODES = "nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
+RANKS = "dg AS (SELECT src, count(*) AS d FROM edges GROUP BY src), k AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS r FROM nodes, k)" + "".join(
+    f", r{i} AS (SELECT node, 0.15 / n + 0.85 * coalesce(g, 0) AS r FROM k, nodes LEFT JOIN (SELECT dst, sum(r / d) AS g FROM r{i - 1} JOIN edges ON src = node JOIN dg USING (src) GROUP BY dst) ON dst = node)" for i in range(1, 21)
 )
+RANKED = "SELECT node, round(r / max(r) OVER (), 6) AS pagerank FROM r20"
+PAGERANK = f"{NODES}, {RANKS} {RANKED}"
+PATHS = """w AS (SELECT node AS s, node AS v, 0 AS k, 1.0::DOUBLE AS c, [node] AS seen FROM nodes
+            UNION ALL SELECT s, dst, k + 1, c, list_append(seen, dst) FROM w JOIN edges ON src = v WHERE NOT list_contains(seen, dst) AND k < 4),
+          far AS (SELECT s, v, min(k) AS k FROM w GROUP BY s, v), sp AS (SELECT w.s, w.v, w.k, sum(c) AS n FROM w JOIN far USING (s, v, k) GROUP BY ALL),
+          b AS (SELECT m.v AS node, sum(m.n * r.n / t.n) AS b FROM sp m JOIN sp r ON r.s = m.v JOIN sp t ON t.s = m.s AND t.v = r.v AND t.k = m.k + r.k WHERE m.v <> m.s AND r.v <> m.v GROUP BY m.v)"""
+BETWEEN = "SELECT node, round(coalesce(b / (SELECT max(b) FROM b), 0), 6) AS betweenness FROM nodes LEFT JOIN b USING (node)"
+IMPORTANCE = f"{NODES}, {PATHS}, {RANKS}, im AS (SELECT node, betweenness, pagerank, round(0.6 * betweenness + 0.4 * pagerank, 6) AS score FROM ({BETWEEN}) JOIN ({RANKED}) USING (node))"
 
 
 def zones(s, d):
@@ -83,14 +88,9 @@ PLANS = {
     ),
     "gr1_betweenness": (
         lambda s, d: g.betweenness(t.nation_edges(s, d)),
-        sql("""nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
-          w AS (SELECT node AS s, node AS v, 0 AS k, 1.0::DOUBLE AS c, [node] AS seen FROM nodes
-            UNION ALL SELECT s, dst, k + 1, c, list_append(seen, dst) FROM w JOIN edges ON src = v WHERE NOT list_contains(seen, dst) AND k < 4),
-          far AS (SELECT s, v, min(k) AS k FROM w GROUP BY s, v), sp AS (SELECT w.s, w.v, w.k, sum(c) AS n FROM w JOIN far USING (s, v, k) GROUP BY ALL),
-          b AS (SELECT m.v AS node, sum(m.n * r.n / t.n) AS b FROM sp m JOIN sp r ON r.s = m.v JOIN sp t ON t.s = m.s AND t.v = r.v AND t.k = m.k + r.k WHERE m.v <> m.s AND r.v <> m.v GROUP BY m.v)
-          SELECT node, round(coalesce(b / (SELECT max(b) FROM b), 0), 6) AS betweenness FROM nodes LEFT JOIN b USING (node)""", "edges"),
+        sql(f"{NODES}, {PATHS} {BETWEEN}", "edges"),
     ),
-    "gr5_importance": (lambda s, d: g.importance(t.nation_edges(s, d)).orderBy(F.desc("score"), "node").limit(15), None),
+    "gr5_importance": (lambda s, d: g.importance(t.nation_edges(s, d)).orderBy(F.desc("score"), "node").limit(15), sql(IMPORTANCE + " SELECT * FROM im ORDER BY score DESC, node LIMIT 15", "edges")),
     "gr3_strong_components": (
         lambda s, d: g.strong_components(t.nation_edges(s, d)),
         sql("""r AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM r JOIN edges ON src = b)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import entity_kind
+from ..functions.scalars import entity_kind, token_estimate, token_ratio
 from ..operators import reports as rp
 from ..sources import tables as t
 from ..sources.tables import with_adapters as sql
@@ -66,8 +66,8 @@ PLANS = {
     "cl15_agent_reports": (
         lambda s, d: rp.agent_reports(_changes(s, d)),
         f"""WITH {CH} SELECT file, 'observer' AS agent, CASE WHEN e % 5 = 0 THEN 'warning' ELSE 'info' END AS severity FROM ch UNION ALL SELECT file, 'intent', CASE WHEN e % 10 >= 8 THEN 'info' ELSE 'warning' END FROM ch
-          UNION ALL SELECT file, 'security', 'critical' FROM ch WHERE e % 19 = 0 UNION ALL SELECT file, 'complexity', 'warning' FROM ch WHERE e % 17 > 10 UNION ALL SELECT file, 'tests', 'warning' FROM ch WHERE e % 7 = 0
-          UNION ALL SELECT file, 'documentation', 'info' FROM ch WHERE e % 2 > 0 AND a + r + m > 0""",
+          UNION ALL SELECT file, 'security', 'critical' FROM ch WHERE e % 19 = 0 UNION ALL SELECT file, 'complexity', 'warning' FROM ch WHERE e % 17 > 10 UNION ALL SELECT file, 'tests', 'warning' FROM ch WHERE e % 7 = 0 AND (e % 5 = 0 OR m > 0)
+          UNION ALL SELECT file, 'documentation', 'warning' FROM ch WHERE e % 5 = 0 UNION ALL SELECT file, unnest(['patterns', 'generic']), 'info' FROM ch""",
     ),
     "gr13_diff_impact": (
         lambda s, d: rp.diff_impact(_changes(s, d)),
@@ -78,7 +78,6 @@ PLANS = {
         lambda s, d: rp.causal_context(t.nation_edges(s, d)),
         sql("SELECT node, coalesce(calls, '') AS calls, coalesce(called_by, '') AS called_by FROM (SELECT src AS node, array_to_string(list_sort(list(DISTINCT dst)), ',') AS calls FROM edges GROUP BY 1) FULL JOIN (SELECT dst AS node, array_to_string(list_sort(list(DISTINCT src)), ',') AS called_by FROM edges GROUP BY 1) USING (node)", "edges"),
     ),
-    "jn16_test_impact": (lambda s, d: rp.test_impact(t.nation_edges(s, d), "n03"), sql("SELECT DISTINCT src FROM edges WHERE dst = 'n03' AND regexp_matches(src, '^n[0-9]*[05]$')", "edges")),
     "ag16_tag_counts": (lambda s, d: rp.tag_counts(t.memory_rows(s, d)), sql("SELECT tag, count(*) AS n, sum(b)::BIGINT AS bytes FROM (SELECT unnest(tags) AS tag, strlen(content) AS b FROM mem) GROUP BY tag", "mem")),
     "ag22_known_issues": (
         lambda s, d: rp.known_issues(t.event_log(s, d).where("kind = 'mutation'").select("file", F.col("event_id").alias("seq")), t.event_log(s, d).where("kind = 'penalty'").select(F.col("event_id").alias("seq"), F.concat(F.lit("r"), "event_id").alias("subject"), F.when(F.col("severity") > 4, "warning").otherwise("info").alias("severity"))),
@@ -91,10 +90,6 @@ PLANS = {
         lambda s, d: rp.missing_keys(t.memory_rows(s, d).select(F.col("kind").alias("key")), ["fact", "identity", "patterns", "warning"]),
         sql("SELECT * FROM (VALUES ('fact'), ('identity'), ('patterns'), ('warning')) AS r(key) WHERE key NOT IN (SELECT kind FROM mem)", "mem"),
     ),
-    "ag21_file_map": (
-        lambda s, d: rp.causal_context(t.nation_edges(s, d)).select("node", F.size(F.filter(F.split("calls", ","), lambda x: x != "")).cast("long").alias("outs"), F.size(F.filter(F.split("called_by", ","), lambda x: x != "")).cast("long").alias("ins")),
-        sql("SELECT node, count(DISTINCT d) AS outs, count(DISTINCT s) AS ins FROM (SELECT src AS node, dst AS d, NULL AS s FROM edges UNION ALL SELECT dst, NULL, src FROM edges) GROUP BY node", "edges"),
-    ),
     "pf9_write_errors": (
         lambda s, d: rp.write_errors(_values(s, d)).groupBy("key", "errors").agg(F.count("*").alias("n")),
         """WITH v AS (SELECT ['identity', 'session_state', 'decisions', 'patterns'][event_id % 4 + 1] AS key, CASE WHEN event_id % 9 = 0 THEN 0 WHEN event_id % 5 = 0 THEN 1 ELSE 2 END AS c FROM events)
@@ -106,8 +101,8 @@ PLANS = {
           FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)""",
     ),
     "sf12_token_ratio": (
-        lambda s, d: t.table(s, d, "documents").select("doc_id", F.round(F.octet_length("text") / F.greatest(F.size(F.split("text", " ")), F.lit(1)), 6).alias("ratio")),
-        "SELECT doc_id, round(strlen(text) / len(string_split(text, ' ')), 6) AS ratio FROM documents",
+        lambda s, d: t.table(s, d, "documents").select("doc_id", F.round(token_ratio(F.col("text"), token_estimate(F.col("text"))), 6).alias("ratio")),
+        "SELECT doc_id, CASE WHEN strlen(text) // 4 > 0 THEN round(strlen(text) / (strlen(text) // 4), 6) ELSE 0 END AS ratio FROM documents",
     ),
     "sf24_skeleton_text": (
         lambda s, d: rp.skeleton_text(symbols(s, d)).select("file", F.md5("text").alias("digest")),

@@ -10,6 +10,7 @@ from ..operators import replication as rp
 from ..operators import scoring as sc
 from ..sources import tables as t
 from ..sources.tables import with_adapters as sql
+from .graphs import IMPORTANCE
 from .graphs import zones
 
 BUDGET = 300
@@ -113,21 +114,13 @@ PLANS = {
     "cx5_greedy_by_kind": (lambda s, d: c.greedy(_sections(s, d), BUDGET, ["role", "ordinal"]).select("request", "ordinal"), GREEDY),
     "tk7_context_ranking": (
         lambda s, d: c.ranked(_sections(s, d)).select("request", "ordinal", "priority"),
-        f"WITH {SEC} SELECT request, ordinal, priority FROM sec ORDER BY request, priority DESC, tokens, ordinal LIMIT 200",
+        f"WITH {SEC} SELECT request, ordinal, priority FROM sec ORDER BY request, priority DESC, tokens, ordinal",
     ),
     "cx2_graph_boosts": (
-        lambda s, d: graph.pagerank(t.nation_edges(s, d)).select("node", c.boosted(F.lit(72), F.lit(0.0), F.col("pagerank")).alias("priority")),
-        None,
+        lambda s, d: graph.importance(t.nation_edges(s, d)).select("node", c.boosted(c.base_priority(F.lit("code-skeleton"), F.col("node") == "n03"), F.col("betweenness"), F.col("pagerank")).alias("priority")),
+        sql(IMPORTANCE + ", q AS (SELECT node, CASE WHEN node = 'n03' THEN 95 ELSE 72 END AS p, round(15 * (0.7 * betweenness + 0.3 * pagerank))::INT AS u FROM im) SELECT node, CASE WHEN u > 0 THEN least(p + u, 100) ELSE p END AS priority FROM q", "edges"),
     ),
     "cx9_first_layer": (lambda s, d: c.first_hit(_layers(s, d)), "SELECT 'n' || s_nationkey AS id, arg_min(s_name, s_suppkey) AS content FROM supplier GROUP BY 1"),
-    "cx7_prompt_assembly": (
-        lambda s, d: t.table(s, d, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role", "turn", "text"))), lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")).alias("digest")),
-        "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY role, turn)) AS digest FROM conversations GROUP BY conv_id",
-    ),
-    "cx8_prompt_pack": (
-        lambda s, d: t.table(s, d, "conversations").where("role in ('system', 'user')").groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("parts")),
-        "SELECT conv_id, sum(strlen(text))::BIGINT AS bytes, count(*) AS parts FROM conversations WHERE role IN ('system', 'user') GROUP BY conv_id",
-    ),
     "cl1_intents": (lambda s, d: sc.intents(_diffs(s, d)), INTENT_SQL),
     "cl2_proactive_risk": (
         lambda s, d: sc.proactive_risk(_risk_files(s, d)),

@@ -124,8 +124,4 @@ PLANS = {
         lambda s, d: t.table(s, d, "documents").select("doc_id", F.md5(tf.pruned(F.col("text"), "bug_fix", ["onoring"])).alias("digest")),
         f"SELECT doc_id, md5(array_to_string(list_filter({LINES}, lambda x: regexp_matches(lower(x), 'warning|issue|debug|safety|agent|onoring'))[1:80], chr(10))) AS digest FROM documents",
     ),
-    "sc16_imports": (
-        lambda s, d: t.table(s, d, "documents").select("doc_id", F.size(F.filter(F.slice(F.split("text", "\n"), 1, 2000), lambda x: x.rlike(r"^The\s"))).cast("long").alias("n")),
-        "SELECT doc_id, len(list_filter(string_split(text, chr(10))[1:2000], lambda x: regexp_matches(x, '^The\\s'))) AS n FROM documents",
-    ),
 }

@@ -166,7 +166,10 @@ def test_extraction(spark):
     got = extraction.extract(spark.createDataFrame([("a.py", py), ("b.ts", "export function useX() {\n  if (a && b) { run(1) }\n}\nclass Z {}\n"), ("c.txt", "x"), ("d.py", "def ("), ("e.py", None)], "file string, text string")).collect()
     assert [(r["name"], r["kind"], r["complexity"], r["exported"]) for r in got if r["file"] == "a.py"] == [("test_a", "function", 3, True), ("B", "class", 1, True), ("_m", "function", 1, False)]
     assert [(r["name"], r["exported"], r["calls"]) for r in got if r["file"] == "b.ts"] == [("useX", True, ["run"]), ("Z", False, [])]
-    assert len(got) == 5 and extraction.imports("py", "from a.b import c\nimport d\nx = 1") == ["a.b", "d"] and extraction.imports("js", "import x from 'y'") == ["y"]
+    assert len(got) == 5
+    lines = [("py", "from a.b import c\nimport d\nx = 1"), ("js", "import x from 'y'\r\nimport z"), ("rs", "use a::b;\npub use c;"), ("go", "import x from 'y'"), ("ts", None)]
+    names = spark.createDataFrame(lines, "ext string, text string").select(extraction.imports(F.col("ext"), F.col("text")).alias("n")).collect()
+    assert [r["n"] for r in names] == [["a.b", "d"], ["y"], ["a::b"], [], None]
 
 
 def test_code_filters():
