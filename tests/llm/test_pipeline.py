@@ -84,3 +84,31 @@ def test_run_is_the_stages(spark, folder):
     path, _ = folder
     got = corpus_pipeline.run(spark, path)
     assert got.count() > 100 and {"doc_id", "ids_crc32", "log_inclusion"} <= set(got.columns)
+
+
+def test_odd_rows_and_empty_tables(spark, folder, tmp_path):
+    """Nulls in any column, empty and repeated rows, a null id and a long text through all stages; then empty tables."""
+    path, item = folder
+    own = spark.read.parquet(f"{path}/documents.parquet")
+    good = own.where("doc_id = 3").first()["text"]
+    rows = [(9000, good, None, None, None, None, None), (9000, good, None, None, None, None, None), (9001, None, "en", "s", 0, True, 1), (9002, "", "en", "s", 0, True, 1), (None, good, "en", "s", 3, True, 1),
+            (9003, " ".join([good] * 400) + " " + item, "en", "s", 1, False, 0)]
+    docs = spark.createDataFrame(rows, own.schema)
+    seen = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, seen, path)
+        out.write.parquet(str(tmp_path / str(k)))
+        seen = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert seen.columns == docs.columns
+            texts = [(r["doc_id"], r["text"]) for r in seen.collect()]
+            assert texts.count((None, good)) == 1 and texts.count((9000, good)) == 2
+            assert all(t is None for i, t in texts if i == 9001)
+    assert [r["round_trip"] for r in seen.where("doc_id is null or doc_id = 9000").collect()] == [True] * 3
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), path).count() == 0, k
+    empty = tmp_path / "none"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(empty)).count() == len(rows)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.decontaminate(spark, docs, str(empty)).collect()) == sorted((r[0] or 0, r[1] or "") for r in rows)
