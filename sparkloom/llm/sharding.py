@@ -3,12 +3,15 @@
 A partial partition is one sum for each shard. The two of largest spread are combined, the larger sums of one
 with the smaller of the other, until one is left. Groups are dealt over chunks by a hash of their digest; each
 chunk is differenced on its own in a task, which leaves one partial partition for a chunk, and those are
-differenced in turn on the driver: as many rows as shards for each CHUNK_GROUPS groups.
+differenced in turn in tasks of FAN partial partitions each, level by level, until one is left. Nothing comes to the driver
+but counts. Over more than one chunk the spread is that of the last differencing: a few groups of a chunk, which is
+a smaller part of a shard the larger the table is.
 
 Slots are gapless in each shard: rows are counted in buckets of a hash, and a bucket's first slot is the count
 of those before it, so no task ranks a whole shard.
 
-Defined cases: a null text has size 1 and forms a group with other nulls, apart from empty texts; equal rows
+Defined cases: a null text has size 1 and forms a group with other nulls, apart from empty texts; rows of a null
+doc_id are rows like others; equal rows
 are rows of their group, each with a slot of its own; a group larger than a shard's share stays whole; ties
 go to the smaller chunk and digest; an empty table gives an empty result; other columns are not read.
 """
@@ -26,6 +29,8 @@ from .base import materialize, table
 
 SHARDS = 16
 CHUNK_GROUPS = 40_000
+#: Partial partitions that one task combines.
+FAN = 2_000
 BUCKET_ROWS = 100_000
 
 
@@ -77,13 +82,32 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS, chunk_groups: int = CH
         return pa.table({"digest": t.column("digest"), "bytes": t.column("bytes"), "chunk": t.column("chunk"), "bin": pa.array(bins, pa.int32())})
 
     placed = materialize(dealt.groupBy("chunk").applyInArrow(run, "digest string, bytes long, chunk int, bin int"), "shard")
-    sums: dict[int, list[int]] = {}
-    for r in placed.groupBy("chunk", "bin").agg(F.sum("bytes").alias("b")).collect():  # a row for each chunk and shard
-        sums.setdefault(r["chunk"], [0] * shards)[r["bin"]] = r["b"]
-    keys = sorted(sums)
-    final = [(c, b, s) for c, own in zip(keys, difference([sums[c] for c in keys])) for b, s in enumerate(own)]
-    spark = groups.sparkSession
-    return placed.join(spark.createDataFrame(final, "chunk int, bin int, shard int"), ["chunk", "bin"]).select("digest", "shard")
+    sums = F.array(*[F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("bytes"))), F.lit(0)) for i in range(shards)])
+    final = combined(placed.groupBy(F.col("chunk").cast("long").alias("id")).agg(sums.alias("sums")))
+    return placed.join(final.withColumnRenamed("id", "chunk"), "chunk").select("digest", F.get("place", F.col("bin")).alias("shard"))
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """(id, place): for each partial partition (id, sums), which final shard each of its sums goes to."""
+    groups = max(1, -(-parts.count() // FAN))
+
+    def run(t):
+        t = t.sort_by("id")
+        sums = t.column("sums").to_pylist()
+        places = difference(sums)
+        total = [0] * len(sums[0])
+        for own, place in zip(sums, places):
+            for b, shard in zip(own, place):
+                total[shard] += b
+        return pa.table({"id": t.column("id"), "g": t.column("g"), "place": pa.array(places, pa.list_(pa.int32())), "total": pa.array([total] * len(sums), pa.list_(pa.int64()))})
+
+    dealt = parts.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    out = materialize(dealt.groupBy("g").applyInArrow(run, "id long, g long, place array<int>, total array<long>"), "level")
+    if groups == 1:
+        return out.select("id", "place")
+    upper = combined(out.groupBy("g").agg(F.first("total").alias("sums")).withColumnRenamed("g", "id"))
+    joined = out.join(upper.select(F.col("id").alias("g"), F.col("place").alias("up")), "g")
+    return joined.select("id", F.transform("place", lambda x: F.get("up", x)).alias("place"))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -76,9 +76,11 @@ def test_quality_rules_long_path(docs, monkeypatch):
     assert {(r["doc_id"], r["n_repeat_words"]) for r in quality_rules.clean(docs).collect()} == want
 
 
-def test_sharding(docs, empty, monkeypatch):
+@pytest.mark.parametrize("fan", [2_000, 2])
+def test_sharding(docs, empty, fan, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 5)
-    monkeypatch.setattr(sharding, "CHUNK_GROUPS", 6)
+    monkeypatch.setattr(sharding, "CHUNK_GROUPS", 3)
+    monkeypatch.setattr(sharding, "FAN", fan)
     got = sharding.assign(docs, 4).collect()
     assert len(got) == len(rows())
     shard_of: dict = {}
@@ -104,6 +106,22 @@ def test_differencing_balances_better_than_a_greedy_deal():
     assert sharding.difference([]) == []
 
 
+def test_differencing_against_a_plain_one():
+    """The same sums as combining the two lists of greatest spread until one is left, without heap or tree."""
+    rng = random.Random(9)
+    for k in (2, 3, 5):
+        sizes = [rng.randrange(1, 10**9) for _ in range(37)]
+        lists = [[s, *[0] * (k - 1)] for s in sizes]
+        while len(lists) > 1:
+            lists.sort(key=lambda x: x[-1] - x[0])  # most negative: the greatest spread
+            a, b = lists[0], lists[1]
+            lists[:2] = [sorted((x + y for x, y in zip(a, b[::-1])), reverse=True)]
+        sums = [0] * k
+        for s, x in zip(sizes, sharding.difference([[s, *[0] * (k - 1)] for s in sizes])):
+            sums[x[0]] += s
+        assert sorted(sums, reverse=True) == lists[0]
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
