@@ -9,17 +9,16 @@
    the others join documents to families.
 4. A region that was wider than the window and holds several families is split until no part has more than REGION
    rows: it goes one value deeper as often as the label allows (adaptive depth), then into FURTHER trees of its own,
-   STEP values deeper each time, until all K values agree. A part compares all its pairs across families by signature
+   STEP values deeper each time, until all K values agree; a row is in each of these once. A part compares all its pairs across families by signature
    and tells which families to join; rows that agree in all values are joined to their first one.
 5. Families are confirmed on full sets, a block of rows at a time: intersections of all its pairs are one matrix
    product over the shingles that several rows share. Each block also holds the family's HUBS first rows, which
-   tie blocks of true copies together. Of a family that is still in parts, the forest's regions that hold several
-   parts are split in the same way, to ROWS rows, and confirmed, so a row is in some tens of blocks however large
-   its family is.
+   tie blocks of true copies together. A family that is still in parts is split by the further trees in the same way, to
+   ROWS rows, and what holds several parts is confirmed, so a row is in some tens of blocks however large its family is.
 
 Tasks return trees of links, never pairs of a group, and no group is dropped, capped or sampled. A pair of
 similarity 0.75 has a common prefix of 3 in at least one of 32 trees but for a chance of 2.4e-8, and where a region
-is split by further trees keeps a common part but for 1.6e-4 a step.
+is split by further trees keeps a common part but for 1.7e-5 a step.
 
 Defined cases: a null or empty text has no shingles, is linked with nothing and kept; fewer words than a
 shingle form one shingle; repeated rows of a doc_id are one document (of different texts, the one of the
@@ -45,7 +44,7 @@ K, TREES, DEPTH, BASE = 96, 32, 6, 3
 SHINGLE, PERCENT = 5, 75
 WINDOW, REGION = 4, 4096
 #: Trees of a region that is still too large at full depth, and values by which these go deeper.
-FURTHER, STEP = 16, 3
+FURTHER, STEP = 20, 3
 #: Rows and shingles of a block of a family, and rows of a family that all its blocks hold.
 ROWS, SHINGLES, HUBS = 1024, 600_000, 8
 #: Estimates below go no further: 0.75 less 4.5 standard errors of an estimate from K values.
@@ -276,8 +275,7 @@ def confirmed(families: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
     left = materialize(named.join(parted, "family", "left_semi"), "parted")
     if left.isEmpty():
         return first
-    trees = labels(classes.join(left.select("id"), "id", "left_semi")).join(left, "id").withColumn("key", F.xxhash64("key", "family"))
-    small, same = split(trees, classes, ROWS, SHINGLES)
+    small, same = split(left.withColumns({"key": F.col("family"), "rest": F.lit(0).cast("long")}), classes, ROWS, SHINGLES, DEPTH)
     parts = small.select("id", "family", F.col("key").cast("string").alias("part"))
     # Rows of one signature, too many for a block: blocks with the same first rows again.
     m = same.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("k"))
@@ -288,9 +286,11 @@ def confirmed(families: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
     return first.unionAll(materialize(family_links(parts.unionAll(same.select("id", "family", part.alias("part"))).unionAll(hubs), texts), "link"))
 
 
-def split(rows: DataFrame, classes: DataFrame, most: int, shingles: int | None = None) -> tuple[DataFrame, DataFrame]:
+def split(rows: DataFrame, classes: DataFrame, most: int, shingles: int | None = None, depth: int = BASE) -> tuple[DataFrame, DataFrame]:
     """The regions of rows (id, key, rest, c, n and others) that hold several c, in parts (by key) of at most `most` rows and
-    so many shingles, or of HUBS rows; and those too large parts whose rows agree in all K values."""
+    so many shingles, or of HUBS rows; and those too large parts whose rows agree in all K values. At depth DEPTH, where rest has
+    no more values, each row goes into the further trees once, whatever trees it came from: a row's part is told by its
+    values (and by the key, if regions began at this depth)."""
     fits = f"m <= {most}" + ("" if shingles is None else f" and (m <= {HUBS} or total <= {shingles})")
 
     def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -299,12 +299,14 @@ def split(rows: DataFrame, classes: DataFrame, most: int, shingles: int | None =
         return found.where(fits).drop("m", "total"), found.where(f"not ({fits})").drop("m", "total")
 
     small, rows = parted(rows)
-    depth, step = BASE, 0
+    step, alone = 0, depth == DEPTH
     while not rows.isEmpty() and step < K:
         if depth < DEPTH:
             depth += 1
             rows = rows.withColumn("key", F.xxhash64("key", F.shiftrightunsigned("rest", 16 * (DEPTH - depth)).bitwiseAND(F.lit(65535))))
         else:
+            if not (step or alone):
+                rows = rows.withColumn("key", F.lit(0).cast("long")).dropDuplicates(["id"])
             rows = deeper(rows, classes, step)
             step += STEP
         here, rows = parted(rows)
