@@ -20,11 +20,12 @@ def _prompt_runs(spark, sf):
 
 
 def _prompt_sections(spark, sf):
-    """Sections of a run: of each line its flags; of the first line a goal too; of the second of a run that failed a retry."""
+    """Sections of a run: a goal; of each line its flags; of the second line of a run that failed a retry."""
     line, runs = t.table(spark, sf, "lineitem"), _prompt_runs(spark, sf)
     flags = F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber") % 2)
-    more = F.when(F.col("l_linenumber") == 1, "goal").when((F.col("l_linenumber") == 2) & (F.col("outcome") != "accepted"), "retry")
-    return line.join(runs, F.col("l_orderkey") == F.col("run")).select("task", "outcome", F.explode(F.array_compact(F.array(flags, more))).alias("section"))
+    more = F.when((F.col("l_linenumber") == 2) & (F.col("outcome") != "accepted"), "retry")
+    own = line.join(runs, F.col("l_orderkey") == F.col("run")).select("task", "outcome", F.explode(F.array_compact(F.array(flags, more))).alias("section"))
+    return own.unionAll(runs.select("task", "outcome", F.lit("goal")))
 
 
 RUNS = """runs AS (SELECT o_orderkey AS run, o_orderpriority AS model, c_mktsegment AS task, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' ELSE 'clarified' END AS outcome,
@@ -132,7 +133,7 @@ PLANS = {
     ),
     "ag8_prompt_suggestion": (
         lambda s, d: st.prompt_suggestion(_prompt_runs(s, d), _prompt_sections(s, d)),
-        f"""WITH {RUNS}, ln AS (SELECT * FROM lineitem JOIN runs ON l_orderkey = run), sec AS (SELECT task, outcome, l_returnflag || l_linestatus || (l_linenumber % 2) AS section FROM ln UNION ALL SELECT task, outcome, 'goal' FROM ln WHERE l_linenumber = 1 UNION ALL SELECT task, outcome, 'retry' FROM ln WHERE l_linenumber = 2 AND outcome <> 'accepted'),
+        f"""WITH {RUNS}, ln AS (SELECT * FROM lineitem JOIN runs ON l_orderkey = run), sec AS (SELECT task, outcome, l_returnflag || l_linestatus || (l_linenumber % 2) AS section FROM ln UNION ALL SELECT task, outcome, 'goal' FROM runs UNION ALL SELECT task, outcome, 'retry' FROM ln WHERE l_linenumber = 2 AND outcome <> 'accepted'),
           k AS (SELECT task, count(*) FILTER (outcome = 'accepted') AS successes FROM runs GROUP BY task),
           g AS (SELECT task, section, count(*) FILTER (outcome = 'accepted') AS ok, count(*) FILTER (outcome <> 'accepted') AS bad FROM sec GROUP BY task, section)
           SELECT * FROM (SELECT task, section, CASE WHEN successes > 0 AND ok = successes THEN 'always' WHEN ok = 0 AND bad > 0 THEN 'only_failures' END AS verdict FROM g JOIN k USING (task)) WHERE verdict IS NOT NULL""",

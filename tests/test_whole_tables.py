@@ -76,8 +76,10 @@ def test_verdicts_over_every_section(spark):
     seen: dict = {}
     for o, a, b, n in zip(line.l_orderkey, line.l_returnflag, line.l_linestatus, line.l_linenumber):
         if o in runs:
-            for section in [f"{a}{b}{n % 2}"] + ["goal"] * (n == 1) + ["retry"] * (n == 2 and not runs[o][1]):
+            for section in [f"{a}{b}{n % 2}"] + ["retry"] * (n == 2 and not runs[o][1]):
                 seen.setdefault((runs[o][0], section), [0, 0])[not runs[o][1]] += 1
+    for t, ok in runs.values():
+        seen.setdefault((t, "goal"), [0, 0])[not ok] += 1
     want = [(t, s, "always" if good[t] and ok == good[t] else "only_failures") for (t, s), (ok, bad) in seen.items() if (good[t] and ok == good[t]) or (not ok and bad)]
     assert {v for _, _, v in want} == {"always", "only_failures"}
     assert sorted(run(spark, "ag8_prompt_suggestion")) == sorted(want)
@@ -90,7 +92,7 @@ def test_suggestion_reads_lines_of_any_number(spark, tmp_path):
         "lineitem": {"l_orderkey": [1, 2], "l_linenumber": [5, 6], "l_returnflag": ["N", "R"], "l_linestatus": ["O", "F"]},
     }.items():
         pd.DataFrame(rows).to_parquet(tmp_path / f"{name}.parquet")
-    assert sorted(run(spark, "ag8_prompt_suggestion", str(tmp_path))) == [("A", "NO1", "always"), ("A", "RF0", "only_failures")]
+    assert sorted(run(spark, "ag8_prompt_suggestion", str(tmp_path))) == [("A", "NO1", "always"), ("A", "RF0", "only_failures"), ("A", "goal", "always")]
 
 
 def test_findings_of_every_rule(spark, tmp_path):
