@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bwt_dedup, fm_index, lsh_forest, ordinal, pii, quality_rules, sharding, sp_sample, substring_chain, warc
+from . import bwt_dedup, fm_index, lsh_forest, ordinal, pii, quality_rules, sharding, sp_sample, substring_chain, threshold_search, token_align, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_ordinal": ordinal.op8_ordinal,
         "op9_bwt_dedup": bwt_dedup.op9_bwt_dedup,
         "op10_pii": pii.op10_pii,
+        "op11_url_filter": url_filter.op11_url_filter,
+        "op12_threshold_search": threshold_search.op12_threshold_search,
+        "op13_token_align": token_align.op13_token_align,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_fm_index": fm_index.ORACLE_SQL,
         "op7_lsh_forest": lsh_forest.ORACLE_SQL,
         "op9_bwt_dedup": bwt_dedup.ORACLE_SQL,
+        "op11_url_filter": url_filter.ORACLE_SQL,
+        "op12_threshold_search": threshold_search.ORACLE_SQL,
     }
