@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import code, facts, graphs, life, memory, reports, selection, texts
+from .plans import code, facts, graphs, life, memory, modules, reports, selection, texts
 
-MODULES = [facts, graphs, life, memory, texts, selection, code, reports]
+MODULES = [facts, graphs, life, memory, texts, selection, code, modules, reports]
 
 
 def queries() -> dict:
