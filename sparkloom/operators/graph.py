@@ -6,8 +6,6 @@ short and a lost executor costs a read. Nothing but counts comes to the driver.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,56 +56,46 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return rank.crossJoin(F.broadcast(top)).select("node", F.round(F.col("r") / F.col("top"), 6).alias("pagerank"))  # top is one row
 
 
-#: Edges up to which betweenness sends the whole adjacency to the tasks.
-BROADCAST_EDGES = 2_000_000
+#: Rows that a level of betweenness may have: sources are taken in batches of so many by the number of edges.
+LEVEL_ROWS = 50_000_000
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """Brandes over unweighted directed paths, divided by the largest. Sources are spread over tasks; each task
-    has the adjacency, whose size is checked first."""
+def _dependencies(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, b): Brandes' dependencies of a batch of sources (node), level by level for all of them at once. Path counts go
+    forward over joins on the node, dependencies back over the same edges; every row carries its source."""
+    level = cut_lineage(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")))
+    levels, seen = [level], level.select("s", "v")
+    while True:
+        step = level.join(e, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("w")).agg(F.sum("paths").alias("paths")).withColumnRenamed("w", "v")
+        level = cut_lineage(step.join(seen, ["s", "v"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("s", "v"))
+    below = levels[-1].withColumn("delta", F.lit(0.0))
+    total = below
+    for level in reversed(levels[:-1]):
+        share = below.select("s", F.col("v").alias("w"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
+        got = share.join(e, F.col("w") == F.col("dst")).groupBy("s", F.col("src").alias("v")).agg(F.sum("share").alias("share"))
+        below = cut_lineage(level.join(got, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("delta")))
+        total = total.unionByName(below)
+    return total.where("s <> v").groupBy(F.col("v").alias("node")).agg(F.sum("delta").alias("b"))
+
+
+def betweenness(edges: DataFrame, level_rows: int = LEVEL_ROWS) -> DataFrame:
+    """Brandes over unweighted directed paths, divided by the largest. Sources go in batches, so that what a level holds is
+    bounded; a batch's sums are written before the next, and nothing but counts comes to the driver."""
     e = cut_lineage(simple(edges))
-    n_edges = e.count()
-    if n_edges > BROADCAST_EDGES:
-        raise ValueError(f"{n_edges} edges are more than betweenness sends to a task ({BROADCAST_EDGES})")
-    pairs = e.toArrow()
-    names = sorted({*pairs.column("src").to_pylist(), *pairs.column("dst").to_pylist()})
-    index = {x: i for i, x in enumerate(names)}
-    src = np.array([index[x] for x in pairs.column("src").to_pylist()], np.int64)
-    dst = np.array([index[x] for x in pairs.column("dst").to_pylist()], np.int64)
-    order = np.lexsort((dst, src))
-    heads = np.searchsorted(src[order], np.arange(len(names) + 1))
-    adjacency = [dst[order][a:b].tolist() for a, b in zip(heads[:-1], heads[1:])]
-    shared = e.sparkSession.sparkContext.broadcast(adjacency)
-
-    def run(batches):
-        adj = shared.value
-        total = np.zeros(len(adj))
-        for batch in batches:
-            for s in batch.column("id").to_pylist():
-                paths, far, before, seen = np.zeros(len(adj)), {s: 0}, {s: []}, [s]
-                paths[s] = 1
-                for v in seen:
-                    for w in adj[v]:
-                        if w not in far:
-                            far[w], before[w] = far[v] + 1, []
-                            seen.append(w)
-                        if far[w] == far[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                delta = np.zeros(len(adj))
-                for w in reversed(seen):
-                    for v in before[w]:
-                        delta[v] += paths[v] / paths[w] * (1 + delta[w])
-                    if w != s:
-                        total[w] += delta[w]
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "b"])
-
-    spark = e.sparkSession
-    parts = spark.range(len(names)).mapInArrow(run, "id long, b double").groupBy("id").agg(F.sum("b").alias("b"))
-    ids = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "id long, node string")
-    top = parts.agg(F.max("b").alias("top"))
-    return ids.join(parts, "id", "left").crossJoin(F.broadcast(top)).select("node", F.round(F.coalesce(F.col("b") / F.col("top"), F.lit(0.0)), 6).alias("betweenness"))
+    all_nodes = cut_lineage(nodes(e))
+    batches = max(1, -(-all_nodes.count() * e.count() // level_rows))
+    found = None
+    for i in range(batches):
+        sources = all_nodes.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == i)
+        part = cut_lineage(_dependencies(e, sources))
+        found = part if found is None else found.unionByName(part)
+    sums = cut_lineage(found.groupBy("node").agg(F.sum("b").alias("b")))
+    top = sums.agg(F.max("b").alias("top"))
+    return all_nodes.join(sums, "node", "left").crossJoin(F.broadcast(top)).select("node", F.round(F.coalesce(F.try_divide("b", "top"), F.lit(0.0)), 6).alias("betweenness"))  # top is one row
 
 
 def importance(edges: DataFrame, a: float = 0.6, b: float = 0.4) -> DataFrame:
@@ -140,14 +128,35 @@ def blast_radius(edges: DataFrame, target: str, depth: int = 5) -> DataFrame:
     return reach(back, start, depth).where("depth > 0")
 
 
-def critical_path(blast: DataFrame, target: str) -> list[str]:
-    """The path to a deepest node (the last name of equals), by a lookup for each step."""
-    last = blast.orderBy(F.desc("depth"), F.desc("node")).first()
-    path = []
-    while last is not None and last["node"] != target:
-        path.append(last["node"])
-        last = blast.where(F.col("node") == last["via"]).first()
-    return [target, *reversed(path)]
+def reach_many(edges: DataFrame, starts: DataFrame, depth: int, undirected: bool = False) -> DataFrame:
+    """reach() for many requests at once: (request, node, depth, via, path) from starts (request, node). A row of the frontier
+    carries its request and the nodes on its way, so all searches go one step a round and no path is looked up later."""
+    e = simple(edges)
+    if undirected:
+        e = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    e = cut_lineage(e)
+    kind = starts.schema["node"].dataType
+    seen = cut_lineage(starts.select("request", "node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("via"), F.array("node").alias("path")).distinct())
+    frontier = seen
+    for d in range(1, depth + 1):
+        ways = frontier.select("request", F.col("node").alias("src"), "path").join(e, "src").groupBy("request", F.col("dst").alias("node")).agg(F.min(F.struct("src", "path")).alias("w"))
+        step = ways.select("request", "node", F.lit(d).alias("depth"), F.col("w.src").alias("via"), F.concat(F.col("w.path"), F.array("node")).alias("path"))
+        new = cut_lineage(step.join(seen, ["request", "node"], "left_anti"))
+        if new.isEmpty():
+            break
+        seen, frontier = seen.unionByName(new), new
+    return seen
+
+
+def blast_radii(edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFrame:
+    """What depends on each target (node), directly or not, with the way from the target."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reach_many(back, targets.select(F.col("node").alias("request"), "node"), depth).where("depth > 0")
+
+
+def critical_paths(blast: DataFrame) -> DataFrame:
+    """Per request the path to a deepest node, the last name of equals."""
+    return blast.groupBy("request").agg(F.max_by("path", F.struct("depth", "node")).alias("path"), F.max("depth").cast("long").alias("depth"))
 
 
 def impact(edges: DataFrame, target: str, depth: int = 5) -> DataFrame:
@@ -187,6 +196,20 @@ def max_depth(edges: DataFrame) -> DataFrame:
     return done.agg(F.coalesce(F.max("level"), F.lit(0)).cast("long").alias("depth"))
 
 
+def condensed(edges: DataFrame) -> DataFrame:
+    """Edges between strong components, each named by its least member; a node of none is its own."""
+    own = cut_lineage(strong_components(edges))
+    name = lambda side: F.coalesce(F.col(f"_{side}"), F.col(side)).alias(side)
+    of = lambda side: own.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    e = simple(edges).join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(name("src"), name("dst"))
+    return e.where("src <> dst").distinct()
+
+
+def condensed_depth(edges: DataFrame) -> DataFrame:
+    """One row: edges on the longest path of the condensation, so that what stands behind a cycle counts too."""
+    return max_depth(cut_lineage(condensed(edges)))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """node and component (the least member) of components of more than one node, by coloring: the least name
     that reaches a node is carried forward to a fixpoint, then members are what reaches the color's root back

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
@@ -61,6 +62,24 @@ def stable_zones(s, d):
     return zones(s, d).join(recent, "file", "left_anti").select("file", score.alias("score")).orderBy(F.desc("score"), "file").limit(5)
 
 
+def _mixed(s, d):
+    """Edges of nations (cyclic), from regions to their nations, and along each nation's suppliers by key."""
+    n = t.table(s, d, "nation").select(F.format_string("r%02d", "n_regionkey").alias("src"), F.format_string("n%02d", "n_nationkey").alias("dst"))
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    before = F.lag("s_suppkey").over(w)
+    chain = t.table(s, d, "supplier").select(F.when(before.isNull(), F.format_string("n%02d", "s_nationkey")).otherwise(F.format_string("s%08d", before)).alias("src"), F.format_string("s%08d", "s_suppkey").alias("dst"))
+    return t.nation_edges(s, d).union(n).union(chain)
+
+
+def _blasts(s, d):
+    return g.blast_radii(t.nation_edges(s, d), t.table(s, d, "nation").select(F.format_string("n%02d", "n_nationkey").alias("node")))
+
+
+BLASTS = """f AS (SELECT format('n{:02d}', n_nationkey) AS request, format('n{:02d}', n_nationkey) AS node, 0 AS depth FROM nation UNION SELECT request, src, depth + 1 FROM f JOIN edges ON dst = f.node WHERE depth < 5),
+  b AS (SELECT request, node, min(depth) AS depth FROM f GROUP BY ALL),
+  v AS (SELECT b.request, b.node, b.depth, min(p.node) AS via FROM b JOIN edges ON edges.src = b.node JOIN b p ON p.request = b.request AND p.node = edges.dst AND p.depth = b.depth - 1 WHERE b.depth > 0 GROUP BY ALL),
+  q AS (SELECT request, node, 0 AS depth, '' AS via, [node] AS path FROM b WHERE depth = 0 UNION ALL SELECT v.request, v.node, v.depth, v.via, list_append(q.path, v.node) FROM v JOIN q ON q.request = v.request AND q.node = v.via AND v.depth = q.depth + 1)"""
+
 PLANS = {
     "hot_zones": (hot_zones, sql(f"SELECT * FROM ({HOT}) WHERE score > 0 ORDER BY score DESC, file LIMIT 5", "edges")),
     "jn1_hot_scores": (
@@ -109,6 +128,23 @@ PLANS = {
         lambda s, d: g.blast_radius(t.nation_edges(s, d), "n03"),
         sql(BFS.format(to="src", e="edges", frm="dst", max=5) + " SELECT b.node, b.depth, min(p.node) AS via FROM b JOIN edges ON edges.src = b.node JOIN b p ON p.node = edges.dst AND p.depth = b.depth - 1 WHERE b.depth > 0 GROUP BY b.node, b.depth", "edges"),
     ),
+    "gr6_all_blast_radii": (
+        lambda s, d: _blasts(s, d).select("request", "node", "depth", "via", F.array_join("path", ">").alias("path")),
+        sql(BLASTS + " SELECT request, node, depth, via, array_to_string(path, '>') AS path FROM q WHERE depth > 0", "edges"),
+    ),
+    "gr6_critical_paths": (
+        lambda s, d: g.critical_paths(_blasts(s, d)).select("request", F.array_join("path", ">").alias("path"), "depth"),
+        sql(BLASTS + " SELECT request, array_to_string(arg_max(path, depth::VARCHAR || node), '>') AS path, max(depth)::BIGINT AS depth FROM q WHERE depth > 0 GROUP BY request", "edges"),
+    ),
+    "gr8_condensed_depth": (
+        lambda s, d: g.condensed_depth(_mixed(s, d)),
+        sql("""ch AS (SELECT coalesce(format('s{:08d}', lag(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)), format('n{:02d}', s_nationkey)) AS src, format('s{:08d}', s_suppkey) AS dst FROM supplier),
+          al AS (SELECT * FROM edges UNION SELECT format('r{:02d}', n_regionkey), format('n{:02d}', n_nationkey) FROM nation UNION SELECT * FROM ch),
+          r AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM r JOIN edges ON src = b),
+          cm AS (SELECT x.a AS node, min(least(x.a, x.b)) AS c FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a),
+          ce AS (SELECT DISTINCT coalesce(u.c, src) AS src, coalesce(w.c, dst) AS dst FROM al LEFT JOIN cm u ON u.node = src LEFT JOIN cm w ON w.node = dst WHERE coalesce(u.c, src) <> coalesce(w.c, dst)),
+          p AS (SELECT src AS node, 0 AS level FROM ce UNION SELECT dst, level + 1 FROM p JOIN ce ON src = node) SELECT max(level)::BIGINT AS depth FROM p""", "edges"),
+    ),
     "gr12_impact": (
         lambda s, d: g.impact(t.nation_edges(s, d), "n03"),
         sql(BFS.format(to="src", e="edges", frm="dst", max=5) + """ SELECT count(*) AS affected, round(least(count(*) / 10, 1), 6) AS risk, count(*) FILTER (depth = 1) AS direct, coalesce(max(depth), 0)::BIGINT AS depth,

@@ -43,7 +43,10 @@ def test_blast_radius(spark):
     e = edges(spark, ("A", "B"), ("B", "C"))
     b = graph.blast_radius(e, "C")
     assert table(b, "node", "depth", "via") == {"B": (1, "C"), "A": (2, "B")}
-    assert graph.critical_path(b, "C") == ["C", "B", "A"]
+    targets = spark.createDataFrame([("C",), ("B",), ("A",)], "node string")
+    many = graph.blast_radii(edges(spark, ("A", "B"), ("B", "C"), ("D", "C")), targets)
+    assert {(r["request"], r["node"], r["depth"], r["via"], tuple(r["path"])) for r in many.collect()} == {("C", "B", 1, "C", ("C", "B")), ("C", "D", 1, "C", ("C", "D")), ("C", "A", 2, "B", ("C", "B", "A")), ("B", "A", 1, "B", ("B", "A"))}
+    assert table(graph.critical_paths(many), "request", "path") == {"C": ["C", "B", "A"], "B": ["B", "A"]}
     assert [r["node"] for r in graph.blast_radius(edges(spark, ("A", "B"), ("B", "C"), ("C", "D")), "D", 1).collect()] == ["C"]
     none = edges(spark).limit(0)
     assert graph.blast_radius(none, "C").count() == 0 and graph.pagerank(none).count() == 0
