@@ -40,7 +40,9 @@ from .base import materialize, spread, table
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: Units that are encoded at once, as the tokenizers' own results take far more memory than ids.
+UNITS_AT_ONCE = 8192
 #: Links that are written out at once before equal ones are counted.
 LINKS_AT_ONCE = 4 << 20
 SPACE_PIECE = "▁"
@@ -83,17 +85,23 @@ class Tokenizers:
 
     def encode_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units in a row, and how many each has."""
-        ids = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        return _flat(ids)
+        return _flat(units, lambda some: [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)])
 
     def encode_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.b.encode([u[1:] for u in units], num_threads=1)
-        return _flat([x if u != " " else [self.blank] for x, u in zip(ids, units)])
+        def encode(some):
+            ids = self.b.encode([u[1:] for u in some], num_threads=1)
+            return [x if u != " " else [self.blank] for x, u in zip(ids, some)]
 
+        return _flat(units, encode)
 
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter((x for i in ids for x in i), np.int64, int(sizes.sum())), sizes
+
+def _flat(units: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+    found, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(units), UNITS_AT_ONCE):
+        ids = encode(units[low : low + UNITS_AT_ONCE])
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        found.append(np.fromiter((x for i in ids for x in i), np.int64, int(sizes[-1].sum())))
+    return np.concatenate(found), np.concatenate(sizes)
 
 
 @functools.lru_cache(maxsize=1)
