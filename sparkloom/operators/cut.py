@@ -7,15 +7,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir and read again. Where that is unset, local mode uses a folder of this machine, which
-    is removed at exit; a cluster must set it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, local mode uses a folder of this machine, which is removed at
+    exit; a cluster must set it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.conf.get("spark.master", "local")
@@ -25,6 +24,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             _LOCAL.append(tempfile.mkdtemp(prefix="sparkloom-cut-"))
             atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
         root = f"file://{_LOCAL[0]}"
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written under shared_folder() and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
