@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import code, facts, graphs, life, memory, modules, reports, selection, textindexes, texts
+from .plans import code, facts, graphs, layered, life, memory, modules, reports, selection, textindexes, texts
 
-MODULES = [facts, graphs, life, memory, texts, selection, code, modules, textindexes, reports]
+MODULES = [facts, graphs, life, memory, texts, selection, code, modules, textindexes, layered, reports]
 
 
 def queries() -> dict:
