@@ -8,8 +8,9 @@ backward at once; occurrences are located by walking to a sampled suffix, compar
 and their spans merged.
 
 Phrases are the windows of the test items. Items are read in blocks of at most block_words words (or one item),
-and each block is broadcast on its own, so that bounds what is sent at once. A task searches each of its shards
-for all blocks in turn, so documents are read and moved once, however many items there are.
+and each block is broadcast on its own, so that bounds what is sent at once. A task searches the shards of a batch
+for one block after the other, so documents are read and moved once, however many items there are, and a worker holds
+the phrases of one block at a time.
 
 Defined cases: a null or empty text or item has no words; an item of fewer words than a window is one window;
 items of equal text each count; an item id on several rows counts once; the windows of a null item id are hit and
@@ -153,11 +154,10 @@ _KEPT: dict[tuple, Phrases] = {}
 
 
 def phrases_of(block, window: int) -> Phrases:
-    """The phrases of a broadcast block; those of the last few blocks are kept for a worker's further shards."""
+    """The phrases of a broadcast block; a worker keeps those of the last one for further shards."""
     key = (block[0], window)
     if key not in _KEPT:
-        while len(_KEPT) >= 4:
-            del _KEPT[next(iter(_KEPT))]
+        _KEPT.clear()
         _KEPT[key] = Phrases(list(block[1].value), window)
     return _KEPT[key]
 
@@ -252,15 +252,18 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_words: i
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offs in V.chunks(batch.column("text"), 4 << 20):
-                counts, spans, items = None, [[] for _ in range(b - a)], [set() for _ in range(b - a)]
-                for block in blocks:
-                    counts, found = scan_shard(data, offs, phrases_of(block, window))
+            shards = list(V.chunks(batch.column("text"), 4 << 20))
+            counts, spans, items = [None] * len(shards), [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
+            for block in blocks:  # outside, so that a block's phrases are made once for a batch of shards
+                phrases = phrases_of(block, window)
+                for n, (a, _, data, offs) in enumerate(shards):
+                    counts[n], found = scan_shard(data, offs, phrases)
                     for i, (s, names) in found.items():
-                        spans[i] = merge(spans[i] + s)
-                        items[i] |= names
+                        spans[a + i] = merge(spans[a + i] + s)
+                        items[a + i] |= names
+            for n, (a, b, _, _) in enumerate(shards):
                 part = batch.slice(a, b - a)
-                given = made(part, counts, spans, items)
+                given = made(part, counts[n], spans[a:b], items[a:b])
                 yield pa.RecordBatch.from_arrays([given.get(c) if c in given else part.column(c) for c in schema.names], schema.names)
 
     return spread(docs.select(*dict.fromkeys([*own, "text"])), "doc_id").mapInArrow(run, schema)

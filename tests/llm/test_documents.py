@@ -225,6 +225,31 @@ def test_fm_index(spark, docs, empty, block):
     assert fm_index.cut(docs.select("doc_id", "text"), bench).where("text like '%one two three%'").count() == 0
 
 
+def test_phrases_of_a_block_are_made_once_for_a_batch(monkeypatch):
+    """However many blocks and shards there are; the parts' results are those of one block."""
+    import pyarrow as pa
+
+    made = []
+    phrases = fm_index.Phrases
+
+    class Counted(phrases):
+        def __init__(self, items, window):
+            made.append(len(items))
+            super().__init__(items, window)
+
+    monkeypatch.setattr(fm_index, "Phrases", Counted)
+    monkeypatch.setattr(fm_index, "_KEPT", {})
+    held = lambda items: type("Held", (), {"value": items})()
+    blocks = [(f"b{i}", held([(i, f"alpha{i} beta gamma")])) for i in range(10)]
+    text = pa.array([f"say alpha{i % 10} beta gamma now" for i in range(60)])
+    shards = list(fm_index.V.chunks(text, 200))
+    assert len(shards) > 5
+    for block in blocks:
+        for _, _, data, offs in shards:
+            fm_index.scan_shard(data, offs, fm_index.phrases_of(block, 10))
+    assert made == [1] * 10
+
+
 def test_pii(docs, empty):
     got = pii.find_pii(docs, redact=True).collect()
     assert len(got) == len(rows()) and pii.find_pii(empty).count() == 0
