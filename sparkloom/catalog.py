@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import code, facts, graphs, layered, life, memory, modules, reports, requests, selection, textindexes, texts
+from .plans import code, facts, graphs, layered, life, memory, modules, reports, requests, selection, textindexes, texts, upkeep
 
-MODULES = [facts, graphs, life, memory, texts, selection, code, modules, textindexes, layered, requests, reports]
+MODULES = [facts, graphs, life, memory, texts, selection, code, modules, textindexes, layered, requests, upkeep, reports]
 
 
 def queries() -> dict:

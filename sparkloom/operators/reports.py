@@ -254,7 +254,7 @@ def overflow(items: Column, total: Column, most: int, label: str) -> Column:
 
 
 def tail(text: Column, n: int) -> Column:
-    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
     return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n)), "\n")
 
 

@@ -91,7 +91,7 @@ def _any(line: Column, patterns) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines, a last line end not opening one."""
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n$", ""), "\n"))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
 
 
 def applied(f: Filter, text: Column) -> Column:
@@ -122,6 +122,11 @@ def applied(f: Filter, text: Column) -> Column:
     return out
 
 
+def filtered(command: Column, text: Column, filters=BUILTIN) -> Column:
+    """The text after the stages of the first filter by name that fits the command; unchanged where none does."""
+    return F.coalesce(*[F.when(command.rlike(f.command), applied(f, text)) for f in sorted(filters, key=lambda f: f.name)], text)
+
+
 def _first_replaced(pattern: str, new: str):
     """Replaces the first match in a line; the rest of the line keeps its other matches."""
     after = re.compile(pattern).groups + 1
