@@ -141,6 +141,23 @@ def char_budget(parts: list[str], budget: int, dots: str = "...") -> list[str]:
     return out
 
 
+def exported(sections: DataFrame, budget: int, dots: str = "...") -> DataFrame:
+    """(request, text, used): by request its sections in order of ordinal while their characters fit the budget; the first that does
+    not is cut to what is left, ending in dots, and nothing but empty sections follows. sections: request, ordinal, content."""
+    size = F.char_length
+    start = F.struct(F.lit(budget).alias("left"), F.lit(False).alias("cut"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, x):
+        fits, room = size(x["content"]) <= a["left"], ~a["cut"] & (a["left"] > len(dots))
+        part = F.when(fits, x["content"]).when(room, F.concat(F.left(x["content"], a["left"] - len(dots)), F.lit(dots)))
+        left = F.when(fits, a["left"] - size(x["content"])).when(room, 0).otherwise(a["left"]).cast("int")
+        return F.struct(left.alias("left"), (a["cut"] | (~fits & room)).alias("cut"), F.when(part.isNotNull(), F.concat(a["out"], F.array(part))).otherwise(a["out"]).alias("out"))
+
+    rows = sections.where("content is not null").groupBy("request").agg(F.sort_array(F.collect_list(F.struct("ordinal", "content"))).alias("s"))
+    done = rows.select("request", F.aggregate("s", start, step).alias("a"))
+    return done.select("request", F.array_join("a.out", "\n").alias("text"), (budget - F.col("a.left")).cast("long").alias("used"))
+
+
 def merge_values(base, overlay):
     """Deep merge: objects by key, lists as ordered unions, scalars by the overlay."""
     if isinstance(base, dict) and isinstance(overlay, dict):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..operators import context as cx
 from ..operators import graph
 from ..operators import textfilter as tf
 from ..operators import upkeep as up
+from ..operators.cut import shared_folder
+from ..sources import files
 from ..sources import tables as t
 from ..sources.tables import with_adapters as sql
 from ..streaming import state
@@ -104,7 +109,32 @@ def _activity(s, d):
 
 ACTIVITY = "ac AS (SELECT project AS key, event_id, sec, 'f' || (event_id % 9) AS file, intent FROM log WHERE kind IN ('intent', 'mutation', 'memory'))"
 
+def _mirror(s, d):
+    """One project's rows written as a mirror of JSON files and read again."""
+    folder = f"{shared_folder(s)}/mirror-{uuid.uuid4().hex}"
+    rows = t.memory_rows(s, d).select(F.when(F.col("n") % 10 == 0, F.concat(F.lit("bad/"), "id")).otherwise(F.col("id")).alias("id"), "project_id", "kind", "content", "tags")
+    files.export_mirror(rows, folder)
+    return files.import_mirror(s, folder, "src11").select("id", "kind", F.md5("content").alias("digest"), F.array_join("tags", ",").alias("tags"))
+
+
+def _manifests(s, d):
+    """A package manifest of each brand; parts of even keys are for development only."""
+    pair = lambda even: F.map_from_entries(F.array_distinct(F.collect_list(F.when((F.col("p_partkey") % 2 == 0) == even, F.struct(F.concat(F.lit("pkg-"), F.col("p_partkey") % 97), F.lit("^1.0.0"))))))
+    made = t.table(s, d, "part").groupBy("p_brand").agg(pair(False).alias("dependencies"), pair(True).alias("devDependencies"))
+    return files.dependencies(made.select(F.to_json(F.struct("dependencies", "devDependencies")).alias("text"))).groupBy("name").agg(F.count("*").alias("n"))
+
+
 PLANS = {
+    "cx6_exports": (
+        lambda s, d: cx.exported(t.table(s, d, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("ordinal"), F.col("text").alias("content")).distinct(), 400).select("request", F.md5("text").alias("digest"), "used"),
+        """WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY o, x) AS i FROM (SELECT DISTINCT conv_id AS r, turn AS o, text AS x FROM conversations WHERE text IS NOT NULL)),
+          f AS (SELECT DISTINCT r, 0::BIGINT AS i, 400 AS l, false AS k, []::VARCHAR[] AS out FROM c UNION ALL
+            SELECT f.r, c.i, CASE WHEN length(x) <= l THEN l - length(x) WHEN NOT k AND l > 3 THEN 0 ELSE l END, k OR (length(x) > l AND l > 3), CASE WHEN length(x) <= l THEN list_append(out, x) WHEN NOT k AND l > 3 THEN list_append(out, left(x, l - 3) || '...') ELSE out END
+            FROM f JOIN c ON c.r = f.r AND c.i = f.i + 1)
+          SELECT r AS request, md5(array_to_string(out, chr(10))) AS digest, (400 - l)::BIGINT AS used FROM f WHERE i = (SELECT max(i) FROM c WHERE c.r = f.r)""",
+    ),
+    "sc6_mirrored_rows": (_mirror, sql("SELECT id, kind, md5(content) AS digest, array_to_string(tags, ',') AS tags FROM mem WHERE project_id = 'src11' AND n % 10 <> 0", "mem")),
+    "sc11_dependencies": (_manifests, "SELECT 'pkg-' || (p_partkey % 97) AS name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1"),
     "tf3_builtin_filters": (lambda s, d: outputs(s, d).select("doc_id", tf.filter_name(F.col("command")).alias("filter"), F.md5(tf.filtered(F.col("command"), F.col("text"))).alias("digest")), BUILTIN_SQL),
     "tf2_all_stages": (lambda s, d: t.table(s, d, "documents").select("doc_id", tf.applied(STAGES[0], F.coalesce("text", F.lit(""))).alias("last"), tf.applied(STAGES[1], F.coalesce("text", F.lit(""))).alias("first")), STAGES_SQL),
     "sk12_relations": (_related, sql(RELATED, "mem")),

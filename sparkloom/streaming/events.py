@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files: int = 10, kind: str = "parquet") -> DataFrame:
@@ -50,15 +54,45 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "com
     q.awaitTermination()
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> None:
-    """Keeps a table of the last row of each key: each micro-batch is folded into the next version of the table,
-    so a batch that runs twice changes nothing."""
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = 32) -> None:
+    """Keeps a table of the last row of each key (upserted() reads it). Rows lie in buckets by key; a micro-batch writes a new
+    version of the buckets that it touches and no others, then one small file that names each of its buckets. A batch that runs twice
+    starts from the versions before it and changes nothing; versions that no reader needs are older than a bucket's last."""
     from ..operators.memory import upsert
 
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
     def fold(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = f"{path}/v{epoch - 1}"
-        rows = upsert(spark.read.schema(batch.schema).parquet(old), batch, keys, order) if epoch else upsert(batch.limit(0), batch, keys, order)
-        rows.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        new = batch.withColumn("bucket", bucket).persist()
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        if touched:
+            old = _versions(spark, path, batch.schema, epoch, touched)
+            rows = upsert(old.select(*batch.columns), new.select(*batch.columns), keys, order)
+            dealt = rows.withColumn("bucket", bucket).withColumn("epoch", F.lit(epoch)).repartition(len(touched), "bucket")
+            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "bucket").parquet(f"{path}/rows")
+            spark.createDataFrame([(b,) for b in touched], "bucket int").withColumn("epoch", F.lit(epoch)).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{path}/versions")
+        new.unpersist()
 
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _versions(spark: SparkSession, path: str, schema: StructType, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """The last version of each bucket before an epoch: a scan of those folders alone."""
+    empty = spark.createDataFrame([], schema)
+    try:
+        known = spark.read.schema("bucket int, epoch int").parquet(f"{path}/versions")
+    except AnalysisException:  # nothing was written yet
+        return empty
+    if before is not None:
+        known = known.where(F.col("epoch") < before)
+    last = [tuple(r) for r in known.groupBy("bucket").agg(F.max("epoch")).collect() if only is None or r["bucket"] in only]
+    if not last:
+        return empty
+    rows = spark.read.schema(StructType([*schema, StructField("epoch", IntegerType()), StructField("bucket", IntegerType())])).parquet(f"{path}/rows")
+    return rows.where(reduce(lambda a, b: a | b, [(F.col("epoch") == e) & (F.col("bucket") == b) for b, e in last])).select(*schema.names)
+
+
+def upserted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that upsert_batches() keeps."""
+    return _versions(spark, path, schema)

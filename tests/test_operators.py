@@ -208,8 +208,12 @@ def test_streams_equal_batches(spark, tmp_path):
     log = df.select("event_id", F.unix_timestamp("ts").alias("sec"), "user_id")
     assert {r["event_id"] for r in spark.table("cool").collect()} == {r["event_id"] for r in events.cooldown(log, "user_id", 400).collect()}
     streams.upsert_batches(stream(), str(tmp_path / "out"), ["user_id"], "event_id", str(tmp_path / "c3"))
-    last = spark.read.parquet(str(tmp_path / "out/v2"))
+    last = streams.upserted(spark, str(tmp_path / "out"), df.schema)
     assert table(last, "user_id", "event_id") == {0: 27, 1: 28, 2: 29}
+    df.where("event_id = 3").withColumn("event_id", F.lit(40).cast("long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.upsert_batches(stream(), str(tmp_path / "out"), ["user_id"], "event_id", str(tmp_path / "c3"))
+    assert table(streams.upserted(spark, str(tmp_path / "out"), df.schema), "user_id", "event_id") == {0: 40, 1: 28, 2: 29}
+    assert len(list((tmp_path / "out/rows/epoch=3").glob("bucket=*"))) == 1  # the bucket of the one key alone
 
 
 def test_files(spark, tmp_path):
