@@ -23,7 +23,8 @@ is split by further trees keeps a common part but for 1.7e-5 a step.
 Defined cases: a null or empty text has no shingles, is linked with nothing and kept; fewer words than a
 shingle form one shingle; repeated rows of a doc_id are one document (of different texts, the one of the
 smaller digest gives its class), and each row is returned; rows of a null doc_id are all kept, with a null
-component_id; an empty table gives an empty result; other columns
+component_id; a very long text is hashed in one piece by its task, at some 40 bytes a word, and only its signature and, for
+confirmation, its set travel; ties of a component go to the smallest doc_id; an empty table gives an empty result; other columns
 are not read.
 """
 

@@ -3,7 +3,7 @@
 Only DataFrame functions; every step works inside a row, so no task ever holds more than one text.
 
 Defined cases: a null or empty text has no words and fails the base rule; a loss of max_loss_percent exactly is
-kept; a null doc_id is carried as it is; a text of any length is one row, at some 40 bytes of memory a word. Repeated rows give repeated rows.
+kept; a null doc_id is carried as it is; a text of any length is one row, at some 40 bytes of memory a word. Repeated rows give repeated rows; nothing is ranked, so there are no ties.
 Columns of the input with the names of this operator's results are left out; others are not carried. An empty
 table gives an empty result.
 """

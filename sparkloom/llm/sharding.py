@@ -13,7 +13,7 @@ of those before it, so no task ranks a whole shard.
 Defined cases: a null text has size 1 and forms a group with other nulls, apart from empty texts; rows of a null
 doc_id are rows like others; equal rows
 are rows of their group, each with a slot of its own; a group larger than a shard's share stays whole; ties
-go to the smaller chunk and digest; an empty table gives an empty result; other columns are not read.
+go to the smaller chunk and digest; a text of any length is only measured and digested, in its row; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

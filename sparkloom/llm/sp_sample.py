@@ -17,7 +17,9 @@ with other scores uses alpha times these.
 
 Defined cases: a null or empty text has no piece and one segmentation; a text with fewer than k segmentations
 emits all, with inclusion score 0; a literal U+2581 is encoded as bytes, so decoding returns every text as it
-was; equal keys get equal samples; an empty table gives an empty result.
+was; equal keys get equal samples of equal texts, so repeated rows give repeated rows, and a null key is that of -1; of equal
+perturbed scores the search keeps the one it met first, which is the same in every run; a text longer than CHUNK is a chunk of
+its own, at memory in proportion to its bytes; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

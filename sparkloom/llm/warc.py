@@ -12,7 +12,8 @@ Of payloads of at least min_bytes that are equal, the smallest page_id is the re
 
 Defined cases: a null html is an empty payload; a null url leaves the target header out, line ends in a url
 become blanks; rows of equal page_id and payload are all responses if their id is the smallest; a null page_id
-counts as greater than others; an empty table gives no archive and no row; other columns are not read.
+counts as greater than others; equal rows give records of one WARC-Record-ID, as an id is made of a row's contents and a retried
+task must make the same; an html of any length is one record of one row; an empty table gives no archive and no row; other columns are not read.
 """
 
 from __future__ import annotations

@@ -367,3 +367,16 @@ def test_alignment_bridges_an_insertion():
     px, py, match, *_ = substring_chain.align(u, v, np.array([10, 30, 60]), np.array([10, 30, 62]))
     assert match.sum() == 100
     assert substring_chain.stretches(px, py, match) == [(0, 100, 0, 102, pytest.approx(100 / 102))]
+
+
+def test_samples_of_long_texts_and_null_keys(spark, monkeypatch):
+    """A text over a chunk is sampled like any, and a null key gives the samples of -1."""
+    rows = [(None, "one text of some words"), (-1, "one text of some words"), (1, "longer words and more " * 60), (1, "longer words and more " * 60), (2, None)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_pieces long")
+    plain = lambda: sorted((tuple((x is None, str(x)) for x in r) for r in sp_sample.encode(df).collect()))
+    want = plain()
+    assert len(want) == len(sp_sample.encode(df.where("doc_id is not null")).collect()) + len(sp_sample.encode(df.where("doc_id is null")).collect())
+    null, minus = ([tuple(r)[1:] for r in sp_sample.encode(df.where(c)).collect()] for c in ("doc_id is null", "doc_id = -1"))
+    assert sorted(map(str, null)) == sorted(map(str, minus))
+    monkeypatch.setattr(sp_sample, "CHUNK", 64)
+    assert plain() == want
