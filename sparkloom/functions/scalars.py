@@ -9,22 +9,33 @@ from pyspark.sql import functions as F
 
 #: Leading verbs of identifiers, in order of trial.
 VERBS = (
-    "create build make get fetch find list update set patch delete remove destroy handle on use with is has can validate check parse transform map convert "
-    "render draw show hide toggle init setup configure register subscribe send emit dispatch trigger notify"
-).split()
+    "create", "build", "make", "get", "fetch", "find", "list", "update", "set", "patch", "delete", "remove", "destroy", "handle", "on", "use", "with", "is", "has", "can", "validate", "check",
+    "parse", "transform", "map", "convert", "render", "draw", "show", "hide", "toggle", "init", "setup", "configure", "register", "subscribe", "send", "emit", "dispatch", "trigger", "notify",
+)
 
 #: File extensions by language.
 EXTENSIONS = {
-    "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "rust": "rs", "python": "py", "go": "go", "java": "java", "cpp": "cpp cc cxx c h hpp", "csharp": "cs", "ruby": "rb", "swift": "swift", "kotlin": "kt kts", "php": "php",
-}
-LANGUAGES = {e: name for name, es in EXTENSIONS.items() for e in es.split()}
+    "typescript": ("ts", "tsx"),
+    "javascript": ("js", "jsx", "mjs", "cjs"),
+    "rust": ("rs",),
+    "python": ("py",),
+    "go": ("go",),
+    "java": ("java",),
+    "cpp": ("cpp", "cc", "cxx", "c", "h", "hpp"),
+    "csharp": ("cs",),
+    "ruby": ("rb",),
+    "swift": ("swift",),
+    "kotlin": ("kt", "kts"),
+    "php": ("php",),
+}
+LANGUAGES = {e: name for name, es in EXTENSIONS.items() for e in es}
 
 #: Syntax node kinds by the kind of entity they stand for.
 NODE_KINDS = {
-    "function": "function_declaration method_definition function_item function_definition function_definition_item method_declaration arrow_function function_expression",
-    "class": "class_declaration class_definition class_specifier struct_item struct_specifier",
-    "interface": "interface_declaration trait_item",
-    "type": "enum_item type_spec impl_item",
+    "function": ("function_declaration", "method_definition", "function_item", "function_definition", "function_definition_item", "method_declaration", "arrow_function", "function_expression"),
+    "class": ("class_declaration", "class_definition", "class_specifier", "struct_item", "struct_specifier"),
+    "interface": ("interface_declaration", "trait_item"),
+    "type": ("enum_item", "type_spec", "impl_item"),
 }
 
 #: Directories that hold generated files.
@@ -55,7 +66,7 @@ def language(p: Column) -> Column:
 
 def entity_kind(kind: Column) -> Column:
     """The kind of entity of a syntax node, or the node's own."""
-    return reduce(lambda e, kv: F.when(kind.isin(*kv[1].split()), F.lit(kv[0])).otherwise(e), NODE_KINDS.items(), kind)
+    return reduce(lambda e, kv: F.when(kind.isin(*kv[1]), F.lit(kv[0])).otherwise(e), NODE_KINDS.items(), kind)
 
 
 def signature_head(body: Column) -> Column:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .cut import cut_lineage
 
 #: Names and words that the known patterns look for.
-SINGLETONS = "db prisma client redis supabase firebase connection pool cache instance app".split()
-CRUD = "create find get update delete remove list upsert save destroy".split()
-FACTORIES = "create build make new generate produce".split()
-WRAPPERS = "with enhance wrap connect".split()
-PUBSUB = "on off emit addEventListener removeEventListener subscribe unsubscribe".split()
+SINGLETONS = ("db", "prisma", "client", "redis", "supabase", "firebase", "connection", "pool", "cache", "instance", "app")
+CRUD = ("create", "find", "get", "update", "delete", "remove", "list", "upsert", "save", "destroy")
+FACTORIES = ("create", "build", "make", "new", "generate", "produce")
+WRAPPERS = ("with", "enhance", "wrap", "connect")
+PUBSUB = ("on", "off", "emit", "addEventListener", "removeEventListener", "subscribe", "unsubscribe")
 
 
 def _any(column: Column, words, how: str) -> Column:

@@ -167,9 +167,16 @@ ASK = (r"git\s+push\s+(-f|--force)", r"git\s+reset\s+--hard", r"DROP\s+TABLE", r
 ENV_PREFIX = r"^(?:sudo\s+|env\s+|[A-Z_][A-Z0-9_]*=\S+\s+)+"
 #: Categories by first word.
 CATEGORIES = {
-    "Git": "git", "Rust": "cargo rustc rustup", "Node.js": "npm yarn pnpm node", "Python": "pip poetry uv python pytest", "Infra": "docker kubectl helm terraform", "Build": "make cmake gradle mvn",
-    "Files": "ls find grep rg fd tree", "Network": "curl wget http ssh scp", "GitHub": "gh glab bitbucket",
-}
+    "Git": ("git",),
+    "Rust": ("cargo", "rustc", "rustup"),
+    "Node.js": ("npm", "yarn", "pnpm", "node"),
+    "Python": ("pip", "poetry", "uv", "python", "pytest"),
+    "Infra": ("docker", "kubectl", "helm", "terraform"),
+    "Build": ("make", "cmake", "gradle", "mvn"),
+    "Files": ("ls", "find", "grep", "rg", "fd", "tree"),
+    "Network": ("curl", "wget", "http", "ssh", "scp"),
+    "GitHub": ("gh", "glab", "bitbucket"),
+}
 
 
 def classified(command: Column) -> tuple[Column, Column]:
@@ -180,5 +187,5 @@ def classified(command: Column) -> tuple[Column, Column]:
     kind = (
         F.when(F.length(c) == 0, "ignored").when(_any(c, IGNORED), "ignored").when(_any(c, DENIED), "denied").when(_any(c, ASK), "ask").when(filter_name(clean).isNotNull(), "supported").otherwise("unsupported")
     )
-    category = reduce(lambda e, kv: F.when(first.isin(*kv[1].split()), F.lit(kv[0])).otherwise(e), reversed(CATEGORIES.items()), F.lit("Other"))
+    category = reduce(lambda e, kv: F.when(first.isin(*kv[1]), F.lit(kv[0])).otherwise(e), reversed(CATEGORIES.items()), F.lit("Other"))
     return kind, category

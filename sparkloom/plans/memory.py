@@ -54,7 +54,7 @@ CLASSIFY = (
     f"k AS (SELECT *, trim(regexp_replace(trim(command), '{tf.ENV_PREFIX}', '')) AS clean FROM c) SELECT n, "
     + _case([("trim(command) = ''", "ignored"), (_rx("trim(command)", tf.IGNORED), "ignored"), (_rx("trim(command)", tf.DENIED), "denied"), (_rx("trim(command)", tf.ASK), "ask"), (_rx("clean", [f.command for f in tf.BUILTIN]), "supported")], "'unsupported'")
     + " AS class, "
-    + _case([("string_split(clean, ' ')[1] IN (" + ", ".join(f"'{w}'" for w in ws.split()) + ")", k) for k, ws in tf.CATEGORIES.items()], "'Other'")
+    + _case([("string_split(clean, ' ')[1] IN (" + ", ".join(f"'{w}'" for w in ws) + ")", k) for k, ws in tf.CATEGORIES.items()], "'Other'")
     + " AS category FROM k"
 )
 
