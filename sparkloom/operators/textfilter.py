@@ -86,7 +86,10 @@ def filter_name(command: Column, filters=BUILTIN) -> Column:
 
 
 def _any(line: Column, patterns) -> Column:
-    return reduce(lambda e, p: e | line.rlike(p), patterns, F.lit(False))
+    """Whether one of the patterns is met: in one pass, unless a pattern refers to its groups by number."""
+    if not patterns or any(re.search(r"\\[1-9]", p) for p in patterns):
+        return reduce(lambda e, p: e | line.rlike(p), patterns, F.lit(False))
+    return line.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def lines_of(text: Column) -> Column:
@@ -185,7 +188,7 @@ def classified(command: Column) -> tuple[Column, Column]:
     clean = F.trim(F.regexp_replace(c, ENV_PREFIX, ""))
     first = F.get(F.split(clean, r"\s+"), F.lit(0))
     kind = (
-        F.when(F.length(c) == 0, "ignored").when(_any(c, IGNORED), "ignored").when(_any(c, DENIED), "denied").when(_any(c, ASK), "ask").when(filter_name(clean).isNotNull(), "supported").otherwise("unsupported")
+        F.when(F.length(c) == 0, "ignored").when(_any(c, IGNORED), "ignored").when(_any(c, DENIED), "denied").when(_any(c, ASK), "ask").when(_any(clean, [f.command for f in BUILTIN]), "supported").otherwise("unsupported")
     )
     category = reduce(lambda e, kv: F.when(first.isin(*kv[1]), F.lit(kv[0])).otherwise(e), reversed(CATEGORIES.items()), F.lit("Other"))
     return kind, category

@@ -38,7 +38,7 @@ def plain_betweenness(pairs):
     return {v: round(b / top, 6) if top else 0.0 for v, b in total.items()}
 
 
-@pytest.mark.parametrize("seed,n,m,rows", [(1, 12, 30, 10**9), (2, 20, 45, 300), (3, 9, 9, 10**9)])
+@pytest.mark.parametrize("seed,n,m,rows", [(1, 12, 30, 10**9), (2, 16, 32, 200)])
 def test_betweenness(spark, seed, n, m, rows):
     pairs = made(seed, n, m)  # with self-edges, cycles and parts
     got = {r["node"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(pairs + pairs[:3], "src string, dst string"), rows).collect()}
@@ -78,7 +78,7 @@ def plain_depth(pairs):
     return max(far.values(), default=0)
 
 
-@pytest.mark.parametrize("seed,n,m", [(1, 14, 20), (2, 18, 20), (3, 6, 20)])
+@pytest.mark.parametrize("seed,n,m", [(1, 14, 20), (3, 6, 20)])
 def test_condensed_depth(spark, seed, n, m):
     pairs = made(seed, n, m)
     assert graph.condensed_depth(spark.createDataFrame(pairs, "src string, dst string")).first()["depth"] == plain_depth(pairs)
