@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import code, facts, frameworks, graphs, layered, life, memory, modules, reports, requests, selection, textindexes, texts, upkeep
+from .plans import code, configs, facts, frameworks, graphs, layered, life, memory, modules, reports, requests, selection, textindexes, texts, upkeep
 
-MODULES = [facts, graphs, life, memory, texts, selection, code, modules, textindexes, layered, requests, upkeep, reports, frameworks]
+MODULES = [facts, graphs, life, memory, texts, selection, code, modules, textindexes, layered, requests, upkeep, reports, frameworks, configs]
 
 
 def queries() -> dict:

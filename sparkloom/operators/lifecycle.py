@@ -82,6 +82,20 @@ def pulled(primary: DataFrame, cache: DataFrame, key: str, order: str) -> tuple[
     return won.drop("_s"), won.agg(F.count("*").alias("rows"), F.count_if(F.col("_s") == 1).alias("pulled"))
 
 
+def pushed(primary: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
+    """The cache after all rows of the primary table were put into it: they replace those of equal keys, whatever is newer
+    there, and what only the cache has stays. Of the primary's rows with one key any may be taken, as keys are unique there."""
+    return cache.join(primary.select(*keys), keys, "left_anti").unionByName(primary)
+
+
+def written_through(primary: DataFrame, cache: DataFrame, writes: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables after writes, each of which replaces the row of its keys in both; of several writes to one key the last by
+    order holds. Nulls are no keys: such writes are left out."""
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    new = writes.dropna(subset=keys).withColumn("_r", last).where("_r = 1").drop("_r", order)
+    return pushed(new, primary, keys), pushed(new, cache, keys)
+
+
 def registry(log: DataFrame) -> DataFrame:
     """By user the registered workspaces, sorted, and the active one after a log of register, unregister and activate
     (user, seq, op, workspace): the first becomes active while none is; an unregistered one is active no more."""
