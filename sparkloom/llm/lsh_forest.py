@@ -17,8 +17,10 @@
    ROWS rows, and what holds several parts is confirmed, so a row is in some tens of blocks however large its family is.
 
 Tasks return trees of links, never pairs of a group, and no group is dropped, capped or sampled. A pair of
-similarity 0.75 has a common prefix of 3 in at least one of 32 trees but for a chance of 2.4e-8, and where a region
-is split by further trees keeps a common part but for 1.7e-5 a step.
+similarity 0.75 has a common prefix of 3 in at least one of 32 trees but for a chance of 2.4e-8. Where a region is split
+by the further trees, it keeps a common part of STEP values but for 1.9e-5; parts that are still too large go deeper in the same
+trees, so there it must agree in 6, 9 or more values in one of 20 trees, and a pair near 0.75 may be lost (0.02 at 6 values). What that
+costs is measured in tests/llm/test_forest_regions.py: links between rows that no third row ties together are what is at risk.
 
 Defined cases: a null or empty text has no shingles, is linked with nothing and kept; fewer words than a
 shingle form one shingle; repeated rows of a doc_id are one document (of different texts, the one of the
