@@ -96,8 +96,8 @@ PLANS = {
           SELECT key, CASE WHEN c = 0 THEN 'not JSON' WHEN key = 'decisions' THEN 'must be an array' WHEN c = 2 AND key = 'identity' THEN 'identity.name is required;identity.purpose is required' WHEN c = 2 AND key = 'session_state' THEN 'session_state.last_updated is required' ELSE '' END AS errors, count(*) AS n FROM v GROUP BY 1, 2""",
     ),
     "sf16_overflow_and_tail": (
-        lambda s, d: t.table(s, d, "documents").select("doc_id", F.md5(rp.tail(F.col("text"), 3)).alias("tail"), rp.overflow(F.transform(F.slice(F.split("text", "\n"), 1, 9), lambda x: F.left(x, F.lit(3))), F.size(F.split("text", "\n")), 2, "lines").alias("head")),
-        """SELECT doc_id, md5(array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[-3:], chr(10))) AS tail, array_to_string(list_transform(ls[1:2], lambda x: left(x, 3)), ', ') || CASE WHEN len(ls) > 2 THEN ', +' || (len(ls) - 2) || ' more lines' ELSE '' END AS head
+        lambda s, d: t.table(s, d, "documents").select("doc_id", F.md5(rp.tail(F.col("text"), 3)).alias("tail"), rp.overflow(F.split("text", "\n"), F.size(F.split("text", "\n")), 2, "lines").alias("head")),
+        """SELECT doc_id, md5(array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[-3:], chr(10))) AS tail, array_to_string(ls[1:2], ', ') || CASE WHEN len(ls) > 2 THEN ', +' || (len(ls) - 2) || ' more lines' ELSE '' END AS head
           FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)""",
     ),
     "sf12_token_ratio": (

@@ -117,8 +117,8 @@ PLANS = {
         f"""SELECT doc_id, CASE WHEN trim(o) = '' THEN 'demo: ok' ELSE o END AS out FROM (SELECT doc_id, array_to_string(list_transform(list_filter({LINES}, lambda x: NOT regexp_matches(x, '^$') AND NOT regexp_matches(x, '^En')), lambda x: left(x, 40))[1:4], chr(10)) AS o FROM documents)""",
     ),
     "tf7_savings": (
-        lambda s, d: tf.savings(t.table(s, d, "documents").select("doc_id", "text", F.left("text", F.lit(100)).alias("f")), "text", "f").select("doc_id", "saved", "saved_percent"),
-        "SELECT doc_id, greatest(r - f, 0) AS saved, round(CASE WHEN r > 0 THEN (r - f) * 100.0 / r ELSE 0 END, 6)::DOUBLE AS saved_percent FROM (SELECT doc_id, strlen(text) // 4 AS r, strlen(left(text, 100)) // 4 AS f FROM documents)",
+        lambda s, d: tf.savings(t.table(s, d, "documents").select("doc_id", "text", F.regexp_replace("text", "[a-z]*o[a-z]* ?", "").alias("f")), "text", "f").select("doc_id", "saved", "saved_percent"),
+        "SELECT doc_id, greatest(r - f, 0) AS saved, round(CASE WHEN r > 0 THEN (r - f) * 100.0 / r ELSE 0 END, 6)::DOUBLE AS saved_percent FROM (SELECT doc_id, strlen(text) // 4 AS r, strlen(regexp_replace(text, '[a-z]*o[a-z]* ?', '', 'g')) // 4 AS f FROM documents)",
     ),
     "pf18_pruned_rules": (
         lambda s, d: t.table(s, d, "documents").select("doc_id", F.md5(tf.pruned(F.col("text"), "bug_fix", ["onoring"])).alias("digest")),
