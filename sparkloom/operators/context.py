@@ -9,7 +9,8 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,30 +41,40 @@ def knapsack_of(tokens: list[int], priorities: list[int], budget: int) -> list[i
     only if it betters the value strictly; the walk back starts from the last."""
     values = [100 * p + 1 for p in priorities]
     best = np.zeros(budget + 1, np.int64)
-    taken = np.zeros((len(tokens), budget + 1), bool)
-    for i, (t, v) in enumerate(zip(tokens, values)):
-        if t <= budget:
-            with_ = np.full(budget + 1, -1, np.int64)
-            with_[t:] = best[: budget + 1 - t] + v
-            taken[i] = with_ > best
-            best = np.maximum(best, with_)
+    taken: list[np.ndarray | None] = []  # a bit for each capacity
+    for t, v in zip(tokens, values):
+        if t > budget:
+            taken.append(None)
+            continue
+        with_ = np.full(budget + 1, -1, np.int64)
+        with_[t:] = best[: budget + 1 - t] + v
+        taken.append(np.packbits(with_ > best))
+        best = np.maximum(best, with_)
     out, cap = [], budget
     for i in range(len(tokens) - 1, -1, -1):
-        if taken[i, cap]:
+        bits = taken[i]
+        if bits is not None and bits[cap >> 3] >> (7 - (cap & 7)) & 1:
             out.append(i)
             cap -= tokens[i]
     return out[::-1]
 
 
 def knapsack(sections: DataFrame, budget: int) -> DataFrame:
-    """The chosen sections of each request. sections: request, ordinal, priority, tokens."""
+    """The chosen sections of each request. sections: request, ordinal, priority, tokens.
+
+    Of a request's sections of one size only the first budget / size by priority and ordinal can be chosen, since a later one
+    never betters a set that leaves out one before it; sections of no tokens are chosen as they are. So a task holds at most
+    budget x (1 + ln budget) sections of a request, of budget / 8 bytes each, however many it has."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["priority", "tokens", "ordinal"], ascending=[False, True, True], kind="stable")
-        return pdf.iloc[knapsack_of(pdf["tokens"].tolist(), pdf["priority"].tolist(), budget)]
+    def pick(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("priority", "descending"), ("tokens", "ascending"), ("ordinal", "ascending")])
+        chosen = knapsack_of(t.column("tokens").to_pylist(), t.column("priority").to_pylist(), budget)
+        return t.take(pa.array(chosen, pa.int64()))
 
     own = sections.select("request", "ordinal", "priority", "tokens")
-    return own.groupBy("request").applyInPandas(pick, own.schema)
+    place = F.row_number().over(Window.partitionBy("request", "tokens").orderBy(F.desc("priority"), "ordinal"))
+    some = own.where((F.col("tokens") > 0) & (F.col("tokens") <= budget)).withColumn("_r", place).where(F.col("_r") <= budget).where(F.col("_r") * F.col("tokens") <= budget).drop("_r")
+    return some.groupBy("request").applyInArrow(pick, own.schema).unionByName(own.where("tokens = 0 and priority >= 0"))
 
 
 def greedy(sections: DataFrame, budget: int, order: list[str], distinct: str | None = None) -> DataFrame:
