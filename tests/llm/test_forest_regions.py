@@ -1,7 +1,7 @@
 """Near-duplicates in regions wider than one part of the forest, against exact similarities of all pairs.
 
 The texts are one template with changes: each family changes four words of it, each member one to three more. So nearly
-all rows of a table lie in the same regions, at a similarity of 0.55 to 0.72 between families, and links are found by what
+all rows of a table lie in the same regions, at a similarity of some 0.55 to 0.72 between families (by construction, not measured), and links are found by what
 splits regions. `python tests/llm/test_forest_regions.py 20000` measures larger tables.
 """
 
