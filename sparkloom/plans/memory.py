@@ -15,9 +15,9 @@ def _relations(s, d):
     mem = t.memory_rows(s, d).withColumn("row", F.col("n"))
     name = lambda c: F.concat(F.lit("m"), c)
     return mem.select(
-        "id", "superseded_by", F.when(F.col("n") > 0, name(F.floor(F.col("n") / 3).cast("long"))).alias("parent_id"),
+        "id", "superseded_by", F.when(F.col("n") > 0, name(F.expr("n div 3"))).alias("parent_id"),
         F.when(F.col("n") % 4 == 0, F.array(name(F.col("n") + 7))).otherwise(F.array().cast("array<string>")).alias("contradicts"),
-        F.when(F.col("n") % 5 == 0, F.array(name(F.col("n") - 1), name(F.col("n") + 100000))).otherwise(F.array().cast("array<string>")).alias("caused_by"),
+        F.when(F.col("n") % 5 == 0, F.array(name(F.col("n") - 1), F.concat(F.lit("gone"), "n"))).otherwise(F.array().cast("array<string>")).alias("caused_by"),
         F.when(F.col("n") % 6 == 0, F.array(name(F.col("n") + 2))).otherwise(F.array().cast("array<string>")).alias("enables"),
     )
 
