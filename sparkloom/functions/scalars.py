@@ -107,8 +107,20 @@ def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, r"\x1b\[[0-9;?]*[a-zA-Z]|\x1b\][^\x07]*\x07|\x1b[()][A-Z0-9]", "")
 
 
+def one_decimal(x: Column) -> Column:
+    """A double from 1 to 2^49 with one decimal, rounded by its exact binary value, ties to even, as C's %.1f does (Java's rounds its
+    shortest decimal form, ties up). What stands behind the point is a whole number of 2^-52."""
+    whole = F.floor(x).cast("long")
+    tens = ((x - whole) * float(2**52)).cast("long") * 10
+    tenth = F.shiftright(tens, 52)
+    rest = tens - F.shiftleft(tenth, 52)
+    up = (rest > 2**51) | ((rest == 2**51) & (tenth % 2 == 1))
+    t = whole * 10 + tenth + up.cast("long")
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def format_tokens(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.concat(one_decimal(n / 1e6), F.lit("M"))).when(n >= 1000, F.concat(one_decimal(n / 1e3), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def format_usd(x: Column) -> Column:
@@ -118,7 +130,7 @@ def format_usd(x: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
+        out = F.when(n >= 1024**power, F.concat(one_decimal(n / float(1024**power)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
