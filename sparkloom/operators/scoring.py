@@ -111,14 +111,17 @@ def dominance(patterns: DataFrame) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(t=pdf["tier"].map(rank).fillna(3)).sort_values(["t", "id"], kind="stable")
-        taken: list[tuple[str, float, set]] = []
+        taken: set[str] = set()
+        holders: dict = {}  # of each piece of evidence, the accepted that have it: none other can cover
         keep = []
         for i, c, ev in zip(pdf["id"], pdf["confidence"], pdf["evidence"]):
             own = set(ev)
-            ok = all(i != j for j, _, _ in taken) and not any(d > c and len(o & own) / max(len(own), 1) > 0.7 for _, d, o in taken)
+            ok = i not in taken and not any(d > c and len(o & own) / len(own) > 0.7 for x in own for d, o in holders.get(x, ()))
             keep.append(ok)
             if ok:
-                taken.append((i, c, own))
+                taken.add(i)
+                for x in own:
+                    holders.setdefault(x, []).append((c, own))
         return pdf[keep][["project", "id", "tier", "confidence"]]
 
     return patterns.groupBy("project").applyInPandas(fold, "project string, id string, tier string, confidence double")
