@@ -207,16 +207,88 @@ def condensed(edges: DataFrame) -> DataFrame:
 
 def condensed_depth(edges: DataFrame) -> DataFrame:
     """One row: edges on the longest path of the condensation, so that what stands behind a cycle counts too."""
-    return max_depth(cut_lineage(condensed(edges)))
+    return longest_path(cut_lineage(condensed(cut_lineage(simple(edges)))))
+
+
+def _removable(e: DataFrame, turn: int) -> DataFrame:
+    """(node, pred, succ, w_in, w_out, end) of nodes of e (src, dst, w; no loops) that a round takes out: ends, which have no edges in or none
+    out, and of nodes inside chains (one edge in, one out) those whose hash is less than their neighbours', so that no two inner ones
+    are neighbours, nor beside one of the ends. A round takes about a third of a chain, not one node."""
+    ins = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.max("src").alias("pred"), F.max("w").alias("w_in"))
+    outs = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"), F.max("dst").alias("succ"), F.max("w").alias("w_out"))
+    n = cut_lineage(ins.join(outs, "node", "full_outer").select("node", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("o", F.lit(0)).alias("o"), "pred", "succ", "w_in", "w_out"))
+    ends = n.where("i = 0 or o = 0").select("node", "pred", "succ", "w_in", "w_out", F.lit(True).alias("end"))
+    order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), c)
+    inner = n.where("i = 1 and o = 1")
+    # What may not be beside a node that is taken: an end, or an inner node that comes before it.
+    near = n.where("i = 0 or o = 0 or (i = 1 and o = 1)").select(F.col("node").alias("near"), F.when((F.col("i") > 0) & (F.col("o") > 0), order(F.col("node"))).alias("at"))
+    beside = lambda side: (F.col("near") == F.col(side)) & (F.col("at").isNull() | (F.col("at") < order(F.col("node"))))
+    own = inner.join(near, beside("pred"), "left_anti").join(near, beside("succ"), "left_anti").select("node", "pred", "succ", "w_in", "w_out", F.lit(False).alias("end"))
+    return cut_lineage(ends.unionByName(own))
+
+
+def _without(e: DataFrame, out: DataFrame) -> DataFrame:
+    """Edges (src, dst, w) after a round: chains go on past the nodes that were taken out of them."""
+    gone = lambda side: out.select(F.col("node").alias(side))
+    left = e.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst", "w")
+    past = out.where("not end").select(F.col("pred").alias("src"), F.col("succ").alias("dst"), (F.col("w_in") + F.col("w_out")).alias("w"))
+    return cut_lineage(left.union(past).groupBy("src", "dst").agg(F.max("w").alias("w")))
+
+
+def longest_path(edges: DataFrame) -> DataFrame:
+    """One row (depth): edges on the longest path of a graph without cycles. Rounds take out sources, sinks and parts of chains,
+    and keep at the nodes beside them how long a way leads to there (a) and on from there (b); chains and trees of n nodes need some log n
+    rounds, other graphs at most half their depth."""
+    e = cut_lineage(simple(edges).where("src <> dst").withColumn("w", F.lit(1).cast("long")))
+    kind = e.schema["src"].dataType.simpleString()
+    spark, none = edges.sparkSession, F.lit(0).cast("long")
+    at = spark.createDataFrame([], f"node {kind}, a long, b long")
+    best, turn = 0, 0
+    while not e.isEmpty():
+        out = _removable(e, turn)
+        if out.isEmpty():
+            raise ValueError("the graph has a cycle")
+        # Values at a taken node go over its edges to its neighbours; whatever an edge or a node joins is a path.
+        known = lambda side, c: at.select(F.col("node").alias(side), F.col(c))  # noqa: E731, B023
+        taken = lambda side: out.select(F.col("node").alias(side), F.lit(True).alias(f"out_{side}"))  # noqa: E731, B023
+        each = e.join(taken("src"), "src", "left").join(taken("dst"), "dst", "left").where("out_src or out_dst").join(known("src", "a"), "src", "left").join(known("dst", "b"), "dst", "left")
+        each = cut_lineage(each.select("src", "dst", "out_src", "out_dst", (F.coalesce("a", none) + F.col("w")).alias("a"), (F.coalesce("b", none) + F.col("w")).alias("b"), (F.coalesce("a", none) + F.col("w") + F.coalesce("b", none)).alias("through")))
+        on = each.where("out_src").select(F.col("dst").alias("node"), "a", none.alias("b")).union(each.where("out_dst").select(F.col("src").alias("node"), none.alias("a"), "b"))
+        at = cut_lineage(at.union(on).groupBy("node").agg(F.max("a").alias("a"), F.max("b").alias("b")))
+        best = max(best, each.agg(F.max("through")).first()[0] or 0, at.agg(F.max(F.col("a") + F.col("b"))).first()[0] or 0)
+        e = _without(e, out)
+        turn += 1
+    return spark.range(1).select(F.lit(best).cast("long").alias("depth"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """node and component (the least member) of components of more than one node, by coloring: the least name
-    that reaches a node is carried forward to a fixpoint, then members are what reaches the color's root back
-    within the color."""
-    e = cut_lineage(simple(edges).where("src <> dst"))
-    _, e = levels(e)
-    found = None
+    """node and component (the least member) of components of more than one node. What lies on no cycle and nodes inside chains are taken
+    out by rounds first; the rest is colored: the least name that reaches a node is carried forward to a fixpoint, then members
+    are what reaches the color's root back within the color. A node inside a chain is in its neighbours' component if they share one."""
+    e = cut_lineage(simple(edges).where("src <> dst").withColumn("w", F.lit(1).cast("long")))
+    rounds = []
+    while not e.isEmpty():
+        out = _removable(e, len(rounds))
+        if out.isEmpty():
+            break
+        left = _without(e, out)
+        rounds.append((out.where("not end").select("node", "pred", "succ"), left.where("src = dst").select(F.col("src").alias("node"))))
+        e = left.where("src <> dst")
+    found = _colored(cut_lineage(e.select("src", "dst")))
+    for chain, loops in reversed(rounds):
+        # A loop that a chain leaves behind makes its node a component, unless that is in one already.
+        found = cut_lineage(found.union(loops.join(found, "node", "left_anti").withColumn("color", F.col("node"))))
+        of = lambda side: found.select(F.col("node").alias(side), F.col("color").alias(f"_{side}"))  # noqa: E731, B023
+        inside = chain.join(of("pred"), "pred").join(of("succ"), "succ").where("_pred = _succ").select("node", F.col("_pred").alias("color"))
+        found = found.union(inside)
+    found = cut_lineage(found)
+    big = found.groupBy("color").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1")
+    return found.join(big, "color").select("node", "component")
+
+
+def _colored(e: DataFrame) -> DataFrame:
+    """(node, color) of all nodes of edges by strong component."""
+    found = nodes(e).limit(0).withColumn("color", F.col("node"))
     while not e.isEmpty():
         color = cut_lineage(nodes(e).withColumn("color", F.col("node")))
         while True:
@@ -236,13 +308,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
             if new.isEmpty():
                 break
             seen, frontier = cut_lineage(seen.union(new)), new
-        found = seen if found is None else found.union(seen)
+        found = found.union(seen)
         keep = lambda side: seen.select(F.col("node").alias(side))  # noqa: E731, B023
         e = cut_lineage(e.join(keep("src"), "src", "left_anti").join(keep("dst"), "dst", "left_anti").select("src", "dst"))
-    if found is None:
-        return nodes(edges).limit(0).withColumn("component", F.col("node"))
-    big = found.groupBy("color").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1")
-    return found.join(big, "color").select("node", "component")
+    return found
 
 
 def replace_source(edges: DataFrame, new: DataFrame) -> DataFrame:

@@ -87,3 +87,32 @@ def test_condensed_depth(spark, seed, n, m):
 def test_depth_behind_a_cycle(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e")], "src string, dst string")
     assert (graph.max_depth(e).first()["depth"], graph.condensed_depth(e).first()["depth"]) == (0, 3)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Chains behind and between cycles, a ring, and a tree: rounds grow with the logarithm of a chain, not with its length."""
+    chain = lambda name, n: [(f"{name}{i:03d}", f"{name}{i + 1:03d}") for i in range(n)]
+    pairs = chain("a", 150) + [("a010", "a003"), ("a150", "a148")] + chain("b", 90) + [("b090", "b000"), ("b030", "a000")] + chain("c", 40) + [("c040", "c039")]
+    taken = []
+    one = graph._removable
+    monkeypatch.setattr(graph, "_removable", lambda e, turn: taken.append(turn) or one(e, turn))
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    assert graph.condensed_depth(e).first()["depth"] == plain_depth(pairs)
+    assert len(taken) < 60
+    got = {r["node"]: r["component"] for r in graph.strong_components(e).collect()}
+    want = {**{f"a{i:03d}": "a003" for i in range(3, 11)}, **{f"a{i:03d}": "a148" for i in range(148, 151)}, **{f"b{i:03d}": "b000" for i in range(91)}, "c039": "c039", "c040": "c039"}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed,n,m", [(11, 20, 22), (12, 25, 30), (13, 9, 12)])
+def test_strong_components_of_sparse_graphs(spark, seed, n, m):
+    pairs = made(seed, n, m)
+    names = sorted({x for p in pairs for x in p})
+    reach = {v: {v} for v in names}
+    for _ in names:
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    same = {v: [w for w in names if w in reach[v] and v in reach[w]] for v in names}
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    assert {r["node"]: r["component"] for r in graph.strong_components(e).collect()} == {v: min(c) for v, c in same.items() if len(c) > 1}
+    assert graph.condensed_depth(e).first()["depth"] == plain_depth(pairs)
