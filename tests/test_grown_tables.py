@@ -72,3 +72,14 @@ def test_every_pair_of_files_with_one_name_is_an_edge(both, name):
         assert max(outs.values()) == len(files) - 1 > 5
     else:
         assert max(len(r[-2].split(",")) for r in got) == 20 < len(files)
+
+
+def test_a_mirror_has_a_file_by_id_and_no_folders(spark, tmp_path):
+    from sparkloom.sources import files
+
+    rows = spark.createDataFrame([("a", "p", "x\ny"), ("pending", "p", "z"), (".b", "q", None), ("_c", "p", "é"), ("no/t", "p", "w"), (None, "p", "v")], "id string, project_id string, content string")
+    for _ in range(2):  # a second mirror takes the first one's place
+        files.export_mirror(rows, str(tmp_path / "m"))
+    names = sorted(f.name for f in (tmp_path / "m").iterdir() if not f.name.endswith(".crc"))
+    assert names == ["row-.b.json", "row-_c.json", "row-a.json", "row-pending.json"]
+    assert sorted((r["id"], r["content"]) for r in files.import_mirror(spark, str(tmp_path / "m"), "p").collect()) == [("_c", "é"), ("a", "x\ny"), ("pending", "z")]
