@@ -82,8 +82,9 @@ def _replicas(s, d):
     part = e.agg(F.floor(F.avg("event_id")).alias("part"))  # one row
     e = e.crossJoin(F.broadcast(part)).select((F.col("user_id") % 50).alias("key"), (F.col("event_id") % 7).alias("element"), "event_id", (F.col("event_type") == "error").alias("removes"), (F.col("event_id") >= F.col("part")).alias("alone"), F.when(F.col("event_id") < F.col("part"), 0).otherwise(F.col("event_id") % 3).alias("actor"))
     e = e.withColumn("counter", F.sum((~F.col("removes")).cast("long")).over(Window.partitionBy("key", "actor").orderBy("event_id")))
-    again = Window.partitionBy("key", "element", "actor").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
-    adds = e.withColumn("gone", F.coalesce(F.max(F.col("removes").cast("int")).over(again), F.lit(0))).where("not removes")
+    # The last removal of a group tells of every row whether one follows; a frame from each row to the end would be read for each row.
+    last = F.max(F.when(F.col("removes"), F.col("event_id"))).over(Window.partitionBy("key", "element", "actor"))
+    adds = e.withColumn("gone", F.coalesce((last > F.col("event_id")).cast("int"), F.lit(0))).where("not removes")
     removed = e.where("removes and alone").select("key", "element", F.col("actor").alias("replica")).distinct().withColumn("out", F.lit(True))
     later = e.where("removes and not alone").groupBy("key", "element").agg(F.max("event_id").alias("last"))
     shared = adds.where("not alone").join(later, ["key", "element"], "left").where("last is null or last < event_id").crossJoin(s.range(3).select(F.col("id").cast("int").alias("replica")))  # three rows

@@ -83,3 +83,12 @@ def test_a_mirror_has_a_file_by_id_and_no_folders(spark, tmp_path):
     names = sorted(f.name for f in (tmp_path / "m").iterdir() if not f.name.endswith(".crc"))
     assert names == ["row-.b.json", "row-_c.json", "row-a.json", "row-pending.json"]
     assert sorted((r["id"], r["content"]) for r in files.import_mirror(spark, str(tmp_path / "m"), "p").collect()) == [("_c", "é"), ("a", "x\ny"), ("pending", "z")]
+
+
+@pytest.mark.parametrize("name", ["sy3_observed_remove_dots", "sy3_observed_remove_sets"])
+def test_replicas_read_no_window_from_each_row_to_its_end(both, spark, tmp_path, name):
+    events = pd.read_parquet(f"{SF}/events.parquet").assign(user_id=lambda e: e.user_id % 2)
+    got, want = both(name, events=events)
+    assert got == want and len(want) > 1
+    plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "RowFrame, 1, unboundedfollowing" not in plan
