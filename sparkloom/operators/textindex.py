@@ -21,11 +21,13 @@ DOCS = "id string, doc long, len int, stamp long"
 MARKS = "id string, stamp long"
 COMMITS = "number long, stamps array<long>, marks array<long>, n_docs long, n_words long"
 DOC = ["id", "doc", "stamp"]
+#: Words that one task writes the postings of, so that tasks are as many as an insert or a merge needs.
+WORDS_A_TASK = 1_000_000
 
 
 class TextIndex:
-    """buckets: folders of terms; parts: tasks that write one of them, so that a frequent term is not one task's. Both are an
-    index's own for good."""
+    """buckets: folders of terms, an index's own for good; parts: tasks that write one of them at least, so that a frequent term is not one
+    task's. Where a segment has more than WORDS_A_TASK words a task, there are more."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, parts: int = 8):
         self.spark, self.path, self.buckets, self.parts = spark, path.rstrip("/"), buckets, parts
@@ -44,17 +46,21 @@ class TextIndex:
         content, or of another insert, are documents each."""
         stamp = self._stamp()
         words = F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(WORD), F.lit(0))
-        own = rows.select(F.col("id").cast("string").alias("id"), F.xxhash64("content").alias("doc"), words.alias("words")).withColumn("len", F.size("words"))
+        # Texts are dealt by id, not by file; a document's words then meet in its task, so that they are not shuffled.
+        dealt = rows.select(F.col("id").cast("string").alias("id"), "content").repartition("id")
+        own = dealt.select("id", F.xxhash64("content").alias("doc"), words.alias("words")).withColumn("len", F.size("words"))
         each = own.select("id", "doc", "len", F.posexplode("words").alias("at", "term"))
         terms = each.groupBy("id", "doc", "len", "term").agg(F.array_sort(F.collect_set("at")).alias("positions"))
-        self._write_postings(terms.withColumn("tf", F.size("positions")), stamp)
         own.select("id", "doc", "len").distinct().withColumn("stamp", F.lit(stamp)).write.mode("append").partitionBy("stamp").parquet(f"{self.path}/docs")
+        self._write_postings(terms.withColumn("tf", F.size("positions")), stamp)
         self._pending.append(("segment", stamp))
 
     def _write_postings(self, terms: DataFrame, stamp: int) -> None:
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")
         rows = terms.select("id", "doc", "term", "tf", "len", "positions", F.lit(stamp).alias("stamp"), bucket.alias("bucket"))
-        dealt = rows.repartition(self.buckets * self.parts, "bucket", F.pmod(F.xxhash64("id", "doc"), F.lit(self.parts)))
+        words = self._read("docs", DOCS).where(F.col("stamp") == stamp).agg(F.sum("len")).first()[0] or 0
+        parts = max(self.parts, -(-words // (self.buckets * WORDS_A_TASK)))
+        dealt = rows.repartitionById(self.buckets * parts, (F.col("bucket") * parts + F.pmod(F.xxhash64("id", "doc"), F.lit(parts))).cast("int"))
         dealt.sortWithinPartitions("bucket", "term", "id").write.mode("append").partitionBy("stamp", "bucket").parquet(f"{self.path}/postings")
 
     def delete(self, ids: DataFrame) -> None:
@@ -106,8 +112,8 @@ class TextIndex:
         of = lambda name, schema: self._live(self._read(name, schema).where(F.col("stamp").isin(head["stamps"])), head["marks"])
         # The old stamp stays in a document's key, as equal rows of two inserts are two documents.
         key = F.xxhash64("doc", "stamp").alias("doc")
-        self._write_postings(of("postings", POSTINGS).select("id", key, "term", "tf", "len", "positions"), stamp)
         of("docs", DOCS).select("id", key, "len", F.lit(stamp).alias("stamp")).write.mode("append").partitionBy("stamp").parquet(f"{self.path}/docs")
+        self._write_postings(of("postings", POSTINGS).select("id", key, "term", "tf", "len", "positions"), stamp)
         self._commit(head["number"] + 1, [stamp], [])
 
     def postings(self, terms: list[str], *more: str) -> DataFrame:

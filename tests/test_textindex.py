@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sparkloom.operators.search import matching
+from sparkloom.operators import textindex
 from sparkloom.operators.textindex import TextIndex
 
 SCHEMA = "id string, content string"
@@ -55,3 +58,14 @@ def test_a_search_reads_its_terms_partitions(spark, tmp_path):
     plan = index.postings(["fox"])._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "EqualTo(term,fox)" in plan.split("PushedFilters")[1]
     assert "content" not in plan and len({p.name for p in (tmp_path / "i" / "postings").glob("*/*") if p.is_dir()}) > 3
+
+
+def test_tasks_that_write_postings_grow_with_the_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "WORDS_A_TASK", 100)
+    docs = spark.range(100).select("id", F.repeat(F.lit("the one "), 20).alias("content"))
+    index = textindex.TextIndex(spark, f"file://{tmp_path}/grown", buckets=2, parts=1)
+    index.insert(docs)
+    index.merge()
+    for stamp in (tmp_path / "grown/postings").glob("stamp=*"):
+        assert max(len(list(b.glob("*.parquet"))) for b in stamp.glob("bucket=*")) >= 15  # up to 20: 4,000 words by 2 folders and 100 a task
+    assert index.postings(["the"]).count() == 100
