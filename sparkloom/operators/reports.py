@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cut import cut_lineage
+from .names import name_counts
 
 #: Names and words that the known patterns look for.
 SINGLETONS = ("db", "prisma", "client", "redis", "supabase", "firebase", "connection", "pool", "cache", "instance", "app")
@@ -111,36 +111,6 @@ def test_impact(edges: DataFrame, file: str) -> DataFrame:
     return edges.where(F.col("dst") == file).select("src").distinct().where(is_test_path(F.col("src")))
 
 
-#: Characters of the parts by which names and texts meet.
-GRAM = 4
-
-
-def _grams(text: Column, sizes) -> Column:
-    """The distinct runs of so many characters, at every place."""
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])))
-
-
-def name_counts(names: DataFrame, memory: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(name, n): in how many memory rows (content) each of names (name) stands, for those that stand in any.
-
-    A name waits under the one of its grams that fewest texts have (a name shorter than a gram under itself); texts come to names
-    by an equi-join on their grams, and what meets is confirmed by the text. Equal texts are one with a count. No name is compared
-    with all texts, and neither side goes through the driver."""
-    names = cut_lineage(names.where("name <> ''").select("name").distinct())
-    texts = cut_lineage(memory.where("content is not null").groupBy("content").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("content")))
-    shortest = names.agg(F.min(F.length("name"))).first()[0] or gram
-    sizes = range(min(gram, shortest), gram + 1)
-    length = F.char_length("name")
-    own = names.select("name", F.explode(F.when(length < gram, F.array("name")).otherwise(_grams(F.col("name"), [gram]))).alias("gram"))
-    wanted = own.select("gram").distinct()
-    found = texts.select("key", F.explode(_grams(F.col("content"), sizes)).alias("gram"))
-    held = found.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    # A gram that no text has leaves its name out: min_by over a left join would take df null first.
-    rarest = own.join(held, "gram", "left").groupBy("name").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("df", F.lit(0))).alias("df")).where("df > 0")
-    met = found.join(cut_lineage(rarest.select("name", "gram")), "gram").select("key", "name").distinct()
-    return met.join(texts, "key").where(F.contains("content", "name")).groupBy("name").agg(F.sum("n").alias("n"))
-
-
 def coverage(skeletons: DataFrame, memory: DataFrame, enough: int = 3) -> DataFrame:
     """(file, hits, covered): in how many memory rows (content) a skeleton's path stands, and each of its exports; covered
     means that the skeleton may be cut short. skeletons: file, exports."""
