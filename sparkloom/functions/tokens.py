@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 import functools
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import mapped
+
 #: Fixed value: how the vocabulary's pattern splits text before pairs are merged.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -23,18 +25,18 @@ def encoding(path: str):
 
 
 def count_tokens(text: Column, path: str) -> Column:
-    @F.pandas_udf("long")
-    def run(t: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def run(t: pa.Array) -> pa.Array:
         e = encoding(path)
-        return pd.Series([0 if x is None else len(e.encode_ordinary(x)) for x in t])
+        return mapped(lambda x: 0 if x is None else len(e.encode_ordinary(x)), pa.int64(), t)
 
     return run(text)
 
 
 def truncate_tokens(text: Column, budget: int, path: str) -> Column:
-    @F.pandas_udf("string")
-    def run(t: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(t: pa.Array) -> pa.Array:
         e = encoding(path)
-        return pd.Series([None if x is None else e.decode(e.encode_ordinary(x)[:budget]) for x in t])
+        return mapped(lambda x: None if x is None else e.decode(e.encode_ordinary(x)[:budget]), pa.string(), t)
 
     return run(text)
