@@ -41,21 +41,39 @@ def _named(inside: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1).alias("imported"), F.regexp_extract(x, r"(\S+)$", 1).alias("local")))
 
 
+def _bindings(text: Column) -> Column:
+    """Structs (specifier, type_only, kind, imported, local) of a text's imported names."""
+
+    def of(s: Column) -> Column:
+        clause = s["clause"]
+        one = lambda kind, imported, local: F.struct(s["specifier"].alias("specifier"), (s["type_only"] != "").alias("type_only"), F.lit(kind).alias("kind"), imported.alias("imported"), local.alias("local"))
+        default = one("default", F.lit("default"), F.regexp_extract(clause, rf"^\s*({NAME})", 1))
+        space = one("namespace", F.lit("*"), F.regexp_extract(clause, rf"\*\s*as\s+({NAME})", 1))
+        named = F.transform(_named(F.regexp_extract(clause, r"\{([^}]*)\}", 1)), lambda x: one("named", x["imported"], x["local"]))
+        return F.concat(F.filter(F.array(default, space), lambda x: x["local"] != ""), named)
+
+    return F.flatten(F.transform(_statements(text, IMPORT), of))
+
+
+BOUND = ("specifier", "type_only", "kind", "imported", "local")
+
+
 def import_bindings(files: DataFrame) -> DataFrame:
     """(file, specifier, type_only, kind, imported, local) of files (file, text): kind named, default or namespace; imports
     without names are no bindings."""
-    each = files.select("file", F.explode(_statements(F.coalesce("text", F.lit("")), IMPORT)).alias("s")).select("file", "s.specifier", (F.col("s.type_only") != "").alias("type_only"), F.col("s.clause").alias("clause"))
-    default, space = F.regexp_extract("clause", rf"^\s*({NAME})", 1), F.regexp_extract("clause", rf"\*\s*as\s+({NAME})", 1)
-    one = lambda kind, imported, local: F.filter(F.array(F.struct(F.lit(kind).alias("kind"), imported.alias("imported"), local.alias("local"))), lambda x: x["local"] != "")
-    named = F.transform(_named(F.regexp_extract("clause", r"\{([^}]*)\}", 1)), lambda x: F.struct(F.lit("named").alias("kind"), x["imported"].alias("imported"), x["local"].alias("local")))
-    found = F.concat(one("default", F.lit("default"), default), one("namespace", F.lit("*"), space), named)
-    return each.select("file", "specifier", "type_only", F.explode(found).alias("b")).select("file", "specifier", "type_only", "b.kind", "b.imported", "b.local")
+    return files.select("file", F.explode(_bindings(F.coalesce("text", F.lit("")))).alias("b")).select("file", *[f"b.{c}" for c in BOUND])
 
 
-def exports(files: DataFrame) -> DataFrame:
-    """(file, name, local, specifier): a name that a file gives out, and what it stands for: a symbol `local` of the file
-    itself, or of the module `specifier`; name * passes on all but default."""
+def exported_bindings(files: DataFrame) -> DataFrame:
+    """import_bindings() of names that their file also gives out as its own, which few are; found within each file."""
     text = F.coalesce("text", F.lit(""))
+    own = F.transform(F.filter(_exports(text), lambda x: x["specifier"].isNull()), lambda x: x["local"])
+    both = files.select("file", _bindings(text).alias("b"), own.alias("own")).withColumn("own", F.array_intersect("own", F.transform("b", lambda x: x["local"]))).where(F.size("own") > 0)
+    return both.select("file", "own", F.explode("b").alias("b")).where(F.array_contains("own", F.col("b.local"))).select("file", *[f"b.{c}" for c in BOUND])
+
+
+def _exports(text: Column) -> Column:
+    """Structs (name, local, specifier) of what a text gives out."""
     word = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.struct(x.alias("name"), x.alias("local"), F.lit(None).cast("string").alias("specifier")))
     default = F.transform(F.regexp_extract_all(text, F.lit(DEFAULT), F.lit(1)), lambda x: F.struct(F.lit("default").alias("name"), F.when(x == "", "default").otherwise(x).alias("local"), F.lit(None).cast("string").alias("specifier")))
     listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(LISTED), F.lit(1)), lambda c: F.transform(_named(c), lambda x: F.struct(x["local"].alias("name"), x["imported"].alias("local"), F.lit(None).cast("string").alias("specifier")))))
@@ -67,7 +85,14 @@ def exports(files: DataFrame) -> DataFrame:
         return F.when(s["clause"].rlike(r"^\s*\*"), star).otherwise(braces)
 
     on = F.flatten(F.transform(_statements(text, PASSED_ON), passed))
-    return files.select("file", F.explode(F.concat(word(DECLARED), default, listed, on)).alias("e")).select("file", "e.name", "e.local", "e.specifier").distinct()
+    return F.array_distinct(F.concat(word(DECLARED), default, listed, on))
+
+
+def exports(files: DataFrame) -> DataFrame:
+    """(file, name, local, specifier): a name that a file gives out, and what it stands for: a symbol `local` of the file
+    itself, or of the module `specifier`; name * passes on all but default."""
+    each = files.select("file", F.explode(_exports(F.coalesce("text", F.lit("")))).alias("e"))
+    return each.select("file", "e.name", "e.local", "e.specifier").distinct()
 
 
 def without_dots(path: Column) -> Column:
@@ -92,19 +117,30 @@ def _keys(files: DataFrame) -> DataFrame:
     return files.select("file").distinct().select(F.explode(F.array_compact(F.array(*keys))).alias("k"), F.col("file").alias("module")).select("k.key", "k.rank", "module")
 
 
+def _with_keys(asked: DataFrame) -> DataFrame:
+    """asked (file, specifier) with key and key2: where a specifier leads relative to the file's folder, and failing that from the
+    workspace's root. Both are '' for names of packages; key2 is where there is one way."""
+    folder = F.regexp_extract("file", r"^(?:(.*)/)?[^/]*$", 1)
+    relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
+    near = F.when(relative, without_dots(F.concat(folder, F.lit("/"), "specifier")))
+    root = without_dots(F.when(relative | F.col("specifier").startswith("/"), F.col("specifier")))
+    # A key is kept after a slash, so that the root's own, which is empty, is one.
+    key = lambda c: F.coalesce(F.concat(F.lit("/"), c), F.lit(""))
+    return asked.withColumns({"key": key(F.coalesce(near, root)), "key2": key(F.when(near.isNotNull(), root))})
+
+
+def _modules(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, key2, module) of pairs of keys that lead to a file."""
+    best = _keys(files).groupBy("key").agg(F.min_by("module", "rank").alias("module")).select(F.concat(F.lit("/"), "key").alias("key"), "module")
+    ways = keys.select("key", "key2").distinct().select("key", "key2", F.explode(F.array(F.struct(F.lit(0).alias("base"), F.col("key").alias("at")), F.struct(F.lit(1).alias("base"), F.col("key2").alias("at")))).alias("w")).where("w.at <> ''")
+    return ways.select("key", "key2", "w.base", F.col("w.at").alias("at")).join(best.withColumnRenamed("key", "at"), "at").groupBy("key", "key2").agg(F.min_by("module", "base").alias("module"))
+
+
 def resolve_modules(asked: DataFrame, files: DataFrame) -> DataFrame:
     """(file, specifier, module) for pairs (file, specifier): relative to the file's folder, else to the workspace's root. Names of
     packages and what no file answers to have no row."""
-    folder = F.regexp_extract("file", r"^(?:(.*)/)?[^/]*$", 1)
-    relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
-    from_root = F.when(relative | F.col("specifier").startswith("/"), F.col("specifier"))
-    bases = F.array(
-        F.struct(F.lit(0).alias("base"), F.when(relative, without_dots(F.concat(folder, F.lit("/"), "specifier"))).alias("key")),
-        F.struct(F.lit(1).alias("base"), without_dots(from_root).alias("key")),
-    )
-    want = asked.select("file", "specifier").distinct().select("*", F.explode(bases).alias("b")).select("file", "specifier", "b.base", "b.key").where("key is not null")
-    best = F.min_by("module", F.struct("base", "rank"))
-    return want.join(_keys(files), "key").groupBy("file", "specifier").agg(best.alias("module"))
+    want = _with_keys(asked.select("file", "specifier").distinct()).where("key <> ''")
+    return want.join(_modules(want, files), ["key", "key2"]).select("file", "specifier", "module")
 
 
 def origins(asked: DataFrame, given: DataFrame) -> DataFrame:
@@ -134,25 +170,31 @@ def origins(asked: DataFrame, given: DataFrame) -> DataFrame:
     return found.groupBy("module", "name").agg(least).select("module", "name", "o.origin_file", "o.origin_name", F.col("o.hops").cast("long").alias("hops"))
 
 
-def resolved_exports(files: DataFrame, bindings: DataFrame, modules: DataFrame) -> DataFrame:
-    """exports() with modules in place of specifiers; a file's own export of an imported name passes that on."""
-    given = exports(files)
+def resolved_exports(files: DataFrame, bindings: DataFrame | None = None, modules: DataFrame | None = None) -> DataFrame:
+    """(file, name, local, module): exports() with modules in place of specifiers; a file's own export of an imported name passes that on.
+    Only bindings of names that their file gives out matter, and the modules (file, specifier, module) of these and of exports."""
+    given, bound = cut_lineage(exports(files)), cut_lineage(exported_bindings(files)) if bindings is None else bindings
+    if modules is None:
+        modules = cut_lineage(resolve_modules(given.where("specifier is not null").select("file", "specifier").union(bound.select("file", "specifier")), files))
     told = given.where("specifier is not null").join(modules, ["file", "specifier"]).select("file", "name", "local", "module")
-    bound = bindings.join(modules, ["file", "specifier"]).select("file", "local", "imported", F.col("module").alias("of"))
-    mine = given.where("specifier is null").join(bound, ["file", "local"], "left")
+    of = bound.join(modules, ["file", "specifier"]).select("file", "local", "imported", F.col("module").alias("of"))
+    mine = given.where("specifier is null").join(of, ["file", "local"], "left")
     return told.union(mine.select("file", "name", F.coalesce("imported", "local").alias("local"), F.col("of").alias("module")))
 
 
-def resolved_bindings(files: DataFrame) -> DataFrame:
+def resolved_bindings(files: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """Per imported name of files (file, text): the module it comes from, and the file and name it is defined by (null where
-    the module is not in the workspace, or gives out no such name). A namespace is defined by its module."""
-    bindings = cut_lineage(import_bindings(files))
-    asked = bindings.select("file", "specifier").union(exports(files).where("specifier is not null").select("file", "specifier"))
-    modules = cut_lineage(resolve_modules(asked, files))
-    bound = bindings.join(modules, ["file", "specifier"], "left")
-    named = bound.where("module is not null").select("module", F.col("imported").alias("name"))
-    defined = origins(named, resolved_exports(files, bindings, modules)).withColumnRenamed("name", "imported")
-    return bound.join(defined, ["module", "imported"], "left").select("file", "specifier", "type_only", "kind", "imported", "local", "module", "origin_file", "origin_name", "hops")
+    the module is not in the workspace, or gives out no such name). A namespace is defined by its module.
+
+    What bindings ask for is resolved once for each pair of a key and a name, and bindings meet it by one join; files are read twice,
+    so they should be a table. given is resolved_exports(files), where it is known."""
+    bindings = _with_keys(import_bindings(files))
+    asked = cut_lineage(bindings.where("key <> ''").select("key", "key2", "imported").distinct())
+    modules = cut_lineage(_modules(asked, files))
+    named = cut_lineage(asked.join(modules, ["key", "key2"]))
+    defined = origins(named.select("module", F.col("imported").alias("name")), resolved_exports(files) if given is None else given).withColumnRenamed("name", "imported")
+    known = named.join(defined, ["module", "imported"], "left")
+    return bindings.join(known, ["key", "key2", "imported"], "left").select("file", "specifier", "type_only", "kind", "imported", "local", "module", "origin_file", "origin_name", "hops")
 
 
 def call_targets(calls: DataFrame, bindings: DataFrame, symbols: DataFrame, given: DataFrame | None = None) -> DataFrame:
@@ -160,16 +202,21 @@ def call_targets(calls: DataFrame, bindings: DataFrame, symbols: DataFrame, give
     a symbol of its own file; a member of a bound object by the object's module, or where given (as in origins) tells,
     by the file that defines it. Others have none."""
     plain, member = F.col("object").isNull(), F.col("object").isNotNull()
-    b = bindings.where("module is not null").select(F.col("file").alias("caller_file"), F.col("local").alias("_bound"), "module", "kind", "imported", "origin_file", "origin_name").dropDuplicates(["caller_file", "_bound"])
-    own = symbols.select(F.col("file").alias("caller_file"), F.col("name").alias("callee")).distinct().withColumn("_own", F.lit(True))
-    out = calls.withColumn("_bound", F.coalesce("object", "callee")).join(b, ["caller_file", "_bound"], "left").join(own, ["caller_file", "callee"], "left")
+    what = ("module", "kind", "imported", "origin_file", "origin_name")
+    b = bindings.where("module is not null").select(F.col("file").alias("caller_file"), F.col("local").alias("_bound"), *what, F.lit(False).alias("_own"))
+    # A file's own symbols stand among its bindings: a name that is none of these calls them.
+    own = symbols.select(F.col("file").alias("caller_file"), F.col("name").alias("_bound"), *[F.lit(None).cast("string").alias(c) for c in what], F.lit(True).alias("_own"))
+    names = b.unionByName(own).groupBy("caller_file", "_bound").agg(F.min_by(F.struct(*what, "_own"), "_own").alias("b"), F.max("_own").alias("_has"))
+    out = calls.withColumn("_bound", F.coalesce("object", "callee")).join(names, ["caller_file", "_bound"], "left").select("caller_file", "caller", "object", "callee", *[f"b.{c}" for c in what], "_has")
+    none = {"_file": F.lit(None).cast("string"), "_name": F.lit(None).cast("string")}
     if given is not None:
-        members = out.where(member & (F.col("kind") == "namespace")).select("module", F.col("callee").alias("name"))
-        told = origins(members, given).select("module", F.col("name").alias("callee"), F.col("origin_file").alias("_file"), F.col("origin_name").alias("_name"))
-        out = out.join(told, ["module", "callee"], "left")
+        out = cut_lineage(out)
+        asks = member & F.coalesce(F.col("kind") == "namespace", F.lit(False))
+        told = origins(out.where(asks).select("module", F.col("callee").alias("name")), given).select("module", F.col("name").alias("callee"), F.col("origin_file").alias("_file"), F.col("origin_name").alias("_name"))
+        out = out.where(asks).join(told, ["module", "callee"], "left").unionByName(out.where(~asks).withColumns(none))
     else:
-        out = out.withColumns({"_file": F.lit(None).cast("string"), "_name": F.lit(None).cast("string")})
+        out = out.withColumns(none)
     bound = F.col("module").isNotNull()
-    file = F.when(plain & bound, F.coalesce("origin_file", "module")).when(member & bound, F.coalesce("_file", "module")).when(plain & F.col("_own"), F.col("caller_file"))
-    name = F.when(plain & bound, F.coalesce("origin_name", F.when(F.col("kind") == "namespace", F.col("callee")).otherwise(F.col("imported")))).when(member & bound, F.coalesce("_name", "callee")).when(plain & F.col("_own"), F.col("callee"))
+    file = F.when(plain & bound, F.coalesce("origin_file", "module")).when(member & bound, F.coalesce("_file", "module")).when(plain & F.col("_has"), F.col("caller_file"))
+    name = F.when(plain & bound, F.coalesce("origin_name", F.when(F.col("kind") == "namespace", F.col("callee")).otherwise(F.col("imported")))).when(member & bound, F.coalesce("_name", "callee")).when(plain & F.col("_has"), F.col("callee"))
     return out.select("caller_file", "caller", "object", "callee", file.alias("callee_file"), name.alias("callee_symbol"))

@@ -25,12 +25,13 @@ def _specifier(a, b):
 
 
 def pairs(s, d):
-    """(a, b): part a imports part b."""
+    """(a, bs): part a imports parts bs."""
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    return t.table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), after.alias("b")).where("b is not null and a <> b").distinct()
+    rows = t.table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), after.alias("b")).where("b is not null and a <> b")
+    return rows.groupBy("a").agg(F.collect_set("b").alias("bs"))
 
 
-def workspace(s, d):
+def workspace(s, d, of=None):
     """(file, text) of parts. Part k defines f<k>, by default if k % 3 = 1, and by name if k % 3 = 2; else it passes on that of k div 3
     under its own name. Parts 6 and 7 of ten pass all names on to each other. An import is a name, a namespace or the default, by a + b."""
     k, j = F.col("k"), F.col("k").cast("long")
@@ -40,21 +41,25 @@ def workspace(s, d):
         F.concat(F.lit("export { "), inner, F.lit(" as f"), k, F.lit(" } from '"), _specifier(j, third), F.lit("';\n")))
     star = F.when(k % 10 == 7, k - 1).when((k % 10 == 6) & (k < F.col("last")), k + 1)
     stars = F.coalesce(F.concat(F.lit("export * from \""), _specifier(j, star), F.lit("\";\n")), F.lit(""))
-    a, b = F.col("a"), F.col("b")
-    name = F.when(b % 10 == 7, F.concat(F.lit("f"), b - 1)).when(b % 3 == 1, "default").otherwise(F.concat(F.lit("f"), b))
-    clause = F.when((a + b) % 3 == 0, F.concat(F.lit("{ "), name, F.lit(" as x"), b, F.lit(",\n }"))).when((a + b) % 3 == 1, F.concat(F.lit("* as ns"), b)).otherwise(F.concat(F.lit("d"), b))
-    lines = pairs(s, d).select(a.alias("k"), F.concat(F.lit("import "), clause, F.lit(" from '"), _specifier(a, b), F.lit("';\n")).alias("line"))
-    imports = lines.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list("line")), "").alias("imports"))
+    a = F.col("a")
+    of = pairs(s, d) if of is None else of
+    imports = of.select(a.alias("k"), F.array_join(F.array_sort(F.transform("bs", lambda b: _import(a, b))), "").alias("imports"))
     parts = t.table(s, d, "part").select(F.col("p_partkey").alias("k"))
     last = parts.agg(F.max("k").alias("last"))  # one row
     return parts.join(imports, "k", "left").crossJoin(F.broadcast(last)).select(_path(j).alias("file"), F.concat(F.coalesce("imports", F.lit("")), own, stars).alias("text"))
 
 
-def calls(s, d):
+def _import(a, b):
+    name = F.when(b % 10 == 7, F.concat(F.lit("f"), b - 1)).when(b % 3 == 1, "default").otherwise(F.concat(F.lit("f"), b))
+    clause = F.when((a + b) % 3 == 0, F.concat(F.lit("{ "), name, F.lit(" as x"), b, F.lit(",\n }"))).when((a + b) % 3 == 1, F.concat(F.lit("* as ns"), b)).otherwise(F.concat(F.lit("d"), b))
+    return F.concat(F.lit("import "), clause, F.lit(" from '"), _specifier(a, b), F.lit("';\n"))
+
+
+def calls(s, d, of):
     """Part a calls what it imports of part b, a name, a namespace's member or the default, and a function of its own."""
     a, b = F.col("a"), F.col("b")
     kind = (a + b) % 3
-    of = pairs(s, d).select(_path(a).alias("caller_file"), F.lit("run").alias("caller"), F.when(kind == 1, F.concat(F.lit("ns"), b)).alias("object"),
+    of = of.select("a", F.explode("bs").alias("b")).select(_path(a).alias("caller_file"), F.lit("run").alias("caller"), F.when(kind == 1, F.concat(F.lit("ns"), b)).alias("object"),
         F.when(kind == 0, F.concat(F.lit("x"), b)).when(kind == 1, F.concat(F.lit("f"), b)).otherwise(F.concat(F.lit("d"), b)).alias("callee"))
     k = F.col("p_partkey")
     own = t.table(s, d, "part").select(_path(k).alias("caller_file"), F.lit("main").alias("caller"), F.lit(None).cast("string").alias("object"), F.concat(F.lit("f"), F.when(k % 2 == 0, k).otherwise(-k)).alias("callee"))
@@ -62,25 +67,26 @@ def calls(s, d):
 
 
 def bindings(s, d):
-    return m.resolved_bindings(workspace(s, d))
+    return m.resolved_bindings(cut_lineage(workspace(s, d)))
+
+
+def _bound(s, d):
+    """Calls by their bindings, and the symbols of files."""
+    of = cut_lineage(pairs(s, d))
+    files = cut_lineage(workspace(s, d, of))
+    given = cut_lineage(m.resolved_exports(files))
+    symbols = cut_lineage(m.exports(files).where("specifier is null").select("file", F.col("local").alias("name")))
+    return m.call_targets(calls(s, d, of), m.resolved_bindings(files, given), symbols, given), symbols
 
 
 def bound_calls(s, d):
-    files = cut_lineage(workspace(s, d))
-    b = cut_lineage(m.import_bindings(files))
-    modules = cut_lineage(m.resolve_modules(b.select("file", "specifier").union(m.exports(files).where("specifier is not null").select("file", "specifier")), files))
-    given = cut_lineage(m.resolved_exports(files, b, modules))
-    named = b.join(modules, ["file", "specifier"])
-    told = m.origins(named.select("module", F.col("imported").alias("name")), given).withColumnRenamed("name", "imported")
-    symbols = m.exports(files).where("specifier is null").select("file", F.col("local").alias("name"))
-    return m.call_targets(calls(s, d), named.join(told, ["module", "imported"], "left"), symbols, given)
+    return _bound(s, d)[0]
 
 
 def located_calls(s, d):
     """Calls by the file and symbol of their binding; what has none by its name alone."""
-    symbols = m.exports(workspace(s, d)).where("specifier is null").select("file", F.col("local").alias("name"))
-    asked = bound_calls(s, d).select("caller_file", "caller", "callee_file", F.coalesce("callee_symbol", "callee").alias("callee"))
-    return ex.resolve_calls(asked, symbols)
+    found, symbols = _bound(s, d)
+    return ex.resolve_calls(found.select("caller_file", "caller", "callee_file", F.coalesce("callee_symbol", "callee").alias("callee")), symbols)
 
 
 PATH = "'src/m' || {k} % 5 || '/b' || {k} % 7 || '/u' || {k} || (['/index.ts', '.tsx', '.ts', '.js'])[{k} % 4 + 1]"
