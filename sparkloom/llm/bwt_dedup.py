@@ -13,7 +13,8 @@
    bytes by one stable sort of the interleave by the q-byte strings before them; suffixes are not sorted again.
    A round also tells which neighbours differ in these bytes or did before, so after rounds of LENGTH bytes in all the
    intervals of common prefixes of LENGTH bytes are known, and one that counts two windows or more is repeated. Bytes
-   are compared by their order throughout, never by hash.
+   are compared by their order throughout, never by hash. Before that, windows go that can't be repeated: a window
+   has the bytes on both sides of its minimizer, and if no other segment has those on one side there is no other such window.
 5. The repeated windows of each text are joined to spans, and what is left of the text is hashed.
 
 Texts lie in a table in the shared folder, bucketed by key, so that the later joins don't ship them again.
@@ -41,6 +42,8 @@ SPAN = LENGTH - GRAM + 1  # grams in a window
 BUCKET_BYTES, MOST_BYTES, SHARD_BYTES, MOST_SHARDS = 1 << 20, 1 << 20, 1 << 19, 8
 #: Bytes by which each round of the refinement goes on; LENGTH in all.
 ROUNDS = (8, 32, 32, 32, 32, 32, 32)
+#: Bytes by which the sides of a minimizer are lengthened when windows are told that can't be repeated.
+STEP = 12
 #: Cuts by further minimizers before single windows.
 CUTS = 2
 
@@ -236,6 +239,40 @@ def repeated(parts: list[bytes], own: np.ndarray, weight: np.ndarray, shard_byte
     return np.split(flat, np.cumsum(own)[:-1])
 
 
+def candidates(parts: list[bytes], own: np.ndarray, weight: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows [lo, hi) of each segment that may occur twice; least is the hash of its minimizer. Equal windows have
+    equal bytes on the left of the minimizer and on its right, SPAN - 1 in all, so a window goes if what it has on one side, in whole
+    STEPs, is in no other segment. Unequal hashes tell unequal bytes; equal ones only keep windows."""
+    sizes = np.array([len(x) for x in parts])
+    begin = np.cumsum(sizes) - sizes
+    sums = V.prefix_sums(np.frombuffer(b"".join(parts), np.uint8))
+    core = SPAN - own + 1  # grams that all windows of a segment have
+    of = np.repeat(np.arange(len(parts)), core)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(core) - core, core) + (begin + own - 1)[of]
+    hit = np.flatnonzero(V.span_hashes(sums, at, at + GRAM) == least[of])
+    known, first = np.unique(of[hit], return_index=True)
+    m = np.full(len(parts), -1)
+    m[known] = at[hit[first]] - begin[known]
+    lo, hi = np.zeros(len(parts), np.int64), own.astype(np.int64)
+
+    def longest(room: np.ndarray, start, end) -> np.ndarray:
+        """Bytes beyond the minimizer, below the next STEP, that a window may have on a side."""
+        out, live = np.full(len(parts), STEP - 1), known
+        for n in range(STEP, SPAN, STEP):
+            live = live[room[live] >= n]
+            _, inverse = np.unique(V.span_hashes(sums, start(live, n), end(live, n)), return_inverse=True)
+            live = live[np.bincount(inverse, weight[live])[inverse] > 1]
+            out[live] = n + STEP - 1
+        return out
+
+    gram = begin + m
+    left = longest(m, lambda i, n: gram[i] - n, lambda i, n: gram[i] + GRAM)
+    right = longest(sizes - m - GRAM, lambda i, n: gram[i], lambda i, n: gram[i] + GRAM + n)
+    lo[known] = np.maximum(0, m - left)[known]
+    hi[known] = np.maximum(np.minimum(own, m + right - SPAN + 2), lo)[known]
+    return lo, hi
+
+
 def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -251,11 +288,15 @@ def compared(contents: DataFrame) -> DataFrame:
 
     def run(t):
         t = t.sort_by([("h", "ascending"), ("s", "ascending"), ("t", "ascending")])
-        marks = repeated(t.column("content").to_pylist(), t.column("own").to_numpy(), t.column("c").to_numpy())
-        found = [runs(m) for m in marks]
+        parts, c = t.column("content").to_pylist(), t.column("c").to_numpy()
+        lo, hi = candidates(parts, t.column("own").to_numpy(), c, t.column("h").to_numpy().view(np.uint64))
+        some = np.flatnonzero(hi > lo)
+        t, lo, hi = t.take(pa.array(some)), lo[some], hi[some]
+        marks = repeated([parts[i][a : b + LENGTH - 1] for i, a, b in zip(some.tolist(), lo.tolist(), hi.tolist())], hi - lo, c[some]) if len(some) else []
+        found = [tuple(x + a for x in runs(m)) for m, a in zip(marks, lo.tolist())]
         n = [len(a) for a, _ in found]
         names = [np.repeat(t.column(c).to_numpy(), n) for c in ("h", "s", "t")]
-        ends = [np.concatenate(x).astype(np.int32) for x in zip(*found)]
+        ends = [np.concatenate(x).astype(np.int32) for x in zip(*found)] or [np.zeros(0, np.int32)] * 2
         return pa.table([pa.array(x) for x in (*names, *ends)], names=["h", "s", "t", "a", "b"])
 
     dealt = contents.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))

@@ -201,6 +201,21 @@ def test_merged_transforms_sort_all_windows():
     assert [m.tolist() for m in got] == [[c[p[i : i + 200]] > 1 for i in range(n)] for p, n in zip(parts, own)]
 
 
+def test_windows_that_go_before_transforms_are_not_repeated():
+    """All repeated windows are kept, and some others are not."""
+    texts = [(t or "").encode() for _, t, *_ in rows()]
+    base = "".join(random.Random(5).choice("abcdef") for _ in range(900)).encode()
+    texts += [base, base[:520] + b"#" + base[520:], b"x" * 300 + base[100:330], b"ab" * 250]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    row, h, _, _, p, own = bwt_dedup.cut(data, offs)
+    parts = [texts[r][a : a + n + 199] for r, a, n in zip(row.tolist(), p.tolist(), own.tolist())]
+    lo, hi = bwt_dedup.candidates(parts, own, np.ones(len(parts), int), h)
+    c = Counter(x[i : i + 200] for x, n in zip(parts, own) for i in range(n))
+    twice = [np.array([c[x[i : i + 200]] > 1 for i in range(n)]) for x, n in zip(parts, own)]
+    assert all(not t[:a].any() and not t[b:].any() for t, a, b in zip(twice, lo, hi))
+    assert sum(map(np.sum, twice)) <= (hi - lo).sum() < own.sum() and (hi == lo).any()
+
+
 @pytest.mark.parametrize("block", [1_000_000, 20])
 def test_fm_index(spark, docs, empty, block):
     texts = {i: t for i, t, *_ in rows()}
