@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cut import cut_lineage
@@ -20,6 +20,8 @@ EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".json", ".d.ts")
 
 NAME = r"[A-Za-z_$][\w$]*"
 QUOTED = r"""["']([^"'\n]*)["']"""
+#: A path whose segments begin with no dot.
+PLAIN = r"[^./][^/]*(?:/[^./][^/]*)*"
 #: A clause can go over lines but not over a statement's end or into the next one.
 CLAUSE = r"""[^;"'()=]*?"""
 IMPORT = rf"(?m)^[ \t]*import\s+(type\s+)?({CLAUSE})\s*from\s*{QUOTED}"
@@ -58,17 +60,25 @@ def _bindings(text: Column) -> Column:
 BOUND = ("specifier", "type_only", "kind", "imported", "local")
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """(file, bound, given) of files (file, text), as a table: all that the functions below read of texts, which are read once.
+    They take it in place of files."""
+    if "given" in files.columns:
+        return files
+    text = F.coalesce("text", F.lit(""))
+    return cut_lineage(files.select("file", _bindings(text).alias("bound"), _exports(text).alias("given")))
+
+
 def import_bindings(files: DataFrame) -> DataFrame:
     """(file, specifier, type_only, kind, imported, local) of files (file, text): kind named, default or namespace; imports
     without names are no bindings."""
-    return files.select("file", F.explode(_bindings(F.coalesce("text", F.lit("")))).alias("b")).select("file", *[f"b.{c}" for c in BOUND])
+    return parsed(files).select("file", F.explode("bound").alias("b")).select("file", *[f"b.{c}" for c in BOUND])
 
 
 def exported_bindings(files: DataFrame) -> DataFrame:
     """import_bindings() of names that their file also gives out as its own, which few are; found within each file."""
-    text = F.coalesce("text", F.lit(""))
-    own = F.transform(F.filter(_exports(text), lambda x: x["specifier"].isNull()), lambda x: x["local"])
-    both = files.select("file", _bindings(text).alias("b"), own.alias("own")).withColumn("own", F.array_intersect("own", F.transform("b", lambda x: x["local"]))).where(F.size("own") > 0)
+    own = F.transform(F.filter("given", lambda x: x["specifier"].isNull()), lambda x: x["local"])
+    both = parsed(files).select("file", F.col("bound").alias("b"), own.alias("own")).withColumn("own", F.array_intersect("own", F.transform("b", lambda x: x["local"]))).where(F.size("own") > 0)
     return both.select("file", "own", F.explode("b").alias("b")).where(F.array_contains("own", F.col("b.local"))).select("file", *[f"b.{c}" for c in BOUND])
 
 
@@ -91,7 +101,7 @@ def _exports(text: Column) -> Column:
 def exports(files: DataFrame) -> DataFrame:
     """(file, name, local, specifier): a name that a file gives out, and what it stands for: a symbol `local` of the file
     itself, or of the module `specifier`; name * passes on all but default."""
-    each = files.select("file", F.explode(_exports(F.coalesce("text", F.lit("")))).alias("e"))
+    each = parsed(files).select("file", F.explode("given").alias("e"))
     return each.select("file", "e.name", "e.local", "e.specifier").distinct()
 
 
@@ -122,8 +132,14 @@ def _with_keys(asked: DataFrame) -> DataFrame:
     workspace's root. Both are '' for names of packages; key2 is where there is one way."""
     folder = F.regexp_extract("file", r"^(?:(.*)/)?[^/]*$", 1)
     relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
-    near = F.when(relative, without_dots(F.concat(folder, F.lit("/"), "specifier")))
-    root = without_dots(F.when(relative | F.col("specifier").startswith("/"), F.col("specifier")))
+    # Mostly dots only stand before a specifier's names and none in the folder's; then ups are cut off the folder's end.
+    rest = F.regexp_replace("specifier", r"^(?:\./)?(?:\.\./)*", "")
+    ups = F.floor((F.length("specifier") - F.length(rest)) / 3).cast("int")
+    depth = F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) + 1
+    plain = relative & F.col("specifier").rlike(rf"^(?:\./)?(?:\.\./)*{PLAIN}\z") & folder.rlike(rf"^{PLAIN}\z")
+    up = F.when(ups < depth, F.concat(F.call_function("substring_index", folder, F.lit("/"), depth - ups), F.lit("/"), rest)).when(ups == depth, rest)
+    near = F.when(plain, up).when(relative, without_dots(F.concat(folder, F.lit("/"), "specifier")))
+    root = F.when(plain, F.when(ups == 0, rest)).when(relative | F.col("specifier").startswith("/"), without_dots(F.col("specifier")))
     # A key is kept after a slash, so that the root's own, which is empty, is one.
     key = lambda c: F.coalesce(F.concat(F.lit("/"), c), F.lit(""))
     return asked.withColumns({"key": key(F.coalesce(near, root)), "key2": key(F.when(near.isNotNull(), root))})
@@ -148,24 +164,31 @@ def origins(asked: DataFrame, given: DataFrame) -> DataFrame:
     of the modules that pass it on. given: (file, name, local, module) where module is null for a file's own symbols. Of several
     ways the shortest, then the least file and name. A name that leads in a circle or to nothing has no row."""
     given = cut_lineage(given)
-    own = given.where("module is null").select(F.col("file").alias("at"), F.col("name").alias("as"), F.col("local").alias("origin_name")).distinct()
-    one = given.where("module is not null and name <> '*'").select(F.col("file").alias("at"), F.col("name").alias("as"), F.col("module").alias("to"), F.col("local").alias("then")).distinct()
-    star = given.where("module is not null and name = '*'").select(F.col("file").alias("at"), F.col("module").alias("to")).distinct()
-    open_ = cut_lineage(asked.select("module", "name").distinct().select("module", "name", F.col("module").alias("at"), F.col("name").alias("as")))
-    seen, found = open_, None
+    steps = given.where("module is null or name <> '*'").select(F.col("file").alias("at"), F.col("name").alias("as"), F.col("module").alias("to"), F.col("local").alias("then"), F.lit(True).alias("hit")).distinct()
+    star = given.where("module is not null and name = '*'").select(F.col("file").alias("_at"), F.col("module").alias("_to")).distinct()
+    # Places (at, as) of the pairs that are open, by the round that first came there; done: an origin, and then the only places of its pair.
+    rows = cut_lineage(asked.select("module", "name").distinct().select("module", "name", F.col("module").alias("at"), F.col("name").alias("as"), F.lit(False).alias("done"), F.lit(0).alias("round")))
+    pair, found = Window.partitionBy("module", "name"), None
     for hops in itertools.count():
-        here = open_.join(own, ["at", "as"]).select("module", "name", F.col("at").alias("origin_file"), "origin_name", F.lit(hops).alias("hops"))
-        # A whole module that is passed on under a name is its own origin.
-        whole = open_.where("`as` = '*'").select("module", "name", F.col("at").alias("origin_file"), F.lit("*").alias("origin_name"), F.lit(hops).alias("hops"))
-        here = cut_lineage(here.unionByName(whole))
-        found = here if found is None else found.unionByName(here)
-        left = open_.where("`as` <> '*'").join(here.select("module", "name").distinct(), ["module", "name"], "left_anti")
-        by_name = left.join(one, ["at", "as"]).select("module", "name", F.col("to").alias("at"), F.col("then").alias("as"))
-        by_star = left.where("`as` <> 'default'").join(one.select("at", "as"), ["at", "as"], "left_anti").join(star, "at").select("module", "name", F.col("to").alias("at"), "as")
-        open_ = cut_lineage(by_name.union(by_star).distinct().join(seen, ["module", "name", "at", "as"], "left_anti"))
-        if open_.isEmpty():
+        here = rows.where(~F.col("done") & (F.col("round") == hops))
+        if here.isEmpty() and found is not None:
             break
-        seen = seen.union(open_)
+        whole, hit = F.col("as") == "*", F.col("hit").isNotNull()
+        met = here.join(steps, ["at", "as"], "left").join(star, (F.col("at") == F.col("_at")) & F.col("hit").isNull() & ~F.col("as").isin("*", "default"), "left")
+        to = lambda done, at, name: F.struct(F.lit(done).alias("done"), F.col(at).alias("at"), name.alias("as"))
+        ways = F.array(
+            F.when(hit & F.col("to").isNull(), to(True, "at", F.col("then"))),
+            F.when(whole, to(True, "at", F.lit("*"))),  # a whole module that is passed on under a name is its own origin
+            F.when(~whole & F.col("to").isNotNull(), to(False, "to", F.col("then"))),
+            F.when(F.col("_to").isNotNull(), to(False, "_to", F.col("as"))),
+        )
+        moved = met.select("module", "name", F.explode(F.array_compact(ways)).alias("w")).select("module", "name", "w.at", "w.as", "w.done", F.lit(hops + 1).alias("round"))
+        # What was there before keeps its round; a pair goes on that has no origin and came to a new place.
+        each = moved.union(rows.where(~F.col("done"))).repartition("module", "name").groupBy("module", "name", "at", "as", "done").agg(F.min("round").alias("round"))
+        each = each.withColumns({"_done": F.max("done").over(pair), "_last": F.max("round").over(pair)})
+        rows = cut_lineage(each.where(F.col("done") | (~F.col("_done") & (F.col("_last") == hops + 1))).drop("_done", "_last"))
+        got = rows.where("done").select("module", "name", F.col("at").alias("origin_file"), F.col("as").alias("origin_name"), F.lit(hops).alias("hops"))
+        found = got if found is None else found.unionByName(got)
     least = F.min(F.struct("hops", "origin_file", "origin_name")).alias("o")
     return found.groupBy("module", "name").agg(least).select("module", "name", "o.origin_file", "o.origin_name", F.col("o.hops").cast("long").alias("hops"))
 
@@ -173,6 +196,7 @@ def origins(asked: DataFrame, given: DataFrame) -> DataFrame:
 def resolved_exports(files: DataFrame, bindings: DataFrame | None = None, modules: DataFrame | None = None) -> DataFrame:
     """(file, name, local, module): exports() with modules in place of specifiers; a file's own export of an imported name passes that on.
     Only bindings of names that their file gives out matter, and the modules (file, specifier, module) of these and of exports."""
+    files = parsed(files)
     given, bound = cut_lineage(exports(files)), cut_lineage(exported_bindings(files)) if bindings is None else bindings
     if modules is None:
         modules = cut_lineage(resolve_modules(given.where("specifier is not null").select("file", "specifier").union(bound.select("file", "specifier")), files))
@@ -186,9 +210,10 @@ def resolved_bindings(files: DataFrame, given: DataFrame | None = None) -> DataF
     """Per imported name of files (file, text): the module it comes from, and the file and name it is defined by (null where
     the module is not in the workspace, or gives out no such name). A namespace is defined by its module.
 
-    What bindings ask for is resolved once for each pair of a key and a name, and bindings meet it by one join; files are read twice,
-    so they should be a table. given is resolved_exports(files), where it is known."""
-    bindings = _with_keys(import_bindings(files))
+    What bindings ask for is resolved once for each pair of a key and a name, and bindings meet it by one join. given is
+    resolved_exports(files), where it is known."""
+    files = parsed(files)
+    bindings = cut_lineage(_with_keys(import_bindings(files)))
     asked = cut_lineage(bindings.where("key <> ''").select("key", "key2", "imported").distinct())
     modules = cut_lineage(_modules(asked, files))
     named = cut_lineage(asked.join(modules, ["key", "key2"]))

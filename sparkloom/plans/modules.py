@@ -45,8 +45,9 @@ def workspace(s, d, of=None):
     of = pairs(s, d) if of is None else of
     imports = of.select(a.alias("k"), F.array_join(F.array_sort(F.transform("bs", lambda b: _import(a, b))), "").alias("imports"))
     parts = t.table(s, d, "part").select(F.col("p_partkey").alias("k"))
+    dealt = parts.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "k")  # keys are few bytes, the texts made of them are not
     last = parts.agg(F.max("k").alias("last"))  # one row
-    return parts.join(imports, "k", "left").crossJoin(F.broadcast(last)).select(_path(j).alias("file"), F.concat(F.coalesce("imports", F.lit("")), own, stars).alias("text"))
+    return dealt.join(imports, "k", "left").crossJoin(F.broadcast(last)).select(_path(j).alias("file"), F.concat(F.coalesce("imports", F.lit("")), own, stars).alias("text"))
 
 
 def _import(a, b):
@@ -67,13 +68,13 @@ def calls(s, d, of):
 
 
 def bindings(s, d):
-    return m.resolved_bindings(cut_lineage(workspace(s, d)))
+    return m.resolved_bindings(workspace(s, d))
 
 
 def _bound(s, d):
     """Calls by their bindings, and the symbols of files."""
     of = cut_lineage(pairs(s, d))
-    files = cut_lineage(workspace(s, d, of))
+    files = m.parsed(workspace(s, d, of))
     given = cut_lineage(m.resolved_exports(files))
     symbols = cut_lineage(m.exports(files).where("specifier is null").select("file", F.col("local").alias("name")))
     return m.call_targets(calls(s, d, of), m.resolved_bindings(files, given), symbols, given), symbols
@@ -86,7 +87,7 @@ def bound_calls(s, d):
 def located_calls(s, d):
     """Calls by the file and symbol of their binding; what has none by its name alone."""
     found, symbols = _bound(s, d)
-    return ex.resolve_calls(found.select("caller_file", "caller", "callee_file", F.coalesce("callee_symbol", "callee").alias("callee")), symbols)
+    return ex.resolve_calls(cut_lineage(found.select("caller_file", "caller", "callee_file", F.coalesce("callee_symbol", "callee").alias("callee"))), symbols)
 
 
 PATH = "'src/m' || {k} % 5 || '/b' || {k} % 7 || '/u' || {k} || (['/index.ts', '.tsx', '.ts', '.js'])[{k} % 4 + 1]"
