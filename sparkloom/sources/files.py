@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -9,6 +10,7 @@ import uuid
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,52 @@ def workspace(spark: SparkSession, root: str, limit: int = 10_000, max_bytes: in
     return df.select(F.col("path").alias("file"), F.decode("content", "utf-8").alias("text")).orderBy("file").limit(limit)
 
 
+def _file_system(folder: str) -> tuple[str, pafs.FileSystem, str] | None:
+    """URI, Arrow's file system and path of a folder; None where Arrow does not know its scheme."""
+    uri = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    try:
+        return uri, *pafs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
 def import_mirror(spark: SparkSession, folder: str, project: str) -> DataFrame:
-    """Memory rows of a folder of JSON files: what does not parse, control files and other projects are left out."""
-    df = spark.read.schema(MEMORY + ", _corrupt_record string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(folder, pathGlobFilter="*.json")
-    name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
-    return df.where(~name.rlike("^(pending|ack)")).where("_corrupt_record is null and id is not null").where(F.col("project_id") == project).drop("_corrupt_record")
+    """Memory rows of a folder of JSON files: what does not parse, control files and other projects are left out. One task lists the
+    folder (of this machine name by name), others read the files; the driver has none of the names. Where Arrow does not know the
+    folder's scheme Spark's reader serves, whose driver lists all files."""
+    reader = spark.read.schema(MEMORY + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record")
+    at = _file_system(folder)
+    if at is None or at[1].get_file_info(at[2]).type != pafs.FileType.Directory:
+        df = reader.option("multiLine", True).json(folder, pathGlobFilter="*.json")
+        df = df.where(~F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).rlike("^(pending|ack)"))
+    else:
+        df = reader.json(_contents(spark, at[0]))
+    return df.where("_corrupt_record is null and id is not null").where(F.col("project_id") == project).drop("_corrupt_record")
+
+
+def _contents(spark: SparkSession, uri: str) -> RDD[str]:
+    """Texts of the JSON files of a folder but hidden and control files. What has bytes of no encoding of JSON is left out."""
+
+    def names(_):
+        fs, root = pafs.FileSystem.from_uri(uri)
+        if isinstance(fs, pafs.LocalFileSystem):
+            with os.scandir(root) as found:
+                yield from (f.name for f in found if f.name.endswith(".json") and f.is_file())
+        else:
+            yield from (f.base_name for f in fs.get_file_info(pafs.FileSelector(root)) if f.extension == "json" and f.is_file)
+
+    def read(some):
+        fs, root = pafs.FileSystem.from_uri(uri)
+        for name in some:
+            with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
+                raw = f.read()
+            try:
+                yield raw.decode(json.detect_encoding(raw))
+            except UnicodeDecodeError:
+                continue
+
+    listed = spark.sparkContext.parallelize([0], 1).mapPartitions(names).filter(lambda name: not re.match(r"[.]|_(?!.*=)|pending|ack", name))
+    return listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapPartitions(read)
 
 
 def export_mirror(rows: DataFrame, folder: str) -> None:
@@ -43,11 +86,9 @@ def export_mirror(rows: DataFrame, folder: str) -> None:
     systems, each under a hidden name first, so that files appear whole. Spark's writer would make, commit and list a folder for each
     row, and start a process for the rights of each local file; it serves where Arrow does not know the folder's scheme."""
     safe = rows.where(F.col("id").rlike(r"^[A-Za-z0-9_.:-]{1,200}$") & ~F.col("id").contains(".."))
-    uri = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
-    try:
-        fs, root = pafs.FileSystem.from_uri(uri)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+    if (at := _file_system(folder)) is None:
         return safe.withColumn("file", F.col("id")).write.mode("overwrite").partitionBy("file").json(folder)
+    uri, fs, root = at
     fs.create_dir(root)
     fs.delete_dir_contents(root)
 

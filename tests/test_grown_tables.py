@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import duckdb
 import pandas as pd
 import pytest
@@ -85,6 +87,29 @@ def test_a_mirror_has_a_file_by_id_and_no_folders(spark, tmp_path):
     assert sorted((r["id"], r["content"]) for r in files.import_mirror(spark, str(tmp_path / "m"), "p").collect()) == [("_c", "é"), ("a", "x\ny"), ("pending", "z")]
 
 
+def test_a_mirror_is_listed_by_a_task(spark, tmp_path):
+    """No plan of the driver has a mirror's files; rows are those of Spark's own reader, also of odd files."""
+    from sparkloom.sources import files
+
+    row = lambda i, text="é\n": json.dumps({"id": i, "project_id": "p", "content": text, "tags": ["t"]}, ensure_ascii=False)
+    odd = {"a": row("a"), "b": row("b", "x" * 100_000), "list": f"[{row('c')}, {row('d')}]", "empty": "", "blank": " \n", "bad": "{", "number": "1", "lines": json.dumps(json.loads(row("e")), indent=2), "wrong": '{"id": "w", "project_id": "p", "tags": 1}',
+           "_hidden": row("h"), ".dot": row("i"), "pending-1": row("j"), "acks": row("k"), "_x=1": row("l"), "two": row("m") + "\n" + row("n"), "other": row("o").replace('"p"', '"q"')}
+    for name, text in odd.items():
+        (tmp_path / f"{name}.json").write_bytes(text.encode())
+    (tmp_path / "wide.json").write_bytes(row("u").encode("utf-16-le"))
+    (tmp_path / "mark.json").write_bytes(row("v").encode("utf-8-sig"))
+    (tmp_path / "broken.json").write_bytes(row("y").encode("latin-1"))
+    (tmp_path / "text.txt").write_text(row("z"))
+    (tmp_path / "folder.json").mkdir()
+    got = files.import_mirror(spark, str(tmp_path), "p")
+    assert got.inputFiles() == []
+    (tmp_path / "folder.json").rmdir()
+    df = spark.read.schema(files.MEMORY + ", _corrupt_record string").option("multiLine", True).json(str(tmp_path), pathGlobFilter="*.json")
+    df = df.where("not _metadata.file_name rlike '^(pending|ack)' and _corrupt_record is null and id is not null and project_id = 'p'")
+    rows = lambda x: sorted((r["id"], r["content"], r["tags"]) for r in x.collect())
+    assert rows(got) == rows(df) and len(rows(df)) >= 6
+
+
 @pytest.mark.parametrize("name", ["sy3_observed_remove_dots", "sy3_observed_remove_sets"])
 def test_replicas_read_no_window_from_each_row_to_its_end(both, spark, tmp_path, name):
     events = pd.read_parquet(f"{SF}/events.parquet").assign(user_id=lambda e: e.user_id % 2)
