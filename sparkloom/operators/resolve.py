@@ -20,8 +20,8 @@ EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".json", ".d.ts")
 
 NAME = r"[A-Za-z_$][\w$]*"
 QUOTED = r"""["']([^"'\n]*)["']"""
-#: A path whose segments begin with no dot.
-PLAIN = r"[^./][^/]*(?:/[^./][^/]*)*"
+#: A path whose segments begin with no dot; possessive, so that a long one takes no stack.
+PLAIN = r"[^./][^/]*+(?:/[^./][^/]*+)*+"
 #: A clause can go over lines but not over a statement's end or into the next one.
 CLAUSE = r"""[^;"'()=]*?"""
 IMPORT = rf"(?m)^[ \t]*import\s+(type\s+)?({CLAUSE})\s*from\s*{QUOTED}"
@@ -133,10 +133,10 @@ def _with_keys(asked: DataFrame) -> DataFrame:
     folder = F.regexp_extract("file", r"^(?:(.*)/)?[^/]*$", 1)
     relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
     # Mostly dots only stand before a specifier's names and none in the folder's; then ups are cut off the folder's end.
-    rest = F.regexp_replace("specifier", r"^(?:\./)?(?:\.\./)*", "")
+    rest = F.regexp_replace("specifier", r"^(?:\./)?(?:\.\./)*+", "")
     ups = F.floor((F.length("specifier") - F.length(rest)) / 3).cast("int")
     depth = F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) + 1
-    plain = relative & F.col("specifier").rlike(rf"^(?:\./)?(?:\.\./)*{PLAIN}\z") & folder.rlike(rf"^{PLAIN}\z")
+    plain = relative & F.col("specifier").rlike(rf"^(?:\./)?(?:\.\./)*+{PLAIN}\z") & folder.rlike(rf"^{PLAIN}\z")
     up = F.when(ups < depth, F.concat(F.call_function("substring_index", folder, F.lit("/"), depth - ups), F.lit("/"), rest)).when(ups == depth, rest)
     near = F.when(plain, up).when(relative, without_dots(F.concat(folder, F.lit("/"), "specifier")))
     root = F.when(plain, F.when(ups == 0, rest)).when(relative | F.col("specifier").startswith("/"), without_dots(F.col("specifier")))
