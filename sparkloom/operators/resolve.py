@@ -130,19 +130,24 @@ def _keys(files: DataFrame) -> DataFrame:
 def _with_keys(asked: DataFrame) -> DataFrame:
     """asked (file, specifier) with key and key2: where a specifier leads relative to the file's folder, and failing that from the
     workspace's root. Both are '' for names of packages; key2 is where there is one way."""
-    folder = F.regexp_extract("file", r"^(?:(.*)/)?[^/]*$", 1)
     relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
-    # Mostly dots only stand before a specifier's names and none in the folder's; then ups are cut off the folder's end.
-    rest = F.regexp_replace("specifier", r"^(?:\./)?(?:\.\./)*+", "")
-    ups = F.floor((F.length("specifier") - F.length(rest)) / 3).cast("int")
-    depth = F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) + 1
-    plain = relative & F.col("specifier").rlike(rf"^(?:\./)?(?:\.\./)*+{PLAIN}\z") & folder.rlike(rf"^{PLAIN}\z")
+    # Mostly dots only stand before a specifier's names and none in the folder's; then ups are cut off the folder's end. What several
+    # columns need is a column first, so that it is found once a row.
+    cols = {"_folder": F.regexp_extract("file", r"^(?:(.*)/)?[^/]*$", 1), "_rest": F.regexp_replace("specifier", r"^(?:\./)?(?:\.\./)*+", ""), "_relative": relative}
+    folder, rest, ups, depth = (F.col(c) for c in ("_folder", "_rest", "_ups", "_depth"))
+    more = {
+        "_plain": F.col("_relative") & F.col("specifier").rlike(rf"^(?:\./)?(?:\.\./)*+{PLAIN}\z") & folder.rlike(rf"^{PLAIN}\z"),
+        "_ups": F.floor((F.length("specifier") - F.length(rest)) / 3).cast("int"), "_depth": F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) + 1,
+    }
+    plain, relative = F.col("_plain"), F.col("_relative")
     up = F.when(ups < depth, F.concat(F.call_function("substring_index", folder, F.lit("/"), depth - ups), F.lit("/"), rest)).when(ups == depth, rest)
     near = F.when(plain, up).when(relative, without_dots(F.concat(folder, F.lit("/"), "specifier")))
     root = F.when(plain, F.when(ups == 0, rest)).when(relative | F.col("specifier").startswith("/"), without_dots(F.col("specifier")))
     # A key is kept after a slash, so that the root's own, which is empty, is one.
     key = lambda c: F.coalesce(F.concat(F.lit("/"), c), F.lit(""))
-    return asked.withColumns({"key": key(F.coalesce(near, root)), "key2": key(F.when(near.isNotNull(), root))})
+    led = asked.withColumns(cols).withColumns(more).withColumns({"_near": near, "_root": root})
+    keys = {"key": key(F.coalesce("_near", "_root")), "key2": key(F.when(F.col("_near").isNotNull(), F.col("_root")))}
+    return led.withColumns(keys).drop(*cols, *more, "_near", "_root")
 
 
 def _modules(keys: DataFrame, files: DataFrame) -> DataFrame:
